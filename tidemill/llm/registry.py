@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemill.llm import simhash_neardup
+from tidemill.llm import bpe_codec, simhash_neardup
 
 
 def queries():
     return {
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
+        "op8_bpe_codec": bpe_codec.op8_bpe_codec,
     }
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, simhash_neardup
+from tidemill.llm import bpe_codec, simhash_neardup, warc
 
 
 def queries():
     return {
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op10_warc": warc.OP10_SQL,
+    }

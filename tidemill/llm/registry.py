@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, simhash_neardup, warc
+from tidemill.llm import bpe_codec, exact_dedup, simhash_neardup, warc
 
 
 def queries():
     return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op10_warc": warc.op10_warc,
@@ -15,5 +16,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op10_warc": warc.OP10_SQL,
     }

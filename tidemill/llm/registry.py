@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, exact_dedup, simhash_neardup, warc
+from tidemill.llm import bpe_codec, exact_dedup, license_scan, simhash_neardup, warc
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op10_warc": warc.op10_warc,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, exact_dedup, license_scan, simhash_neardup, warc
+from tidemill.llm import bpe_codec, exact_dedup, license_scan, quality, simhash_neardup, url_filter, warc
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_license_scan": license_scan.op4_license_scan,
+        "op5_url_filter": url_filter.op5_url_filter,
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
+        "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
     }
 

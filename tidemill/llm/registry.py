@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, decontaminate, exact_dedup, license_scan, quality, simhash_neardup, url_filter, warc
+from tidemill.llm import bpe_codec, decontaminate, exact_dedup, license_scan, pii, quality, simhash_neardup, url_filter, warc
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_pii_surrogates": pii.op2_pii_surrogates,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_url_filter": url_filter.op5_url_filter,

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, scratch_path, table
+from tidemill.llm.common import materialize, maybe_broadcast, scratch_path, table
 
 #: Bytes of entries that a bucket holds.
 BUCKET_BYTES = 64 << 20
@@ -269,7 +269,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = materialize(spark, found.where("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256"), "duplicates")
     gone = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
     sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
     repeated = found.where("not kept and doc_id <=> keep_id")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else kept
 

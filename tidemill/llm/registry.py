@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe_codec, decontaminate, exact_dedup, license_scan, pii, quality, simhash_neardup, url_filter, warc
+import corpus_pipeline
+from tidemill.llm import bpe_codec, decontaminate, exact_dedup, license_scan, pii, quality, simhash_neardup, substring_dedup, url_filter, warc
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_pii_surrogates": pii.op2_pii_surrogates,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_simhash_neardup": simhash_neardup.op7_simhash_neardup,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op9_quality": quality.op9_quality,

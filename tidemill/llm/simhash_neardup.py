@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import connected_components, materialize, table
+from tidemill.llm.common import connected_components, materialize, maybe_broadcast, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -225,10 +225,14 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, the document with the smallest doc_id stays.
 
-    Documents without a doc_id can't be told apart from their row and stay as they are.
-    Rows that share a doc_id are one document: the first of equal rows stays.
+    A document is known by doc_id and fingerprint. Documents without a doc_id stay, unless their
+    component has one with; of rows that share the doc_id that stays, one stays.
     """
-    found = near_duplicates(spark, docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
-    return kept
+    found = materialize(spark, near_duplicates(spark, docs), "near-duplicates")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone_id")).distinct()
+    kept = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not twice:
+        return kept
+    nulls = kept.where("doc_id is null")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)

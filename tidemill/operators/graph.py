@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
+from tidemill.sources.scratch import materialize
 
 #: Hops beyond this are refused: each is one join over the frontier.
 MAX_HOPS = 5
@@ -91,7 +92,7 @@ def call_graph(symbols: DataFrame, calls: DataFrame, name: str, depth: int = 2,
     taken by hop and name; beyond ``max_nodes`` they are cut. One join per hop over the whole frontier.
     """
     depth = max(1, min(depth, MAX_HOPS))
-    firsts = first_definitions(symbols).select("low_name", F.col("path").alias("d_path"), F.col("start_line").alias("d_line"), F.col("id").alias("d_id"))
+    firsts = materialize(first_definitions(symbols), "definitions").select("low_name", F.col("path").alias("d_path"), F.col("start_line").alias("d_line"), F.col("id").alias("d_id"))
     root = resolve(symbols, name).orderBy("path", "start_line", "id").limit(1)
     frontier = root.select(F.col("id").alias("from_id"))
     hops: list[DataFrame] = []
@@ -100,6 +101,7 @@ def call_graph(symbols: DataFrame, calls: DataFrame, name: str, depth: int = 2,
         if hops:
             met = met.join(_union([h.select("symbol") for h in hops]), "symbol", "left_anti")
         found = met.join(firsts, F.lower("symbol") == F.col("low_name"), "left").select("symbol", F.lit(hop).alias("hop"), F.coalesce("d_path", F.lit("")).alias("path"), F.coalesce("d_line", F.lit(0)).alias("line"), "call_line", "d_id")
+        found = materialize(found, "hop")
         hops.append(found)
         frontier = found.where("d_id is not null").select(F.col("d_id").alias("from_id")).distinct()
     return _union(hops).drop("d_id").orderBy("hop", "symbol").limit(max_nodes)
@@ -120,7 +122,7 @@ def impact_callers(symbols: DataFrame, calls: DataFrame, names: list[str], paths
         raise ValueError("give symbols or paths")
     hops = max(1, min(hops, MAX_HOPS))
     seeds = impact_seeds(symbols, names, paths)
-    doubtful = ambiguous_names(symbols).select("low_name")
+    doubtful = materialize(ambiguous_names(symbols).select("low_name"), "ambiguous")
     unclear = seeds.join(doubtful, F.lower("name") == F.col("low_name"), "left_semi").where(~F.col("name").isin(*names) if names else F.lit(True))
     frontier = seeds.select("name").distinct().join(unclear.select("name"), "name", "left_anti").withColumnRenamed("name", "via")
     seen = seeds.select(F.col("id").alias("caller_id"))
@@ -130,6 +132,7 @@ def impact_callers(symbols: DataFrame, calls: DataFrame, names: list[str], paths
         new = met.join(seen, "caller_id", "left_anti").select(
             "caller_id", X.caller_name(F.col("caller_id")).alias("name"), X.caller_path(F.col("caller_id")).alias("path"), F.col("first.call_line").alias("line"), F.lit(hop).alias("distance"), F.col("first.via").alias("via")
         )
+        new = materialize(new, "callers")
         found.append(new)
         seen = seen.unionByName(new.select("caller_id"))
         frontier = new.join(doubtful, F.lower("name") == F.col("low_name"), "left_anti").select(F.col("name").alias("via")).distinct()
@@ -148,21 +151,27 @@ def pattern_rows(paths: DataFrame) -> DataFrame:
 def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """``(path, dependent)``: files that import a path, by the patterns of its language.
 
-    Modules are few next to imports, so patterns meet distinct modules first. Wildcards in paths are
-    taken literally. ``within`` are paths left out of the result.
+    Modules are few next to imports, so patterns meet distinct modules first. A pattern that is open at
+    one end is an equality on as many characters of the module, one key per distinct length; only
+    those open at both ends are compared by LIKE. Wildcards in paths are taken literally, case doesn't
+    count. ``within`` are paths left out of the result.
     """
-    escaped = F.replace(F.replace(F.col("pattern"), F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_"))
-    patterns = pattern_rows(paths).select("path", escaped.alias("pattern"))
+    patterns = materialize(pattern_rows(paths).select("path", F.lower("pattern").alias("pattern")), "patterns")
+    low = F.lower("from_module")
     modules = imports.select("from_module").distinct()
-    # a pattern that starts with text is an equality on the module's first part; others meet all modules
-    head = F.regexp_extract("pattern", r"^([^%]*?)(?:::|\.|%|$)", 1)
-    keyed = patterns.withColumn("head", F.lower(F.replace(head, F.lit("\\"), F.lit(""))))
-    own = modules.withColumn("own_head", F.lower(F.regexp_extract("from_module", r"^(.*?)(?:::|\.|$)", 1)))
-    like = F.expr("from_module ILIKE pattern")
-    exact = keyed.where("head <> '' and not pattern like '%\\\\_%'").where(F.col("pattern").rlike(r"(?:::|\.)"))
-    loose = keyed.join(exact.select("path", "pattern"), ["path", "pattern"], "left_anti")
-    met = own.join(exact, (F.col("own_head") == F.col("head")) & like).select("path", "from_module")
-    met = met.unionByName(own.join(F.broadcast(loose.limit(BROADCAST_PATTERNS)), like).select("path", "from_module"))
+    open_left, open_right = F.startswith("pattern", F.lit("%")), F.endswith("pattern", F.lit("%"))
+    body = F.regexp_replace("pattern", "^%|%$", "")
+    met = patterns.where(~open_left & ~open_right).join(modules, low == F.col("pattern")).select("path", "from_module")
+    for own, cut in ((patterns.where(~open_left & open_right), F.left), (patterns.where(open_left & ~open_right), F.right)):
+        keyed = own.select("path", body.alias("key"))
+        lengths = [r[0] for r in keyed.select(F.length("key")).distinct().collect()]
+        if lengths:
+            cuts = modules.select("from_module", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: cut(F.lower("from_module"), n)))).alias("key"))
+            met = met.unionByName(keyed.join(cuts, "key").select("path", "from_module"))
+    inside = patterns.where(open_left & open_right).select("path", body.alias("key"))
+    if inside.limit(1).count():
+        few = inside.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+        met = met.unionByName(modules.join(F.broadcast(inside) if few else inside, F.contains(low, F.col("key"))).select("path", "from_module"))
     found = met.distinct().join(dependents(imports), F.col("from_module") == F.col("imported")).select("path", "dependent").distinct()
     leave = within if within is not None else paths
     return found.join(leave.select(F.col("path").alias("dependent")).distinct(), "dependent", "left_anti")
@@ -172,7 +181,7 @@ def import_dependents_transitive(imports: DataFrame, paths: DataFrame, hops: int
     """``(dependent, hop)`` of the files that import the paths, directly or not."""
     seen, frontier, found = paths.select("path").distinct(), paths.select("path").distinct(), []
     for hop in range(1, max(1, min(hops, MAX_HOPS)) + 1):
-        new = import_dependents(imports, frontier, seen).select("dependent").distinct()
+        new = materialize(import_dependents(imports, frontier, seen).select("dependent").distinct(), "dependents")
         found.append(new.withColumn("hop", F.lit(hop)))
         frontier = new.select(F.col("dependent").alias("path"))
         seen = seen.unionByName(frontier)

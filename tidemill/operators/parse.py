@@ -34,16 +34,18 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 def prefix_symbols(files: DataFrame) -> DataFrame:
     """One symbol per line at most: the longest prefix that fits decides; ends come from the next symbol's start."""
-    name = kind = F.lit(None).cast("string")
-    bare = X.trimmed(F.col("line"))
+    pattern = F.lit("(?!)")
+    kinds = []
     for language, prefixes in rules.SYMBOL_PREFIXES.items():
-        own_name = own_kind = F.lit(None).cast("string")
-        for prefix, k in sorted(prefixes, key=lambda x: len(x[0])):
-            got = F.regexp_extract(bare, f"^{re.escape(prefix)}({NAME})", 1)
-            fits = bare.startswith(prefix)
-            own_name, own_kind = F.when(fits, got).otherwise(own_name), F.when(fits, F.lit(k)).otherwise(own_kind)
-        name, kind = F.when(F.col("language") == language, own_name).otherwise(name), F.when(F.col("language") == language, own_kind).otherwise(kind)
-    found = numbered_lines(files).select("path", "n_lines", "line_no", name.alias("name"), kind.alias("kind")).where(F.octet_length("name") >= 2)
+        ordered = sorted((p for p, _ in prefixes), key=len, reverse=True)
+        # atomic: a longer prefix without a name after it doesn't give way to a shorter one
+        own = "^((?>" + "|".join(map(re.escape, ordered)) + f"))({NAME})"
+        pattern = F.when(F.col("language") == language, own).otherwise(pattern)
+        kinds += [(language, p, k) for p, k in prefixes]
+    lines = numbered_lines(files).withColumn("bare", X.trimmed(F.col("line"))).withColumn("pattern", pattern)
+    cut = lines.select("path", "language", "n_lines", "line_no", F.expr("regexp_extract(bare, pattern, 1)").alias("prefix"), F.expr("regexp_extract(bare, pattern, 2)").alias("name"))
+    table = files.sparkSession.createDataFrame(kinds, "language string, prefix string, kind string")
+    found = cut.where(F.octet_length("name") >= 2).join(F.broadcast(table), ["language", "prefix"])
     w = Window.partitionBy("path").orderBy("line_no")
     end = F.coalesce(F.greatest(F.lead("line_no").over(w) - 1, F.col("line_no")), F.col("n_lines"))
     return found.select(F.concat_ws("::", "path", "name").alias("id"), "path", "name", "kind", F.col("line_no").alias("start_line"), end.alias("end_line"))

@@ -266,7 +266,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
     joined = narrow.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id"))
     rows = joined.select("_doc_id", "_label", statistics_column(F.col("_text")).alias("_stats")).collect()
     rows.sort(key=lambda r: (r[0], r[2]))
-    return fit_rows(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows], np.float64))
+    return fit_rows(np.array([r[2] for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r[1] for r in rows], np.float64))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:

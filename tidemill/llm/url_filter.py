@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and a logistic regression for urls that no rule fits.
 
 The regression reads hashed character n-grams of host and path. It is trained on the driver
-from a small labelled table (a parameter), by Newton-free batch gradient steps over a few
+from a small labelled table (a parameter), by batch gradient steps over a few
 hundred rows, which is deterministic; its weights are one fixed-size vector (``BUCKETS``
 floats) that goes to the tasks with the function. Judging is one narrow pass over the url
 column alone; nothing is shuffled.
@@ -86,6 +86,8 @@ BLOCKED_URLS = (
     "https://xxx-videos.example.com/watch/331",
     "http://hot-xxx.example.net/cams/live",
     "https://adult-cams.example.org/en/live",
+    "http://www.adult-xxx.example.net/gallery/4",
+    "https://adult-x-videos.example.com/en/12",
     "https://porn-tube.example.com/videos/88",
     "http://free-porn.example.net/xxx",
     "https://payday-loans.example.com/en/instant-cash",
@@ -111,6 +113,8 @@ STEPS = 400
 STEP = 2.0
 RIDGE = 1e-3
 BLOCK_AT = 0.5
+#: Log-odds to block of a url that says nothing; fixed, so that what is unknown is let through.
+PRIOR = -1.0
 
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.DOTALL)
 
@@ -162,11 +166,10 @@ def train(allowed: tuple[str, ...] = ALLOWED_URLS, blocked: tuple[str, ...] = BL
         at = features(*split_url(url))
         x[i, at] = 1 / np.sqrt(max(1, len(at)))
     y = np.r_[np.zeros(len(allowed)), np.ones(len(blocked))]
-    w, b = np.zeros(BUCKETS), 0.0
+    w, b = np.zeros(BUCKETS), PRIOR
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         w -= STEP * (x.T @ (p - y) / len(y) * 10 + RIDGE * w)
-        b -= STEP * 0.1 * float((p - y).mean())
     return w, b
 
 

@@ -156,12 +156,17 @@ def _entries(batches):
 
 
 def _keys(batches):
-    """(doc_id, key, sha, bytes) of every row. Keys are shifted so that signed order is key order."""
+    """(doc_id, key, sha, bytes, raw) of every row. Keys are shifted so that signed order is key order.
+
+    ``raw`` is the hash of the text as it stands, as Spark's xxhash64 has it.
+    """
     for batch in batches:
-        texts = pc.ascii_lower(pc.fill_null(batch.column(1), "")).cast(pa.binary()).to_pylist()
+        given = pc.fill_null(batch.column(1), "")
+        raw = np.fromiter((xxhash.xxh64_intdigest(t.as_py(), 42) for t in given.cast(pa.binary())), np.uint64, len(given))
+        texts = pc.ascii_lower(given).cast(pa.binary()).to_pylist()
         keys = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
         shas = [hashlib.sha256(t).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(shas, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "key", "sha", "bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(shas, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(raw.view(np.int64))], names=["doc_id", "key", "sha", "bytes", "raw"])
 
 
 def _place(slots: np.ndarray, depth: int):
@@ -243,8 +248,8 @@ def build_index(spark: SparkSession, docs: DataFrame, keys: DataFrame, path: str
 
 
 def find_duplicates(spark: SparkSession, docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)``: one row per document."""
-    keys = materialize(spark, _narrow(docs).mapInArrow(_keys, "doc_id long, key long, sha binary, bytes long"), "row-keys")
+    """``(doc_id, keep_id, group_size, kept, text_sha256, raw)``: one row per document."""
+    keys = materialize(spark, _narrow(docs).mapInArrow(_keys, "doc_id long, key long, sha binary, bytes long, raw long"), "row-keys")
     index = build_index(spark, docs, keys, scratch_path(spark, "exact-index"), capacity)
     entry = index.select("key", "sha", "keep_id", "at_keep", F.col("n").alias("group_size"))
     found = keys.join(entry, ["key", "sha"])
@@ -256,22 +261,26 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, capacity: int = BUCKET
         found = found.where(~tied).withColumn("kept", stays).unionByName(found.where(tied).withColumn("kept", first))
     else:
         found = found.withColumn("kept", stays)
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "raw")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_duplicates(spark, table(spark, sf_dir, "documents"))
+    return find_duplicates(spark, table(spark, sf_dir, "documents")).drop("raw")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts, the row with the largest doc_id stays, once."""
     found = find_duplicates(spark, docs)
-    found = materialize(spark, found.where("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256"), "duplicates")
-    gone = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    found = materialize(spark, found.where("group_size > 1").select("doc_id", "keep_id", "kept", "raw"), "duplicates")
+    gone = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone_id"), F.col("raw").alias("_gone_raw")).distinct()
+    raw = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (raw == F.col("_gone_raw")), "left_anti")
     repeated = found.where("not kept and doc_id <=> keep_id")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else kept
+    if not repeated.limit(1).count():
+        return kept
+    # repeated rows are one document: rows that share the id that stays and the normalised text
+    norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return kept.withColumn("_same_text", norm).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
 
 
 #: A-Z only: DuckDB's lower() would also fold other scripts.

@@ -16,17 +16,21 @@ def line_number(text: Column, before: Column) -> Column:
 
 
 def chunk_spans(files: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``files`` with one row per chunk: chunk_index, chunk_total, chunk, start_line, end_line. Empty texts have none."""
+    """``files`` without content, one row per chunk: chunk_total, chunk_index, chunk, start_line, end_line. Empty texts have none."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
     stride = size - overlap
     n = F.when(F.length("content") <= size, 1).otherwise(F.ceil((F.length("content") - size) / stride) + 1).cast("int")
     some = files.where(F.length("content") > 0).withColumn("chunk_total", n)
-    each = some.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("chunk_total") - 1)))
-    start = F.col("chunk_index") * stride
-    cut = each.withColumn("chunk", F.substr("content", start + 1, F.lit(size)))
+
+    def cut(i: Column) -> Column:
+        return F.struct(i.alias("chunk_index"), F.substr("content", i * stride + 1, F.lit(size)).alias("chunk"), line_number(F.col("content"), i * stride).alias("start_line"))
+
+    # cut before the explode, so that rows carry their chunk and not the whole text
+    others = [c for c in some.columns if c != "content"]
+    each = some.select(*others, F.inline(F.transform(F.sequence(F.lit(0), F.col("chunk_total") - 1), cut)))
     ends = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n")))
-    return cut.withColumn("start_line", line_number(F.col("content"), start)).withColumn("end_line", (F.col("start_line") + ends).cast("int"))
+    return each.withColumn("end_line", (F.col("start_line") + ends).cast("int"))
 
 
 def chunk_files(files: DataFrame, config: Config) -> DataFrame:

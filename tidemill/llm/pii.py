@@ -43,6 +43,8 @@ PATTERNS = {
     "name": r"(?<![\p{L}])(?:Mr|Mister|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа)\.?[ ]\p{Lu}\p{Ll}+(?:[ ]\p{Lu}\p{Ll}+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity has one of these; texts without are not searched further.
+HINT = r"[0-9@]|[=:]\s*[\"']|(?:Mr|Mister|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа)\.?[ ]"
 
 #: Honorifics by the gender that they tell.
 MALE = r"^(?:Mr|Mister|Herr|Monsieur|Señor|Sr|Господин)\.?$"
@@ -57,6 +59,11 @@ NAMES = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hex(*parts: Column) -> Column:
     """64 hexadecimal digits that depend on the parts."""
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
@@ -90,7 +97,7 @@ def _shaped(text: Column, seed: Column) -> Column:
     # three hexadecimal digits for each character, from as many digests as it takes
     stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 20).cast("int")), lambda i: F.sha2(F.concat(seed, i.cast("string")), 256)), "")
 
-    def one(c, i):
+    def one(stream, c, i):
         r = F.conv(F.substr(stream, i * 3 + 1, F.lit(3)), 16, 10).cast("int")
         return (
             F.when(F.regexp_like(c, F.lit("^[0-9]$")), (r % 10).cast("string"))
@@ -99,7 +106,7 @@ def _shaped(text: Column, seed: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(chars, one), "")
+    return _let(stream, lambda s: F.array_join(F.transform(chars, lambda c, i: one(s, c, i)), ""))
 
 
 def _with_check_digit(number: Column) -> Column:
@@ -140,7 +147,10 @@ def _name(entity: Column, seed: Column) -> Column:
 
 def surrogate(entity: Column, kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The ``attempt``-th replacement of an entity; a function of key, kind and canonical form, in the mention's own format."""
-    seed = _hex(F.lit(key), kind, canon, attempt.cast("string"))
+    return _let(_hex(F.lit(key), kind, canon, attempt.cast("string")), lambda seed: _from_seed(entity, kind, canon, seed))
+
+
+def _from_seed(entity: Column, kind: Column, canon: Column, seed: Column) -> Column:
     at = F.locate("@", entity)
     byte = lambda i: (F.conv(F.substr(seed, F.lit(i * 4 + 1), F.lit(4)), 16, 10).cast("long") % 254 + 1).cast("string")
     quote = F.regexp_extract(entity, "^(.*?[\"'])", 1)
@@ -160,16 +170,24 @@ def surrogate(entity: Column, kind: Column, canon: Column, attempt: Column, key:
 
 def _refill(mention: Column, digits: Column, seed: Column) -> Column:
     """A mention's separators around the keyed digits of its canonical form."""
-    fresh = _shaped(digits, seed)
     shape = F.split(mention, "")
     # each character's place among the digits
     place = F.transform(shape, lambda c, i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), "[^0-9]", "")))
-    return F.array_join(F.zip_with(shape, place, lambda c, p: F.when(F.regexp_like(c, F.lit("^[0-9]$")), F.substr(fresh, p, F.lit(1))).otherwise(c)), "")
+    pick = lambda fresh: F.zip_with(shape, place, lambda c, p: F.when(F.regexp_like(c, F.lit("^[0-9]$")), F.substr(fresh, p, F.lit(1))).otherwise(c))
+    return _let(_shaped(digits, seed), lambda fresh: F.array_join(pick(fresh), ""))
 
 
 def _found(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("mentions"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
+def _hinted() -> Column:
+    return F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+
+
+def _mentions() -> Column:
+    return F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
 
 
 def _described(mention: Column) -> Column:
@@ -182,7 +200,7 @@ def entities(spark: SparkSession, docs: DataFrame, key: str = KEY) -> DataFrame:
 
     ``mention`` is the entity's smallest form; ``surrogate`` is the replacement of that form.
     """
-    mentions = _found(docs).where(F.size("mentions") > 0).select(F.explode("mentions").alias("mention"))
+    mentions = _found(docs).where(_hinted()).select(F.explode(_mentions()).alias("mention"))
     folded = mentions.groupBy("mention").agg(F.count("*").alias("n")).select(_described(F.col("mention")).alias("d"), "n")
     each = folded.groupBy("d.kind", "d.canon").agg(F.min("d.mention").alias("mention"), F.sum("n").alias("n"))
     known = materialize(spark, each.withColumn("attempt", F.lit(0)), "entities")
@@ -207,7 +225,6 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: str = KEY) -> Da
     odd = materialize(spark, known.where("attempt > 0").select("kind", "canon", "attempt"), "exceptions")
     n_odd = odd.count()
     found = _found(docs)
-    described = F.transform("mentions", _described)
     none = F.lit(0)
     if n_odd <= MAX_LITERAL:
         book = {f"{r[0]}\x1f{r[1]}": r[2] for r in odd.collect()}
@@ -216,21 +233,24 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: str = KEY) -> Da
     else:
         # more exceptions than a plan should hold: each text finds its own; rows are numbered once, on disk
         rows = materialize(spark, found.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        each = rows.where(F.size("mentions") > 0).select("_row", F.explode("mentions").alias("mention")).select("_row", _described(F.col("mention")).alias("d"))
+        each = rows.where(_hinted()).select("_row", F.explode(_mentions()).alias("mention")).select("_row", _described(F.col("mention")).alias("d"))
         own = each.join(odd, (F.col("d.kind") == odd["kind"]) & (F.col("d.canon") == odd["canon"])).select("_row", F.concat_ws("\x1f", "d.kind", "d.canon").alias("k"), "attempt").distinct()
         own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("odd"))
         found = rows.join(own, "_row", "left")
         attempt = lambda d: F.coalesce(F.element_at(F.col("odd"), F.concat_ws("\x1f", d["kind"], d["canon"])), none)
-    swaps = F.transform("described", lambda d: surrogate(d["mention"], d["kind"], d["canon"], attempt(d), key))
     gaps = F.split("text", ENTITY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(F.col("swaps"), F.array(F.lit(""))), lambda gap, swap: F.concat(gap, swap)), "")
-    with_swaps = found.withColumn("described", described).withColumn("swaps", swaps)
-    return with_swaps.select(
-        "doc_id",
-        F.when(F.size("mentions") > 0, rebuilt).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("mentions")).alias("n_entities"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("described", lambda d: d["kind"]))), ","), F.lit("")).alias("kinds"),
-    )
+
+    def rebuilt(described: Column) -> Column:
+        swaps = F.transform(described, lambda d: surrogate(d["mention"], d["kind"], d["canon"], attempt(d), key))
+        text = F.array_join(F.zip_with(gaps, F.concat(swaps, F.array(F.lit(""))), lambda gap, swap: F.concat(gap, swap)), "")
+        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(described, lambda d: d["kind"]))), ",")
+        return F.struct(F.when(F.size(described) > 0, text).otherwise(F.col("text")).alias("text"), F.size(described).alias("n"), kinds.alias("kinds"))
+
+    searched = _let(_mentions(), lambda mentions: _let(F.transform(mentions, _described), rebuilt))
+    as_is = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"), F.lit("").alias("kinds"))
+    # one struct per text, exploded from an array of one, so that its fields don't repeat the search
+    out = found.select("doc_id", F.explode(F.array(F.when(_hinted(), searched).otherwise(as_is))).alias("r"))
+    return out.select("doc_id", F.col("r.text").alias("text"), F.col("r.n").alias("n_entities"), F.col("r.kinds").alias("kinds"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

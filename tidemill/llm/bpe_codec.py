@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table
+from tidemill.llm.common import bounded_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each generation of the per-worker caches: white-space separated chunks, and pieces of them.
@@ -305,9 +305,11 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: digests of every document's ids and of its decoded text."""
+    bounded_batches(spark)
     return encode_digests(docs)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, maybe_broadcast, scratch_path, table
+from tidemill.llm.common import bounded_batches, materialize, maybe_broadcast, scratch_path, table
 
 #: Bytes of entries that a bucket holds.
 BUCKET_BYTES = 64 << 20
@@ -42,7 +42,9 @@ COUNT_BITS = 12
 #: The directory never has more bits; beyond it a bucket is an oversized run of keys, still processed as a stream.
 MAX_BITS = 22
 #: Bytes of texts that a task remembers for folding repeats.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 16 << 20
+#: Rows of a batch that are copied out of Arrow at once.
+SLICE_ROWS = 256
 
 
 class Directory:
@@ -107,6 +109,12 @@ def build_directory(count, capacity: int = BUCKET_BYTES, max_bits: int = MAX_BIT
     return directory
 
 
+def _slices(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(lo, SLICE_ROWS)
+
+
 def _entries(batches):
     """(key, text, low id, high id, rows at the high id, rows) per text, folded over what the task remembers."""
     schema = pa.schema([("key", pa.int64()), ("text", pa.binary()), ("high", pa.int64()), ("at_high", pa.int64()), ("n", pa.int64())])
@@ -122,7 +130,7 @@ def _entries(batches):
     def leave(text, fold):
         return (xxhash.xxh64_intdigest(text) - (1 << 63), text, *fold)
 
-    for batch in batches:
+    for batch in _slices(batches):
         texts = pc.ascii_lower(pc.fill_null(batch.column(1), "")).cast(pa.binary())
         for doc_id, text in zip(batch.column(0).to_pylist(), texts.to_pylist(), strict=True):
             fold = seen.get(text)
@@ -160,7 +168,7 @@ def _keys(batches):
 
     ``raw`` is the hash of the text as it stands, as Spark's xxhash64 has it.
     """
-    for batch in batches:
+    for batch in _slices(batches):
         given = pc.fill_null(batch.column(1), "")
         raw = np.fromiter((xxhash.xxh64_intdigest(t.as_py(), 42) for t in given.cast(pa.binary())), np.uint64, len(given))
         texts = pc.ascii_lower(given).cast(pa.binary()).to_pylist()
@@ -194,7 +202,7 @@ def _chain(batches):
     def give():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    for batch in batches:
+    for batch in _slices(batches):
         for b, k, text, high, at_high, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key:
                 close()
@@ -249,6 +257,7 @@ def build_index(spark: SparkSession, docs: DataFrame, keys: DataFrame, path: str
 
 def find_duplicates(spark: SparkSession, docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256, raw)``: one row per document."""
+    bounded_batches(spark)
     keys = materialize(spark, _narrow(docs).mapInArrow(_keys, "doc_id long, key long, sha binary, bytes long, raw long"), "row-keys")
     index = build_index(spark, docs, keys, scratch_path(spark, "exact-index"), capacity)
     entry = index.select("key", "sha", "keep_id", "at_keep", F.col("n").alias("group_size"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import table
+from tidemill.llm.common import bounded_batches, table
 
 MAX_LABELS = 20_000
 HELD_OUT_OF = 5
@@ -258,6 +258,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> RuleModel:
     """Learns from at most ``max_labels`` labelled documents that aren't held out."""
+    bounded_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("_label_id"), F.col("quality").cast("int").alias("_label"))
     known = known.where("_label_id is not null and _label in (0, 1)").where(~held_out(F.col("_label_id")))
     known = known.groupBy("_label_id").agg(F.min("_label").alias("_label"))

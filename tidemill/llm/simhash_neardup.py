@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import connected_components, materialize, maybe_broadcast, table
+from tidemill.llm.common import bounded_batches, connected_components, materialize, maybe_broadcast, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -208,6 +208,7 @@ def link_fingerprints(spark: SparkSession, distinct_fps: DataFrame, max_bits: in
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row per document; component_id is the smallest doc_id reachable."""
+    bounded_batches(spark)
     fps = materialize(spark, fingerprints(docs, shingle, seed), "fingerprints")
     classes = materialize(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp-classes")
     roots = connected_components(spark, link_fingerprints(spark, classes, max_bits))

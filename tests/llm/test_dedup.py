@@ -226,6 +226,17 @@ def test_passages_against_brute_force(spark, prose):
         assert len(a) >= 50 and len(b) >= 50 and len(x & y) / len(x | y) >= 0.8 - 1e-9
 
 
+def test_passages_whose_ends_occur_twice():
+    """The last 15 of 60 shared words stand 20 words before the passage in B as well."""
+    rng = np.random.default_rng(3)
+    p, gap, rest = (rng.integers(1, 1 << 60, n).astype(np.uint64) for n in (56, 20, 80))
+    a = np.r_[rest[:40], p, rest[40:60]]
+    for b in (np.r_[p[-11:], gap, p], np.r_[p, gap, p[:11]], np.r_[p[-11:], gap, p, gap, p[:11]]):
+        for x, y in ((a, b), (b, a)):
+            got = substring_dedup.matching_passages(x, y, 46)
+            assert got and max(e - s for s, e, *_ in got) >= 56 and max(e - s for _, _, s, e, _ in got) >= 56
+
+
 def test_passages_on_awkward_rows(spark, awkward, nothing):
     got = substring_dedup.find_passages(spark, awkward)
     assert {r["doc_id"] for r in got.collect()} == {5, 6}

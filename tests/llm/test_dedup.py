@@ -237,6 +237,16 @@ def test_passages_whose_ends_occur_twice():
             assert got and max(e - s for s, e, *_ in got) >= 56 and max(e - s for _, _, s, e, _ in got) >= 56
 
 
+def test_all_windows_of_a_task_go_on(prose):
+    """Texts of one task that share passages with each other send as many windows as any text."""
+    import pyarrow as pa
+
+    shared = [prose(60) for _ in range(3)]
+    texts = [f"{prose(40)} {p} {prose(40)}" for p in shared] + [" ".join(f"{p} {prose(30)}" for p in shared)]
+    send = lambda some: sum(b.num_rows for b in substring_dedup._window_rows(5, 50, 6)([pa.RecordBatch.from_arrays([pa.array(some)], names=["text"])]))
+    assert send(texts) == sum(send([t]) for t in texts)
+
+
 def test_passages_on_awkward_rows(spark, awkward, nothing):
     got = substring_dedup.find_passages(spark, awkward)
     assert {r["doc_id"] for r in got.collect()} == {5, 6}

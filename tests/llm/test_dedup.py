@@ -247,6 +247,22 @@ def test_all_windows_of_a_task_go_on(prose):
     assert send(texts) == sum(send([t]) for t in texts)
 
 
+def test_partners_that_are_neither_first_nor_next(spark, prose):
+    """Hundreds of copies with their own edits: whatever any pair matches in is found."""
+    rng = random.Random(21)
+    base, rows = prose(54).split(), []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            words[rng.randrange(len(words))] = f"own{i}x{rng.randint(0, 999)}"
+        rows.append((i, " ".join(words)))
+    cache = substring_dedup._WordHashes()
+    own = {i: substring_dedup.tokens(t.encode().split(), cache) for i, t in rows}
+    want = {k for i in own for j in own if i < j and substring_dedup.matching_passages(own[i], own[j], 46) for k in (i, j)}
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == want and len(want) > 20
+
+
 def test_passages_on_awkward_rows(spark, awkward, nothing):
     got = substring_dedup.find_passages(spark, awkward)
     assert {r["doc_id"] for r in got.collect()} == {5, 6}

@@ -169,6 +169,17 @@ def test_simhash_stage(spark, awkward, nothing):
     assert simhash_neardup.keep_one(spark, nothing, "").count() == 0
 
 
+def test_simhash_stage_knows_a_document_by_id_and_text(spark, prose):
+    """A near copy that goes takes no other document of its doc_id, or without one, along."""
+    a, b, c, d, e = (prose(200) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (7, d), (7, e), (8, d), (9, a), (9, b + " x"), (7, d)]
+    kept = simhash_neardup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    prints = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    near = simhash_neardup.fingerprint
+    alike = (near((b + " x").encode().split()) ^ near(b.encode().split())).bit_count() <= 3
+    assert prints == Counter([(1, a), (None, c), (7, d), (7, e), (9, b + " x"), *([] if alike else [(None, b)])])
+
+
 def test_compact_windows_hold_every_passage():
     """Each stretch of the least width or more is in exactly the window of its own smallest token."""
     rng = np.random.default_rng(6)

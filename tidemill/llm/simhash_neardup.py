@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import bounded_batches, connected_components, materialize, maybe_broadcast, table
@@ -71,15 +71,25 @@ def _fingerprint_batches(shingle: int, seed: int):
     def run(batches):
         for batch in batches:
             found = np.fromiter((fingerprint(w, shingle, seed) for w in _words(batch.column(1))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_key"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp)``, one row per document; one narrow pass, no shuffle."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long")
+    return _keyed_fingerprints(docs, shingle, seed).drop("text_key")
+
+
+def _keyed_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``(doc_id, fp, text_key)``, by the hash of the raw text."""
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
+    return narrow.mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long, text_key long")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def half_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,15 +218,20 @@ def link_fingerprints(spark: SparkSession, distinct_fps: DataFrame, max_bits: in
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row per document; component_id is the smallest doc_id reachable."""
+    found = _rooted(spark, fingerprints(docs, shingle, seed), max_bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _rooted(spark: SparkSession, prints: DataFrame, max_bits: int) -> DataFrame:
+    """The fingerprints' rows with the root of their component and its smallest doc_id."""
     bounded_batches(spark)
-    fps = materialize(spark, fingerprints(docs, shingle, seed), "fingerprints")
+    fps = materialize(spark, prints, "fingerprints")
     classes = materialize(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp-classes")
     roots = connected_components(spark, link_fingerprints(spark, classes, max_bits))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(spark, rooted, "fp-roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = rooted.join(lows, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(rooted.join(lows, "root").select("fp", "root", "component_id"), "fp")
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,14 +241,26 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, the document with the smallest doc_id stays.
 
-    A document is known by doc_id and fingerprint. Documents without a doc_id stay, unless their
-    component has one with; of rows that share the doc_id that stays, one stays.
+    A document is known by doc_id and raw text. Documents without a doc_id stay, unless their
+    component has one with; of a component's rows that share the doc_id that stays, one stays.
     """
-    found = materialize(spark, near_duplicates(spark, docs), "near-duplicates")
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not twice:
+    found = materialize(spark, _rooted(spark, _keyed_fingerprints(docs, SHINGLE_WORDS, SEED), MAX_BITS), "near-duplicates")
+    # texts of a component that share the smallest doc_id, or rows that are the same
+    own = found.where("doc_id = component_id").groupBy("root").agg(F.count("*").alias("rows"), F.min("text_key").alias("low_key"))
+    twice = materialize(spark, own.where("rows > 1"), "near-twice")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "text_key")
+    if twice.isEmpty():
+        again = None
+    else:
+        more = found.where("doc_id = component_id").join(maybe_broadcast(twice), "root")
+        again = materialize(spark, more.where("text_key = low_key").select(F.col("doc_id").alias("_again_id"), F.col("text_key").alias("_again_key")).distinct(), "near-again")
+        gone = gone.unionByName(more.where("text_key <> low_key").select("doc_id", "text_key"))
+    gone = materialize(spark, gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "near-gone")
+    key = _text_key(docs["text"].cast("string"))
+    kept = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti")
+    if again is None:
         return kept
-    nulls = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
+    on = (F.col("doc_id") == F.col("_again_id")) & (_text_key(F.col("text").cast("string")) == F.col("_again_key"))
+    again = maybe_broadcast(again)
+    once = kept.join(again, on, "left_semi").withColumn("_again_key", _text_key(F.col("text").cast("string")))
+    return kept.join(again, on, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_again_key"]).drop("_again_key"))

@@ -195,6 +195,18 @@ def test_debounce_batch_and_stream_agree(spark, tmp_path):
     assert closed == got - {("z", 1, "create")}
 
 
+def test_table_of_changes_streams_whole(spark, tmp_path):
+    """More files than one trigger takes, in no order of time, and bursts that are open at the end."""
+    rng = random.Random(8)
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(f"p{rng.randint(0, 9)}", t + datetime.timedelta(seconds=rng.randint(0, 90_000)), rng.choice(["create", "modify"])) for _ in range(400)]
+    changes = spark.createDataFrame(rows, "path string, ts timestamp, op string").repartition(8)
+    key = lambda df: sorted(map(tuple, df.select("path", "events", "first_ts", "last_ts").collect()))
+    got = watch.debounce_table(spark, changes, str(tmp_path / "whole"), "30 minutes", per_trigger=2)
+    assert key(got) == key(watch.debounce(changes, "30 minutes")) and got.count() > 10
+    assert watch.debounce_table(spark, changes.limit(0), str(tmp_path / "none"), "30 minutes").count() == 0
+
+
 def test_engine_end_to_end(spark, tmp_path):
     root = tmp_path / "project"
     (root / "src").mkdir(parents=True)

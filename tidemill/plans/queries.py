@@ -659,14 +659,10 @@ def debounce_sessions(spark, d):
 
 @query()
 def stream_reindex(spark, d):
-    """Changes stream into bursts; the rows are those of the closed bursts."""
+    """Changes stream into bursts; the rows are those of all bursts."""
     from tidemill.sources.scratch import scratch
 
-    where = scratch(spark, "stream")
-    derive(spark, d, "changes").select("path", "ts", "op").write.parquet(f"{where}/in")
-    changes = watch.file_changes(spark, f"{where}/in", "path string, ts timestamp, op string")
-    watch.debounced_stream(changes, f"{where}/checkpoint", f"{where}/out", "30 minutes", "1 hour").awaitTermination()
-    return spark.read.schema("path string, events long, first_ts timestamp, last_ts timestamp, op string").parquet(f"{where}/out")
+    return watch.debounce_table(spark, derive(spark, d, "changes"), scratch(spark, "stream"), "30 minutes")
 
 
 def queries() -> dict[str, Query]:

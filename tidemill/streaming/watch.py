@@ -55,3 +55,26 @@ def debounced_stream(changes: DataFrame, checkpoint: str, target: str, gap: str
     """Bursts of a stream, appended to a table as they close."""
     out = debounce(changes, gap, watermark)
     return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
+
+
+def debounce_table(spark: SparkSession, changes: DataFrame, where: str, gap: str, per_trigger: int = 256) -> DataFrame:
+    """All bursts of a table of changes, streamed through files below ``where``, in whatever order and batches they come.
+
+    The watermark lies back by the table's whole span, so that no row is late; a last event, beyond
+    all others by more than that, closes the bursts that are open. Its own burst never closes.
+    """
+    schema = "path string, ts timestamp, op string"
+    changes.select("path", "ts", "op").write.parquet(f"{where}/in")
+    rows = spark.read.schema(schema).parquet(f"{where}/in")
+    seconds = rows.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("span")).first()[0] or 0
+    delay = f"{seconds + 1} seconds"
+
+    def run():
+        stream = file_changes(spark, f"{where}/in", schema, per_trigger=per_trigger)
+        debounced_stream(stream, f"{where}/checkpoint", f"{where}/out", gap, delay).awaitTermination()
+
+    run()
+    end = F.max("ts") + F.expr(f"interval {gap}") + F.expr(f"interval {delay}") + F.expr("interval 1 hour")
+    rows.agg(F.lit("").alias("path"), end.alias("ts"), F.lit("").alias("op")).where("ts is not null").write.mode("append").parquet(f"{where}/in")
+    run()
+    return spark.read.schema("path string, events long, first_ts timestamp, last_ts timestamp, op string").parquet(f"{where}/out")

@@ -207,6 +207,22 @@ def test_table_of_changes_streams_whole(spark, tmp_path):
     assert watch.debounce_table(spark, changes.limit(0), str(tmp_path / "none"), "30 minutes").count() == 0
 
 
+def test_reindexing_sees_every_path_of_a_batch(spark, tmp_path, monkeypatch):
+    config = Config()
+    excluded = [(f"{config.exclude_dirs[0]}/lib/f{i}.{config.include_extensions[0]}",) for i in range(4000)]
+    paths = [p for (p,) in excluded[:3]] + ["src/a.rs", ".rs", "src/.hidden.RS", "src/..rs", "a.rs/b", "x.", "readme.md", "c.py", "..a.md"]
+    for some in (config, Config(include_dirs=["src"])):
+        got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "path string").select(scan.is_indexable_path(F.col("path"), some)).collect()]
+        assert got == [scan.should_index(p, some) for p in paths]
+    told = []
+    monkeypatch.setattr(watch.ingest, "update", lambda *a: told.append(a))
+    for name, extra in (("none", []), ("one", [("src/a.rs",)])):
+        spark.createDataFrame([*excluded, *extra], "path string").coalesce(1).write.parquet(str(tmp_path / name))
+        stream = watch.file_changes(spark, str(tmp_path / name), "path string")
+        watch.reindex_on_change(stream, None, lambda: None, config, str(tmp_path / f"{name}-cp")).awaitTermination()
+        assert len(told) == len(extra)
+
+
 def test_engine_end_to_end(spark, tmp_path):
     root = tmp_path / "project"
     (root / "src").mkdir(parents=True)

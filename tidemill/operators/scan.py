@@ -73,6 +73,14 @@ def should_index(path: str, config: Config) -> bool:
     return inside and not set(parts[:-1]) & set(config.exclude_dirs) and ext in config.include_extensions
 
 
+def is_indexable_path(path: Column, config: Config) -> Column:
+    """``should_index`` as a column."""
+    name = F.element_at(F.split(path, "/"), -1)
+    dotted = F.instr(F.regexp_replace(name, r"^\.+", ""), ".") > 0
+    ext = F.when(dotted, F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    return in_included_dir(path, config.include_dirs) & ~in_excluded_dir(path, config.exclude_dirs) & ext.isin(*config.include_extensions)
+
+
 def resolve_in_root(path: str) -> str:
     """A relative path without upward steps; raises for any other."""
     if path.startswith("/") or ".." in path.split("/"):

@@ -43,8 +43,7 @@ def reindex_on_change(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        paths = [r[0] for r in batch.select("path").distinct().limit(1000).collect()]
-        if any(scan.should_index(p, config) for p in paths):
+        if batch.where(scan.is_indexable_path(F.col("path"), config)).limit(1).count():
             ingest.update(store, read_files(), config)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -88,6 +88,18 @@ def test_contamination_against_brute_force(spark, prose):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_truncated_items_are_contamination(spark, prose):
+    """A text that is an item cut short is one short window, with or without a full stop at either end."""
+    items = [(i, prose(n)) for i, n in enumerate((50, 30, 14, 9))]
+    cut = [(i, " ".join(t.split()[:n])) for i, t in items for n in range(5, len(t.split()) + 1)]
+    docs = [(100 * j + k, text) for j, (_, t) in enumerate(cut) for k, text in enumerate((t, t + ".", f"({t})"))]
+    found = decontaminate.find_contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()}
+    want = brute_contamination(docs, items)
+    assert got.keys() == want.keys() and len(want) > 3 * len(items)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_contamination_on_awkward_rows(spark, awkward, nothing):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, None)], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.find_contamination(spark, awkward, items).collect()} == {1, 2, None}

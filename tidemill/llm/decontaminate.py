@@ -5,9 +5,9 @@ the item, has a weighted similarity of 0.8 or more to it: the sum of the smaller
 of the larger counts of their five-word shingles.
 
 1. Windows. Such a window shares shingles with its item, so windows are only laid where a
-   shingle of the benchmark occurs, at the start that puts it where the item has it. (At least
-   ``2 t n / (1 + t)`` of an item's n shingles must occur in the document for a similarity of t;
-   documents below that are left out.) This first pass hashes every five words of every text
+   shingle of the benchmark occurs, at the start that puts it where the item has it. (For a
+   similarity of t, at least ``t (n + min(n, m)) / (1 + t)`` of an item's n shingles must occur in a
+   document of m; documents below that are left out.) This first pass hashes every five words of every text
    and meets the benchmark's shingles in a join whose small side is broadcast after a check of
    its size.
 2. Fingerprints. Each window and each item gets the 64-bit majority fingerprint of its shingles.
@@ -41,9 +41,9 @@ BLOCK_BITS = 4
 
 
 def word_hashes(text: Column) -> Column:
-    """Hashes of a text's words; an empty string may stand at either end, and never matches."""
+    """Hashes of a text's words, without the empty strings that the split leaves at either end."""
     words = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def grams(hashes: str, k: int) -> Column:
@@ -91,16 +91,17 @@ def _windows(docs: DataFrame, places: DataFrame, sizes: list[int], small: bool,
     hashed = narrow.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes(F.col("text")).alias("h"))
     hits = None
     for k in sizes:
-        spread = hashed.select("doc_id", "text_key", F.posexplode(grams("h", k)).alias("place", "gram"))
+        spread = hashed.select("doc_id", "text_key", (F.size("h") - (k - 1)).alias("m"), F.posexplode(grams("h", k)).alias("place", "gram"))
         at = places.where(F.col("k") == k)
         met = spread.join(F.broadcast(at) if small else at, "gram")
         hits = met if hits is None else hits.unionByName(met)
     found = hits.groupBy("doc_id", "text_key", "item_id", "k", "width").agg(
         F.collect_set("item_place").alias("met"),
+        F.max("m").alias("m"),
         F.collect_set(F.col("place") - F.col("item_place")).alias("starts"),
     )
     shingles = F.col("width") - F.col("k") + 1
-    enough = F.size("met") * (1 + similarity) >= shingles * 2 * similarity - 1e-9
+    enough = F.size("met") * (1 + similarity) >= (shingles + F.least(shingles, F.col("m"))) * similarity - 1e-9
     return found.where(enough).select("doc_id", "text_key", "k", "width", F.explode("starts").alias("start")).distinct()
 
 

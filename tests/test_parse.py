@@ -90,3 +90,12 @@ def test_parse_files_as_tables(spark):
     assert {r["id"] for r in parse.symbols_of(parsed).collect()} >= {"b.rs::Boat", "b.rs::new", "b.rs::launch"}
     assert ("b.rs", "shore::*", "*") in {tuple(r) for r in parse.imports_of(parsed).collect()}
     assert ("b.rs::launch", "new", 14) in {tuple(r) for r in parse.calls_of(parsed).collect()}
+
+
+@pytest.mark.parametrize("name", ["file_symbols", "file_calls", "file_prefix_symbols", "file_prefix_calls", "file_prefix_imports"])
+def test_extraction_goes_over_the_files_of_a_table(spark, name):
+    from tidemill.plans import queries
+
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    got.count()  # it runs; the table may hold no source code
+    assert "LocalTableScan" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -548,6 +548,35 @@ def skeleton_files(spark, d):
     return skeleton.skeletons(files).select("path", F.md5("skeleton").alias("skeleton_md5"))
 
 
+def _files(spark, d):
+    return derive(spark, d, "files").withColumn("language", X.language_of(F.col("ext"))).select("path", "language", "content")
+
+
+@query()
+def file_symbols(spark, d):
+    return parse.symbols_of(parse.parse_files(_files(spark, d)))
+
+
+@query()
+def file_calls(spark, d):
+    return parse.calls_of(parse.parse_files(_files(spark, d)))
+
+
+@query()
+def file_prefix_symbols(spark, d):
+    return parse.prefix_symbols(_files(spark, d))
+
+
+@query()
+def file_prefix_calls(spark, d):
+    return parse.prefix_calls(_files(spark, d), parse.prefix_symbols(_files(spark, d)))
+
+
+@query()
+def file_prefix_imports(spark, d):
+    return parse.prefix_imports(_files(spark, d))
+
+
 # --- bundle ---------------------------------------------------------------------------------
 
 _CAP = _SCORED + ", c AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, chunk_id, score FROM s), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_id) AS INT) AS file_rank FROM c) "

@@ -42,16 +42,16 @@ def test_rust_spans_calls_and_imports():
 @pytest.mark.parametrize(
     ("language", "text", "expected"),
     [
-        ("python", "class A:\n    def f(self):\n        return g()\n", {("A", "class"), ("f", "function")}),
-        ("javascript", "export class A {}\nasync function go() {\n  x();\n}\n", {("A", "class"), ("go", "function")}),
-        ("typescript", "interface I { x: number }\nclass C {}\nfunction f(): void {}\ntype T = string;\n", {("I", "interface"), ("C", "class"), ("f", "function"), ("T", "type")}),
-        ("go", "package p\nfunc Go() {}\ntype T struct {}\n", {("Go", "function"), ("T", "type")}),
-        ("java", "class A {\n  void go(int x) { run(); }\n}\n", {("A", "class"), ("go", "method")}),
-        ("c", "struct P { int x; };\nint add(int a) {\n  return a;\n}\n", {("P", "class"), ("add", "function")}),
-        ("cpp", "class A {\n};\nint main() { return 0; }\n", {("A", "class"), ("main", "function")}),
-        ("csharp", "class A {\n  public void Go() { }\n}\n", {("A", "class"), ("Go", "method")}),
-        ("ruby", "class A\n  def go\n    run(1)\n  end\nend\n", {("A", "class"), ("go", "method")}),
-        ("php", "<?php\nclass A {\n  public function go() { run(); }\n}\n", {("A", "class"), ("go", "function")}),
+        ("python", "class Tide:\n    height = 2\n\n    def rise(self, by):\n        return add(self.height, by)\n\nasync def ebb():\n    pass\n", {("Tide", "class"), ("rise", "function"), ("ebb", "function")}),
+        ("javascript", "class Lighthouse {\n  beam(angle) {\n    turn(angle);\n  }\n}\nfunction* flashes() {\n  yield 1;\n}\nconst dim = (level) => level / 2;\n", {("Lighthouse", "class"), ("beam", "method"), ("flashes", "function"), ("dim", "function")}),
+        ("typescript", "export interface Berth {\n  depth: number;\n}\nexport type Draft = number | null;\nenum Flag { Red, White }\nexport default class Pilot {\n  steer(to: Berth): boolean {\n    return true;\n  }\n}\n", {("Berth", "interface"), ("Draft", "type"), ("Flag", "enum"), ("Pilot", "class"), ("steer", "method")}),
+        ("go", "package quay\n\ntype Crane struct {\n\treach int\n}\n\nfunc (c *Crane) Lift(load int) bool {\n\treturn load < c.reach\n}\n\nfunc main() {}\n", {("Crane", "type"), ("Lift", "function"), ("main", "function")}),
+        ("java", "public final class Ferry {\n  private int cars;\n  int board(int more) {\n    cars = load(cars, more);\n    return cars;\n  }\n}\ninterface Dock {\n  void moor(Ferry f);\n}\n", {("Ferry", "class"), ("board", "method"), ("Dock", "interface"), ("moor", "method")}),
+        ("c", "struct knot {\n  double turns;\n};\nstatic double tie(struct knot k)\n{\n  return k.turns;\n}\n", {("knot", "class"), ("tie", "function")}),
+        ("cpp", "class Sonar {\npublic:\n  int range;\n};\nint Sonar_ping(int depth) { return depth * 2; }\n", {("Sonar", "class"), ("Sonar_ping", "function")}),
+        ("csharp", "public interface IBuoy { }\npublic sealed class Buoy {\n  internal bool Drift(int metres) {\n    return metres > 3;\n  }\n}\n", {("IBuoy", "interface"), ("Buoy", "class"), ("Drift", "method")}),
+        ("ruby", "module Harbour\n  class Warehouse\n    def self.open?(hour)\n      staffed(hour)\n    end\n  end\nend\n", {("Harbour", "module"), ("Warehouse", "class"), ("open?", "method")}),
+        ("php", "<?php\ninterface Cargo {}\nfinal class Crate implements Cargo {\n  private function &weight($tare) {\n    return scale($tare);\n  }\n}\n", {("Cargo", "interface"), ("Crate", "class"), ("weight", "function")}),
     ],
 )
 def test_each_language_names_its_declarations(language, text, expected):

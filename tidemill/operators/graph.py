@@ -203,24 +203,34 @@ def impact_files(symbols: DataFrame, calls: DataFrame, imports: DataFrame, names
     return by_calls.unionByName(by_imports).distinct().join(changed, "path", "left_anti")
 
 
+#: The sentences of an impact report.
+SIGNALS = {
+    "impacts": "Changing '%s' (%s, %s) impacts %d direct caller(s) in %d file(s): %s%s",
+    "more": ", +%d more",
+    "unknown": "Symbol '%s' was not found in the symbol graph — impact for it is unknown (re-run rag_ensure_index or check the name)",
+    "skipped": "Symbol '%s' is defined in multiple places — name-based caller matching would be unreliable, so its call-graph walk was skipped (pass it explicitly in 'symbols' to force it)",
+    "several": "Note: '%s' has multiple definitions in the project — some listed callers may refer to the other definitions",
+}
+
+
 def breaking_signals(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
     """``(symbol, signal)``: a sentence for each seed with direct callers, and notes on unclear or unknown names."""
     spark = symbols.sparkSession
     seeds = impact_seeds(symbols, names, paths)
     direct = impact_callers(symbols, calls, names, paths, 1).groupBy("via").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.array_sort(F.collect_set("name")).alias("who"))
-    more = F.when(F.size("who") > 3, F.concat(F.lit(", +"), F.size("who") - 3, F.lit(" more"))).otherwise("")
-    text = F.concat(F.lit("Changing '"), "name", F.lit("' ("), "kind", F.lit(", "), "path", F.lit(") impacts "), "n", F.lit(" direct caller(s) in "), "files", F.lit(" file(s): "), F.array_join(F.slice("who", 1, 3), ", "), more)
+    more = F.when(F.size("who") > 3, F.format_string(SIGNALS["more"], F.size("who") - 3)).otherwise("")
+    text = F.format_string(SIGNALS["impacts"], "name", "kind", "path", "n", "files", F.array_join(F.slice("who", 1, 3), ", "), more)
     out = seeds.join(direct, F.col("name") == F.col("via")).select(F.col("name").alias("symbol"), text.alias("signal"))
     doubtful = ambiguous_names(symbols)
     if names:
         asked = spark.createDataFrame([(n,) for n in names], "symbol string")
         known = symbols.select(F.lower("name").alias("low_name")).distinct()
         unknown = asked.join(known, F.lower("symbol") == F.col("low_name"), "left_anti")
-        out = out.unionByName(unknown.select("symbol", F.concat(F.lit("Symbol '"), "symbol", F.lit("' was not found: its impact is unknown")).alias("signal")))
+        out = out.unionByName(unknown.select("symbol", F.format_string(SIGNALS["unknown"], "symbol").alias("signal")))
         several = asked.join(doubtful, F.lower("symbol") == F.col("low_name"), "left_semi")
-        out = out.unionByName(several.select("symbol", F.concat(F.lit("Note: '"), "symbol", F.lit("' has several definitions: some callers may mean another")).alias("signal")))
+        out = out.unionByName(several.select("symbol", F.format_string(SIGNALS["several"], "symbol").alias("signal")))
     skipped = seeds.select("name").distinct().join(doubtful, F.lower("name") == F.col("low_name"), "left_semi").where(~F.col("name").isin(*names) if names else F.lit(True))
-    return out.unionByName(skipped.select(F.col("name").alias("symbol"), F.concat(F.lit("Symbol '"), "name", F.lit("' is defined in several places: its callers were not walked")).alias("signal")))
+    return out.unionByName(skipped.select(F.col("name").alias("symbol"), F.format_string(SIGNALS["skipped"], "name").alias("signal")))
 
 
 def enclosing_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:

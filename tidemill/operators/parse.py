@@ -168,6 +168,7 @@ class Symbol:
     end_line: int
     signature: str
     body: str
+    braces: tuple[int, int] | None = None  # offsets of the braces around the body
 
 
 @dataclass
@@ -220,26 +221,30 @@ def blanked(text: str, language: str) -> str:
     return "".join(out)
 
 
-def _body(clean: str, at: int) -> tuple[int, int] | None:
-    """Offsets of the braces around a declaration's body; None where a semicolon ends it first."""
-    depth = nest = 0
-    start = None
-    for i in range(at, len(clean)):
-        c = clean[i]
-        if start is None:
-            if c in "([":
-                nest += 1
-            elif c in ")]":
-                nest -= 1
-            elif c == ";" and nest <= 0:
-                return None
+_MARKS = re.compile(r"[{}()\[\];]")
+
+
+def _closers(clean: str) -> dict[int, int]:
+    """Each opening brace's closing one, in one pass."""
+    found, still_open = {}, []
+    for m in re.finditer(r"[{}]", clean):
+        if m[0] == "{":
+            still_open.append(m.start())
+        elif still_open:
+            found[still_open.pop()] = m.start()
+    return found
+
+
+def _body(clean: str, at: int, closers: dict[int, int]) -> tuple[int, int] | None:
+    """Offsets of the braces around a declaration's body; None where a semicolon ends it first, or nothing closes it."""
+    nest = 0
+    for m in _MARKS.finditer(clean, at):
+        c = m[0]
         if c == "{":
-            start = i if start is None else start
-            depth += 1
-        elif c == "}" and start is not None:
-            depth -= 1
-            if not depth:
-                return start, i
+            return (m.start(), closers[m.start()]) if m.start() in closers else None
+        if c == ";" and nest <= 0:
+            return None
+        nest += (c in "([") - (c in ")]")
     return None
 
 
@@ -267,16 +272,17 @@ def _scan_braced(text: str, language: str) -> tuple[list[Symbol], str]:
     number = lambda offset: bisect_right(line_of, offset)
     lines = clean.split("\n")
     found: dict[int, tuple[Symbol, int]] = {}
+    closers = _closers(clean)
     for pattern, kind in _COMPILED[language]:
         for m in pattern.finditer(clean):
             name, at = m[1], m.start(1)
             if at in found or name in KEYWORDS or kind in ("method", "function") and re.match(r"\s*(?:return|else|new|throw|await|case)\b", m[0]):
                 continue
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            start, span = m.start() + len(m[0]) - len(m[0].lstrip()), None
             if language == "ruby":
                 end_line = _ruby_end(lines, number(start) - 1) + 1
                 signature, body = text[start : line_of[number(start)] if number(start) < len(line_of) else len(text)], "\n".join(text.split("\n")[number(start) : end_line - 1])
-            elif (span := _body(clean, m.end(1))) and not (kind == "type" and language != "go") and kind not in ("const", "static"):
+            elif (span := _body(clean, m.end(1), closers)) and not (kind == "type" and language != "go") and kind not in ("const", "static"):
                 end_line, signature, body = number(span[1]), text[start : span[0]], text[span[0] + 1 : span[1]]
             else:
                 stop = clean.find(";", m.end(1))
@@ -285,7 +291,7 @@ def _scan_braced(text: str, language: str) -> tuple[list[Symbol], str]:
                     stop = clean.find("\n", m.end(1))
                     stop = len(text) if stop < 0 else stop
                 end_line, signature, body = number(max(start, stop - 1 if stop == len(text) else stop)), text[start:stop], ""
-            found[at] = (Symbol(name, kind, number(start), end_line, _squeeze(signature), _squeeze(body)), start)
+            found[at] = (Symbol(name, kind, number(start), end_line, _squeeze(signature), _squeeze(body), span or None), start)
     ordered = [s for s, _ in sorted(found.values(), key=lambda x: (x[0].start_line, x[1]))]
     return ordered, clean
 

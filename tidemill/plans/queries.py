@@ -382,7 +382,7 @@ def impact_files(spark, d):
     + """, dir AS (SELECT via, count(*) AS n, count(DISTINCT path) AS files, list_sort(list(DISTINCT name)) AS who FROM hit WHERE distance = 1 GROUP BY via)
     SELECT name AS symbol, 'Changing ''' || name || ''' (' || kind || ', ' || path || ') impacts ' || n || ' direct caller(s) in ' || files || ' file(s): ' || array_to_string(who[1:3], ', ')
       || CASE WHEN len(who) > 3 THEN ', +' || (len(who) - 3) || ' more' ELSE '' END AS signal FROM seeds JOIN dir ON name = via
-    UNION ALL SELECT DISTINCT name, 'Symbol ''' || name || ''' is defined in several places: its callers were not walked' FROM seeds WHERE lower(name) IN (SELECT low_name FROM amb)"""
+    UNION ALL SELECT DISTINCT name, 'Symbol ''' || name || ''' is defined in multiple places — name-based caller matching would be unreliable, so its call-graph walk was skipped (pass it explicitly in ''symbols'' to force it)' FROM seeds WHERE lower(name) IN (SELECT low_name FROM amb)"""
 )
 def breaking_signals(spark, d):
     return graph.breaking_signals(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), [NAME], [PATH], 2)

@@ -29,7 +29,7 @@ EXTENSION_LANGUAGE = {
 }
 DOCUMENTATION = ["md", "mdx", "txt", "rst"]
 CONFIGURATION = ["toml", "yaml", "yml", "json", "xml", "ini", "cfg", "conf"]
-EXCLUDED_DIRS = [".git", ".rag", "target", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "vendor", "coverage", ".cache", ".turbo", ".idea", ".vscode"]
+EXCLUDED_DIRS = [".git", ".rag", ".tidemill", "target", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "vendor", "coverage", ".cache", ".turbo", ".idea", ".vscode"]
 DIFFABLE_LANGUAGES = ["rust", "python", "javascript", "typescript", "go", "java", "c", "cpp", "csharp", "ruby", "php"]
 
 #: language -> (declaration prefix, kind); where several fit a line the longest counts.

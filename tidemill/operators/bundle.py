@@ -25,8 +25,10 @@ def per_file_cap(chunks: DataFrame, cap: int = PER_FILE) -> DataFrame:
 def pack(chunks: DataFrame, tokens: str, limit: int) -> DataFrame:
     """Chunks in order of score while what came before them is under the limit.
 
-    The input is a retrieved top-k, so one ordered window over it is small by construction.
+    A chunk costs one token at least, so no more than ``limit`` can be packed: a top-k, of which each task
+    gives its own, comes before the one ordered window.
     """
+    chunks = chunks.where(F.col(tokens) > 0).orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
     w = Window.orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn("used_before", F.coalesce(F.sum(tokens).over(w), F.lit(0))).where(F.col("used_before") < limit)
 

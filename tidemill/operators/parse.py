@@ -327,6 +327,35 @@ def _scan_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[t
     return symbols, imports, calls
 
 
+def _loose_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[tuple[int, str, int]]]:
+    """The same from declaration lines and indents, for a text that doesn't parse."""
+    lines = text.splitlines()
+    symbols, imports, calls, around = [], [], [], []
+    for number, line in enumerate(lines, 1):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        width = len(line) - len(line.lstrip())
+        while around and around[-1][0] >= width:
+            around.pop()
+        for _, i in around:
+            symbols[i].end_line = number
+        if m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", bare):
+            symbols.append(Symbol(m[2], "class" if m[1] == "class" else "function", number, number, _squeeze(bare).rstrip(":"), ""))
+            around.append((width, len(symbols) - 1))
+            bare = bare[m.end() :].partition(":")[2]
+        elif m := re.match(r"from\s+([\w.]+)\s+import\b", bare):
+            imports.append((m[1], m[1].rstrip(".").rpartition(".")[2] or m[1]))
+        elif m := re.match(r"import\s+(.+)", bare):
+            names = [re.sub(r"\s+as\s+\w+$", "", x.strip()) for x in m[1].split(",")]
+            imports += [(x, x.rpartition(".")[2]) for x in names if re.fullmatch(r"[\w.]+", x)]
+        if around:
+            calls += [(around[-1][1], name, number) for name in re.findall(r"(\w+)\s*\(", bare) if name not in KEYWORDS and not name.isdigit()]
+    for s in symbols:
+        s.body = _squeeze(" ".join(lines[s.start_line : s.end_line]))
+    return symbols, imports, calls
+
+
 def expand_use(item: str) -> list[tuple[str, str]]:
     """A Rust use item: (full path, name bound), with one level of braces; an alias binds the original path's leaf."""
     item = _squeeze(item).rstrip(";").strip()
@@ -388,8 +417,7 @@ _CALL = re.compile(r"(\w+)(?:::<[^>\n]*>)?\s*(!?)\s*[(\[{]")
 def parse_text(text: str, language: str) -> Parsed:
     """Symbols with exact spans, imports, and calls by their innermost symbol, each pair once."""
     if language == "python":
-        got = _scan_python(text)
-        symbols, imports, raw = got if got else ([], [], [])
+        symbols, imports, raw = _scan_python(text) or _loose_python(text)
     elif language in SYNTAX:
         symbols, clean = _scan_braced(text, language)
         imports, raw = _imports(text, clean, language), []

@@ -49,8 +49,9 @@ def skip_reason(config: Config) -> Column:
 
 
 def classify(files: DataFrame, config: Config) -> DataFrame:
+    """One narrow pass. A path stands for one file: sources give each path once, so contents needn't move to find repeats."""
     inside = files.where(in_included_dir(F.col("path"), config.include_dirs)) if config.include_dirs else files
-    return inside.dropDuplicates(["path"]).withColumn("skip_reason", skip_reason(config))
+    return inside.withColumn("skip_reason", skip_reason(config))
 
 
 def indexable(files: DataFrame, config: Config) -> DataFrame:
@@ -58,7 +59,8 @@ def indexable(files: DataFrame, config: Config) -> DataFrame:
 
 
 def skip_stats(files: DataFrame, config: Config) -> DataFrame:
-    return classify(files, config).groupBy(F.coalesce("skip_reason", F.lit("indexed")).alias("reason")).agg(F.count("*").alias("n"))
+    reasons = classify(files, config).select("path", F.coalesce("skip_reason", F.lit("indexed")).alias("reason"))
+    return reasons.dropDuplicates(["path"]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def extension_tally(files: DataFrame) -> DataFrame:

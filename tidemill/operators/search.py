@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
+from tidemill.sources.scratch import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,16 +60,27 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, language: str | No
 def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` for a stated set of queries against all rows.
 
-    The queries are counted and broadcast as one array of at most ``max_queries``; every row of
-    ``vectors`` is scored against them in a streaming pass that keeps k per query and batch, so
-    at most k rows per query and batch are shuffled for the final ranking.
+    The queries go to the tasks in blocks of at most ``max_queries``; every row of ``vectors`` is
+    scored against a block in a streaming pass that keeps k per query and batch, so at most k rows
+    per query and batch are shuffled for the final ranking. With several blocks each one's rows are
+    a table, so the driver holds one block.
     """
-    q = queries.limit(max_queries + 1).select("query_id", "embedding").collect()
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: run them in blocks")
-    ids = [r[0] for r in q]
-    if not q:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
+    kind = dict(queries.dtypes)["query_id"]
+    near, rows = None, queries.select("query_id", "embedding").toLocalIterator()
+    while block := list(islice(rows, max_queries)):
+        found = _nearest(vectors, block, k, kind)
+        if near is not None or len(block) == max_queries:
+            found = materialize(found, "knn")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
+    ids = [r[0] for r in block]
+    q = block
     matrix = np.array([r[1] for r in q], dtype=np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
@@ -86,10 +99,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_00
                 out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[top], "score": row[top]}))
             yield pd.concat(out)
 
-    kind = dict(queries.dtypes)["query_id"]
-    near = vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, score double")
 
 
 def collection_info(vectors: DataFrame) -> DataFrame:

@@ -676,17 +676,20 @@ def symbol_ranges(spark, d):
 # --- streaming ------------------------------------------------------------------------------
 
 
-@query(
+_BURSTS = (
     with_ctes("changes")
     + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM changes),
      s AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
      SELECT path, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, max_by(op, {'a': ts, 'b': op}) AS op FROM s GROUP BY path, burst"""
 )
+
+
+@query(_BURSTS)
 def debounce_sessions(spark, d):
     return watch.debounce(derive(spark, d, "changes"), "30 minutes").select("path", "events", "first_ts", "last_ts", "op")
 
 
-@query()
+@query(_BURSTS)
 def stream_reindex(spark, d):
     """Changes stream into bursts; the rows are those of all bursts."""
     from tidemill.sources.scratch import scratch

@@ -1,12 +1,15 @@
 """The index as versioned Parquet tables.
 
-A run writes every table of a new version and then moves one pointer, so readers see all of a
-version or none of it. A lock file keeps a second writer out. Paths are of any Hadoop file system.
+A run writes every table of a new version and then replaces one pointer by a rename, so readers see
+all of a version or none of it. A lock file keeps a second writer out; one that is older than
+``STALE_LOCK`` seconds was left behind by a writer that died, and is taken over. Paths are of any
+Hadoop file system.
 """
 
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,10 @@ TABLES: dict[str, T.StructType] = {
 }
 
 
+#: Seconds after which a lock counts as left behind; longer than any run.
+STALE_LOCK = 24 * 3600
+
+
 class Locked(RuntimeError):
     pass
 
@@ -62,7 +69,9 @@ class IndexStore:
         name = self._path(f"{self.root}/LOCK")
         self._fs.mkdirs(self._path(self.root))
         if not self._fs.createNewFile(name):
-            raise Locked(f"another run holds {self.root}/LOCK")
+            age = time.time() - self._fs.getFileStatus(name).getModificationTime() / 1000
+            if age < STALE_LOCK or not self._fs.delete(name, False) or not self._fs.createNewFile(name):
+                raise Locked(f"another run holds {self.root}/LOCK")
         try:
             yield
         finally:
@@ -75,7 +84,7 @@ class IndexStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/v{version:08d}/{table}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes a whole version; tables that aren't given are carried over. Files are sorted by path for skipping."""
+        """Writes a whole version; tables that aren't given are carried over."""
         new = (self.version or 0) + 1
         for name, schema in TABLES.items():
             rows = tables.get(name)
@@ -83,8 +92,11 @@ class IndexStore:
             rows.write.mode("overwrite").parquet(f"{self.root}/v{new:08d}/{name}")
         self._write_text("CURRENT.next", str(new))
         target, source = self._path(f"{self.root}/CURRENT"), self._path(f"{self.root}/CURRENT.next")
-        self._fs.delete(target, False)
-        self._fs.rename(source, target)
+        # replaces the old pointer in one step, where the file system can
+        jvm = self.spark._jvm
+        mode = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, mode)
         return new
 
     def vacuum(self, keep: int = 2) -> int:

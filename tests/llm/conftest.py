@@ -22,8 +22,9 @@ def awkward(spark, prose):
     rows = [
         (1, "Alpha beta GAMMA delta", "en"), (2, "alpha BETA gamma delta", "fr"), (2, "alpha BETA gamma delta", "fr"), (3, None, None), (4, "", "en"), (None, "alpha beta gamma delta", "en"),
         (None, None, None), (5, long, "en"), (6, long + " end", "en"), (7, " \t\n ", "en"), (8, "É ALPHA é", "en"), (9, "é alpha é", "en"), (10, "x" * 200_000, "en"), (11, "one", "en"), (12, "one two", "en"),
+        (21, "a harbour of its own", "en"), (21, "the north wind blows over another deck", "de"), (21, "A HARBOUR of its own", "en"), (21, "a harbour of its own", "en"),
     ]
-    extra = "_label string, key string, fp string, n string, score string, place string, kind string, h string, sha string, grp string, kept string, text_key string, id string, path string"
+    extra = "_label string, key string, fp string, n string, score string, place string, kind string, h string, sha string, grp string, kept string, text_key string, id string, path string, _gone_id string, _gone_key string, _gone_raw string, _same_text string, _stats_9 string, _again_id string, _again_key string, own_key string, windows string, content string"
     names = [x.split()[0] for x in extra.split(", ")]
     return spark.createDataFrame([(*r, *names) for r in rows], f"doc_id long, text string, lang string, {extra}")
 

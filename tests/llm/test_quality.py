@@ -76,11 +76,21 @@ def test_stages_are_whole(spark):
     assert got == {i: len(bpe_codec.encode_text(rows[i]["text"])) for i in keep}
 
 
-@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_keep_columns_and_survive_awkward_rows(spark, awkward, nothing, stage):
-    assert stage(spark, awkward, SF).columns == awkward.columns
+    got = stage(spark, awkward, SF)
+    assert got.columns == (["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if stage is bpe_codec.encode_stage else awkward.columns)
+    assert 0 < got.count() <= awkward.count()
     assert stage(spark, nothing, SF).count() == 0
 
 
+def test_the_sample_is_bounded_where_documents_share_a_labelled_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"words of text {i}") for i in range(300)] + [(2, "some other text")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda x, y: seen.append(len(y)) or quality.RuleModel((), 0.0))
+    quality.fit(spark, docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == [2]
+
+
 def test_the_stages_in_order():
     assert [f for _, f in corpus_pipeline.STAGES] == [quality.keep_good, exact_dedup.keep_distinct, simhash_neardup.keep_one, decontaminate.drop_contaminated, bpe_codec.encode_stage]

@@ -12,8 +12,8 @@ folder, sorted by key within each bucket, beside the directory.
 Copies are folded before they are moved: a task keeps the texts it has seen lately and only
 counts their repeats, so a group of any size reaches its owner as about one entry per task.
 Each row then finds its entry by key and SHA-256 in a join whose hot keys adaptive execution
-may split. The directory is the only thing that reaches the driver: its size follows the
-number of buckets, and is checked.
+may split. The directory is the only thing that reaches the driver, and the tasks: 16 bits at
+most, as buckets hold a fixed share of a large corpus, not a fixed size.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id
 stays (a null doc_id is smaller than any other); of repeated rows (the same doc_id and text)
@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, materialize, maybe_broadcast, scratch_path, table
+from tidemill.llm.common import bounded_batches, free_names, lean, materialize, maybe_broadcast, scratch_path, table
 
-#: Bytes of entries that a bucket holds.
-BUCKET_BYTES = 64 << 20
-#: Bits that one counting pass tells apart.
-COUNT_BITS = 12
-#: The directory never has more bits; beyond it a bucket is an oversized run of keys, still processed as a stream.
-MAX_BITS = 22
+#: Bytes of entries that a bucket holds, or this share of all if that is more: there are never many more than twice as many buckets.
+BUCKET_BYTES = 1 << 20
+BUCKET_SHARE = 1 << 13
+#: The directory never has more bits (65,536 slots, half a megabyte); these are counted in one pass. Beyond it a bucket is an
+#: oversized run of keys, still processed as a stream.
+MAX_BITS = 16
 #: Bytes of texts that a task remembers for folding repeats.
 FOLD_BYTES = 16 << 20
 #: Rows of a batch that are copied out of Arrow at once.
@@ -79,7 +79,7 @@ class Directory:
         return self.slots[(keys >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
-def build_directory(count, capacity: int = BUCKET_BYTES, max_bits: int = MAX_BITS, step: int = COUNT_BITS) -> Directory:
+def build_directory(count, capacity: int = BUCKET_BYTES, max_bits: int = MAX_BITS, step: int = MAX_BITS) -> Directory:
     """Splits overfull buckets until none is left that more bits can split.
 
     ``count(prefixes, bits)`` gives ``{value of the leading bits: (bytes, distinct keys)}`` within
@@ -182,7 +182,7 @@ def _place(slots: np.ndarray, depth: int):
     directory.depth, directory.slots = depth, slots
 
     def run(batches):
-        for batch in batches:
+        for batch in _entries(batches):
             unsigned = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
             yield pa.RecordBatch.from_arrays([pa.array(directory.find(unsigned)), *batch.columns], names=["bucket", *batch.schema.names])
 
@@ -233,24 +233,16 @@ def build_index(spark: SparkSession, docs: DataFrame, keys: DataFrame, path: str
     """Writes the index of ``docs`` below ``path`` and returns it: one row per distinct text."""
     one_per_key = materialize(spark, keys.groupBy("key").agg(F.max("bytes").alias("bytes")), "index-keys")
 
-    def count(prefixes, bits):
-        value = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
-        near = one_per_key.select(value.alias("value"), "bytes")
-        if any(b for b, _ in prefixes):
-            depth = max(b for b, _ in prefixes)
-            top = spark.createDataFrame([(v << (depth - b)) + i for b, v in prefixes for i in range(1 << (depth - b))], "long").toDF("top")
-            near = near.withColumn("top", F.shiftrightunsigned("value", bits - depth)).join(F.broadcast(top), "top", "left_semi")
-        return {r[0]: (r[1], r[2]) for r in near.groupBy("value").agg(F.sum("bytes"), F.count("*")).collect()}
-
-    directory = build_directory(count, capacity)
+    # one pass counts all that the directory can tell apart: 65,536 rows at most
+    value = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - MAX_BITS)
+    weights = {r[0]: (r[1], r[2]) for r in one_per_key.groupBy(value.alias("value")).agg(F.sum("bytes"), F.count("*")).collect()}
+    directory = build_directory(lambda prefixes, bits: weights, max(capacity, sum(w for w, _ in weights.values()) // BUCKET_SHARE))
     rows = [(i, b, v) for i, (b, v) in enumerate(directory.buckets)]
     spark.createDataFrame(rows, "bucket long, bits int, value long").coalesce(1).write.parquet(f"{path}/directory")
-    placed = _narrow(docs).mapInArrow(_entries, "key long, text binary, high long, at_high long, n long").mapInArrow(
-        _place(directory.slots, directory.depth), "bucket long, key long, text binary, high long, at_high long, n long"
-    )
-    # a bucket is a range of keys: owners take neighbouring keys, in order
-    owned = placed.repartition(F.col("bucket")) if len(rows) >= 64 else placed.repartition(F.shiftright("key", 52))
-    index = owned.sortWithinPartitions("bucket", "key").mapInArrow(_chain, "bucket long, key long, link int, sha binary, bytes long, keep_id long, at_keep long, n long")
+    placed = _narrow(docs).mapInArrow(lean(_place(directory.slots, directory.depth)), "bucket long, key long, text binary, high long, at_high long, n long")
+    # a bucket is a range of keys, and has one owner, which takes its keys in order
+    owned = placed.repartition(F.col("bucket"))
+    index = owned.sortWithinPartitions("bucket", "key").mapInArrow(lean(_chain), "bucket long, key long, link int, sha binary, bytes long, keep_id long, at_keep long, n long")
     index.write.parquet(f"{path}/index")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
@@ -258,7 +250,7 @@ def build_index(spark: SparkSession, docs: DataFrame, keys: DataFrame, path: str
 def find_duplicates(spark: SparkSession, docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256, raw)``: one row per document."""
     bounded_batches(spark)
-    keys = materialize(spark, _narrow(docs).mapInArrow(_keys, "doc_id long, key long, sha binary, bytes long, raw long"), "row-keys")
+    keys = materialize(spark, _narrow(docs).mapInArrow(lean(_keys), "doc_id long, key long, sha binary, bytes long, raw long"), "row-keys")
     index = build_index(spark, docs, keys, scratch_path(spark, "exact-index"), capacity)
     entry = index.select("key", "sha", "keep_id", "at_keep", F.col("n").alias("group_size"))
     found = keys.join(entry, ["key", "sha"])
@@ -281,15 +273,19 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: of equal texts, the row with the largest doc_id stays, once."""
     found = find_duplicates(spark, docs)
     found = materialize(spark, found.where("group_size > 1").select("doc_id", "keep_id", "kept", "raw"), "duplicates")
-    gone = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone_id"), F.col("raw").alias("_gone_raw")).distinct()
+    gone_id, gone_raw, same = free_names(docs, "_gone_id", "_gone_raw", "_same_text")
+    gone = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias(gone_id), F.col("raw").alias(gone_raw)).distinct()
     raw = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (raw == F.col("_gone_raw")), "left_anti")
-    repeated = found.where("not kept and doc_id <=> keep_id")
-    if not repeated.limit(1).count():
+    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (raw == F.col(gone_raw)), "left_anti")
+    repeated = materialize(spark, found.where("not kept and doc_id <=> keep_id").select(F.col("doc_id").alias(gone_id)).distinct(), "repeated-ids")
+    if repeated.isEmpty():
         return kept
-    # repeated rows are one document: rows that share the id that stays and the normalised text
+    # repeated rows are one document: rows that share the id that stays and the normalised text; only rows with such an id move
+    repeated = maybe_broadcast(repeated)
+    own = F.col("doc_id").eqNullSafe(F.col(gone_id))
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return kept.withColumn("_same_text", norm).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
+    once = kept.join(repeated, own, "left_semi").withColumn(same, norm).dropDuplicates(["doc_id", same]).drop(same)
+    return kept.join(repeated, own, "left_anti").unionByName(once)
 
 
 #: A-Z only: DuckDB's lower() would also fold other scripts.

@@ -11,7 +11,8 @@ are not held out; everything else covers all rows. Labels, lang, source and doc_
 
 Defined results: a null text counts as empty and has a score; without labels of both kinds every
 score is the share of good labels (0.5 without any); a null doc_id counts as held out; repeated
-rows are returned as often as they come; of repeated labels of a document the smallest holds; an
+rows are returned as often as they come; of repeated labels of a document the smallest holds, of
+several documents with a labelled doc_id the one with the smallest statistics is learned from; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, table
+from tidemill.llm.common import bounded_batches, free_names, table
 
 MAX_LABELS = 20_000
 HELD_OUT_OF = 5
@@ -265,7 +266,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
     chosen = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labels)
     narrow = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").alias("_text"))
     joined = narrow.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id"))
-    rows = joined.select("_doc_id", "_label", statistics_column(F.col("_text")).alias("_stats")).collect()
+    measured = joined.select("_doc_id", "_label", statistics_column(F.col("_text")).alias("_stats"))
+    # of documents that share a labelled doc_id one counts, so the sample keeps its bound
+    rows = measured.groupBy("_doc_id", "_label").agg(F.min("_stats").alias("_stats")).collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     return fit_rows(np.array([r[2] for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r[1] for r in rows], np.float64))
 
@@ -285,5 +288,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go; a narrow pass, all columns stay."""
     model = fit(spark, docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_stats_9", statistics_column(F.col("text")))
-    return scored.where(model.column(F.col("_stats_9")) >= ACCEPT_AT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (stats,) = free_names(docs, "_stats_9")
+    scored = docs.withColumn(stats, statistics_column(F.col("text")))
+    return scored.where(model.column(F.col(stats)) >= ACCEPT_AT).select(*(F.col(f"`{c}`") for c in docs.columns))

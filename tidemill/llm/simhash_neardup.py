@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, connected_components, materialize, maybe_broadcast, table
+from tidemill.llm.common import bounded_batches, connected_components, free_names, lean, materialize, maybe_broadcast, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -85,7 +85,7 @@ def _keyed_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
     """``(doc_id, fp, text_key)``, by the hash of the raw text."""
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
-    return narrow.mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long, text_key long")
+    return narrow.mapInArrow(lean(_fingerprint_batches(shingle, seed)), "doc_id long, fp long, text_key long")
 
 
 def _text_key(text: Column) -> Column:
@@ -211,9 +211,9 @@ def link_fingerprints(spark: SparkSession, distinct_fps: DataFrame, max_bits: in
     """``(u, v)``: links that connect exactly the fingerprints reachable by steps of ``max_bits`` bits or fewer."""
     if max_bits > 3:
         raise ValueError("the halves' anchors cover at most three differing bits")
-    members = distinct_fps.select("fp").mapInArrow(_replicate, "anchor long, away byte, fp long")
+    members = distinct_fps.select("fp").mapInArrow(lean(_replicate), "anchor long, away byte, fp long")
     dealt = members.repartition(F.col("anchor")).sortWithinPartitions("anchor", "away")
-    return dealt.mapInArrow(_compare(max_bits), "u long, v long")
+    return dealt.mapInArrow(lean(_compare(max_bits)), "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
@@ -245,22 +245,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     component has one with; of a component's rows that share the doc_id that stays, one stays.
     """
     found = materialize(spark, _rooted(spark, _keyed_fingerprints(docs, SHINGLE_WORDS, SEED), MAX_BITS), "near-duplicates")
+    gone_id, gone_key, again_id, again_key = free_names(docs, "_gone_id", "_gone_key", "_again_id", "_again_key")
     # texts of a component that share the smallest doc_id, or rows that are the same
     own = found.where("doc_id = component_id").groupBy("root").agg(F.count("*").alias("rows"), F.min("text_key").alias("low_key"))
     twice = materialize(spark, own.where("rows > 1"), "near-twice")
     gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "text_key")
-    if twice.isEmpty():
-        again = None
-    else:
+    again = None
+    if not twice.isEmpty():
         more = found.where("doc_id = component_id").join(maybe_broadcast(twice), "root")
-        again = materialize(spark, more.where("text_key = low_key").select(F.col("doc_id").alias("_again_id"), F.col("text_key").alias("_again_key")).distinct(), "near-again")
+        again = materialize(spark, more.where("text_key = low_key").select(F.col("doc_id").alias(again_id), F.col("text_key").alias(again_key)).distinct(), "near-again")
         gone = gone.unionByName(more.where("text_key <> low_key").select("doc_id", "text_key"))
-    gone = materialize(spark, gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "near-gone")
-    key = _text_key(docs["text"].cast("string"))
-    kept = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti")
+    gone = materialize(spark, gone.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "near-gone")
+    key = _text_key(F.col("text").cast("string"))
+    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key)), "left_anti")
     if again is None:
         return kept
-    on = (F.col("doc_id") == F.col("_again_id")) & (_text_key(F.col("text").cast("string")) == F.col("_again_key"))
+    on = (F.col("doc_id") == F.col(again_id)) & (key == F.col(again_key))
     again = maybe_broadcast(again)
-    once = kept.join(again, on, "left_semi").withColumn("_again_key", _text_key(F.col("text").cast("string")))
-    return kept.join(again, on, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_again_key"]).drop("_again_key"))
+    once = kept.join(again, on, "left_semi").withColumn(again_key, key)
+    return kept.join(again, on, "left_anti").unionByName(once.dropDuplicates(["doc_id", again_key]).drop(again_key))

@@ -33,12 +33,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, table
+from tidemill.llm.common import bounded_batches, lean, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of each generation of the per-worker caches: white-space separated chunks, and pieces of them.
-CACHE_CHUNKS = 60_000
-CACHE_PIECES = 250_000
+#: Entries of each generation of the per-worker caches: white-space separated chunks, and pieces of them; tested pairs of tokens.
+CACHE_CHUNKS = 40_000
+CACHE_PIECES = 100_000
+CACHE_PAIRS = 200_000
 #: Longer ones are not cached.
 CACHE_CHARS = 64
 
@@ -69,7 +70,7 @@ class _Pairs(dict):
         self.bpe = bpe
 
     def __missing__(self, pair: int) -> bool:
-        if len(self) >= 400_000:
+        if len(self) >= CACHE_PAIRS:
             self.clear()
         self[pair] = fits = self.bpe._apart(pair >> 20, pair & 0xFFFFF, 1 << 60)
         return fits
@@ -175,17 +176,37 @@ class PrefixBpe:
         return self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])) if self.end else raw)
 
 
+#: Letters and numbers of later Unicode versions, which the tokenizers library takes for other characters.
+NEWER = """
+0558 058B-058C 088F 0C5C 0CDC 1C89 208F 209D-209F A7CB-A7CC A7CE-A7CF A7D2 A7D4 A7DA A7DC-A7DD A7E2 A7F1
+AB6C-AB6D 107BB-107BF 10940-10959 10D50-10D65 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8
+16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
+1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+""".split()
+_NEWER = "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in NEWER)
 #: How the vocabulary's own file cuts a normalised text into pieces (fixed value).
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+PIECE = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEWER}]]+|[\p{{N}}--[{_NEWER}]]|[^\p{{White_Space}}[[\p{{L}}\p{{N}}]--[{_NEWER}]]]+")
 #: The same, where only ASCII occurs.
 ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z]+|[0-9]|[^\t\n\v\f\r a-zA-Z0-9]+")
 
 
+#: Lower case of capitals that are newer than Python's tables (first, last, distance).
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+#: With the final sigma, which no rule about its neighbours may change here.
+_CAPITALS = {c: c + d for a, z, d in NEWER_CAPITALS for c in range(a, z + 1)} | {ord("Σ"): ord("σ")}
+_ANY_CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in NEWER_CAPITALS) + "Σ]")
+
+
 def normalise(text: str) -> str:
     """NFC, then lower case one character at a time (no rule looks at neighbours)."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(_CAPITALS) if _ANY_CAPITAL.search(text) else text).lower()
 
 
 class _Aging(dict):
@@ -296,12 +317,12 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``(doc_id, ids, decoded)``: the ids of every whole text, and the text decoded from them."""
-    return _narrow(docs).mapInArrow(_full(vocabulary), "doc_id long, ids array<int>, decoded string")
+    return _narrow(docs).mapInArrow(lean(_full(vocabulary)), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """As ``encode_documents``, with counts and digests in place of the ids and the text."""
-    return _narrow(docs).mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _narrow(docs).mapInArrow(lean(_digests(vocabulary)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, scratch_path, table
+from tidemill.llm.common import lean, materialize, scratch_path, table
 
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes inflated or read at once.
@@ -216,7 +216,7 @@ def _writer(folder: str):
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Writes one monolithic archive per partition; ``(page_id, digest, size, archive, place)`` of every record."""
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    written = narrow.mapInArrow(_writer(folder), "page_id long, digest string, size long, archive string, place long")
+    written = narrow.mapInArrow(lean(_writer(folder)), "page_id long, digest string, size long, archive string, place long")
     return materialize(spark, written, "warc-written")
 
 
@@ -258,10 +258,17 @@ def _normaliser(folder: str, target: str, level: int):
     return run
 
 
+def _dealt(archives: int) -> int:
+    """Partitions over which archives are dealt by a hash of their names, most of them alone."""
+    return max(1, min(3 * archives, 30_000))
+
+
 def normalise(spark: SparkSession, written: DataFrame, decisions: DataFrame, folder: str, target: str, level: int = 6) -> DataFrame:
     """Rewrites every archive of ``folder`` below ``target`` with an index beside it; ``(archive, records, bytes)``."""
     names = written.select("archive").distinct().select("archive", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
     work = names.unionByName(decisions.select("archive", "place", "refers_to", F.lit(True).alias("revisit")))
+    # a number of partitions that isn't merged, however small the rows: each archive is much work
+    work = work.repartition(_dealt(written.select("archive").distinct().count()), "archive")
     done = work.groupBy("archive").applyInArrow(_normaliser(folder, target, level), "archive string, records long, bytes long")
     return materialize(spark, done, "warc-normalised")
 
@@ -300,8 +307,8 @@ def _reader(target: str):
 
 def read_archives(archives: DataFrame, target: str) -> DataFrame:
     """One row per record of the normalised archives, each member opened at its offset; archives are dealt over tasks."""
-    spread = archives.select("archive").repartition(F.col("archive"))
-    return spread.mapInArrow(_reader(target), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    spread = archives.select("archive").repartition(_dealt(archives.count()), "archive")
+    return spread.mapInArrow(lean(_reader(target)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES) -> tuple[DataFrame, str]:

@@ -2,7 +2,7 @@
 
 The regression reads hashed character n-grams of host and path. It is trained on the driver
 from a small labelled table (a parameter), by batch gradient steps over a few
-hundred rows, which is deterministic; its weights are one fixed-size vector (``BUCKETS``
+hundred rows, with its intercept, which is deterministic; rows are weighted to ``BLOCKED_SHARE``; its weights are one fixed-size vector (``BUCKETS``
 floats) that goes to the tasks with the function. Judging is one narrow pass over the url
 column alone; nothing is shuffled.
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table
+from tidemill.llm.common import lean, table
 
 #: Fixed values: (verdict, host and path).
 RULES = (
@@ -109,12 +109,12 @@ BLOCKED_URLS = (
 
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-STEPS = 400
+STEPS = 2000
 STEP = 2.0
-RIDGE = 1e-3
+RIDGE = 5e-4
 BLOCK_AT = 0.5
-#: Log-odds to block of a url that says nothing; fixed, so that what is unknown is let through.
-PRIOR = -1.0
+#: The share of urls to block among those that are judged; labelled rows are weighted to it, so that what is unknown is let through.
+BLOCKED_SHARE = 0.2
 
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.DOTALL)
 
@@ -166,11 +166,16 @@ def train(allowed: tuple[str, ...] = ALLOWED_URLS, blocked: tuple[str, ...] = BL
         at = features(*split_url(url))
         x[i, at] = 1 / np.sqrt(max(1, len(at)))
     y = np.r_[np.zeros(len(allowed)), np.ones(len(blocked))]
-    w, b = np.zeros(BUCKETS), PRIOR
+    share = np.where(y == 1, BLOCKED_SHARE / max(1, len(blocked)), (1 - BLOCKED_SHARE) / max(1, len(allowed)))
+    used = np.flatnonzero(x.any(axis=0))
+    x, w, b = x[:, used], np.zeros(len(used)), 0.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        w -= STEP * (x.T @ (p - y) / len(y) * 10 + RIDGE * w)
-    return w, b
+        off = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w -= STEP * (x.T @ off + RIDGE * w)
+        b -= STEP * off.sum()
+    weights = np.zeros(BUCKETS)
+    weights[used] = w
+    return weights, float(b)
 
 
 def block_probability(host: str, path: str, weights: np.ndarray, bias: float) -> float:
@@ -201,7 +206,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, allow
     """``(page_id, host, path, rule, verdict, score)``; ``score`` is the method's probability to block, rule or not."""
     weights, bias = train(tuple(allowed), tuple(blocked))
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return narrow.mapInArrow(_judge(tuple(rules), weights, bias), "page_id long, host string, path string, rule string, verdict string, score double")
+    return narrow.mapInArrow(lean(_judge(tuple(rules), weights, bias)), "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

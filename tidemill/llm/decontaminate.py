@@ -4,24 +4,29 @@ A document is contaminated by a benchmark item if one of its windows, as many wo
 the item, has a weighted similarity of 0.8 or more to it: the sum of the smaller over the sum
 of the larger counts of their five-word shingles.
 
-1. Windows. Such a window shares shingles with its item, so windows are only laid where a
-   shingle of the benchmark occurs, at the start that puts it where the item has it. (For a
-   similarity of t, at least ``t (n + min(n, m)) / (1 + t)`` of an item's n shingles must occur in a
-   document of m; documents below that are left out.) This first pass hashes every five words of every text
-   and meets the benchmark's shingles in a join whose small side is broadcast after a check of
+1. Windows. At a similarity of t, ``t (n + w) / (1 + t)`` of a window's w shingles occur in the item
+   of n, and moving a window right past a shingle that doesn't occur loses nothing. So windows are
+   laid at each shingle that occurs in any item of that width, and at the last start, if enough such
+   shingles follow within the window: a look at the sorted places. No start that can reach 0.8 is left
+   out, wherever the item's parts stand in the window. This first pass hashes every five words of every
+   text and meets the benchmark's shingles in a join whose small side is broadcast after a check of
    its size.
-2. Fingerprints. Each window and each item gets the 64-bit majority fingerprint of its shingles.
-3. Multi-index blocks. A fingerprint is cut into 16 blocks of four bits. Two that differ in no
-   more than ``RADIUS`` bits (under 32) differ in at most one bit of some block; windows meet
-   items of their length in a block's value or one of its four neighbours. All fingerprints
-   within the radius are found; those beyond are dropped by their exact distance.
-4. Verification. The exact weighted similarity of each window and item that is left.
-
-The radius is wide: at a similarity of 0.8 about ten bits are expected to differ, and 24 are
-exceeded less than once in 100,000 such windows.
+2. Fingerprints. Windows are folded to their distinct contents, so a passage that a third of all
+   documents hold is one row. Each content and each item gets ``PRINTS`` 64-bit majority fingerprints
+   of its shingles, from independent hashes.
+3. Multi-index blocks. A fingerprint is cut into four blocks of 16 bits. Two that differ in no more
+   than ``RADIUS`` (15) bits differ in at most three bits of some block; contents meet items of their
+   width where a block equals one of the 697 values within three bits of the item's. All fingerprints
+   within the radius meet; those beyond are dropped by their exact distance. This generates the
+   candidates: which item a window resembles isn't known before.
+4. Verification. The exact weighted similarity of each content and item that is left.
+
+At a similarity of 0.8 each bit differs with a probability of 0.15 (the angle between the two sums of
+votes), so a fingerprint lies beyond 15 bits in 2.3 per cent and all three in about one case of 80,000. Of
+unrelated pairs one in 24 meets in a fingerprint's blocks, and one in 100,000 is within the radius.
 
 Words are runs of letters and digits, lower-cased. Defined results: a null text counts as
-empty and matches nothing; a window is cut off where the text ends; an item of fewer than five
+empty and matches nothing; a text shorter than the item is one window; an item of fewer than five
 words is one shingle of all its words; an item without words matches nothing; repeated rows
 give one finding; a null doc_id stays null; empty tables give an empty result; extra columns
 are ignored.
@@ -32,12 +37,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import BROADCAST_ROWS, is_small, materialize, table
+from tidemill.llm.common import free_names, materialize, maybe_broadcast, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 24
-BLOCK_BITS = 4
+RADIUS = 15
+PRINTS = 3
+BLOCK_BITS = 16
+BLOCKS = 64 // BLOCK_BITS
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,15 +55,28 @@ def word_hashes(text: Column) -> Column:
 
 def grams(hashes: str, k: int) -> Column:
     """Hashes of every k words in a row; empty if there are fewer."""
-    inner = ", ".join(f"{hashes}[i + {j}]" for j in range(k))
-    return F.expr(f"IF(size({hashes}) < {k}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size({hashes}) - {k}), i -> xxhash64({inner})))")
+    inner = ", ".join(f"a[i + {j}]" for j in range(k))
+    return F.expr(f"transform(array({hashes}), a -> IF(size(a) < {k}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(a) - {k}), i -> xxhash64({inner}))))[0]")
+
+
+def fingerprints(contents: DataFrame, prints: int = PRINTS) -> DataFrame:
+    """Adds ``fps``: the bits that are set in over half of a row's shingles, for each of ``prints`` hashes; rows are told apart by ``content``.
 
+    Counts are sums of packed lanes, two of 32 bits in a number, so an aggregation of 32 sums counts 64 bits.
+    """
+    lanes = 0x0000000100000001
+    hashes = [F.col("h") if i == 0 else F.xxhash64("h", F.lit(i)) for i in range(prints)]
+    votes = contents.select("content", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    votes = votes.select("content", "size", *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+    sums = [F.sum(F.shiftrightunsigned(f"h{i}", b).bitwiseAND(F.lit(lanes))).alias(f"s{i}_{b}") for i in range(prints) for b in range(32)]
+    counted = votes.groupBy("content", "size").agg(*sums)
 
-def fingerprint(shingles: str) -> Column:
-    """The bits that are set in over half of an array of hashes."""
-    return F.expr(
-        f"aggregate(transform(sequence(0, 63), b -> IF(2 * aggregate({shingles}, 0, (n, h) -> n + CAST(shiftright(h, b) & 1 AS INT)) > size({shingles}), shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)"
-    )
+    def one(i: int) -> str:
+        bits = [f"IF(2 * (shiftrightunsigned(s{i}_{b % 32}, {b // 32 * 32}) & 4294967295L) > size, shiftleft(1L, {b}), 0L)" for b in range(64)]
+        return " | ".join(bits)
+
+    found = counted.select(F.col("content").alias("_content"), F.array(*(F.expr(one(i)) for i in range(prints))).alias("fps"))
+    return contents.join(found, F.col("content") == F.col("_content")).drop("_content")
 
 
 def weighted_similarity(a: str, b: str) -> Column:
@@ -65,44 +85,63 @@ def weighted_similarity(a: str, b: str) -> Column:
     return F.expr(f"CAST({shared} AS DOUBLE) / (size({a}) + size({b}) - {shared})")
 
 
-def _block_keys(fp: str, near: bool) -> Column:
-    """(block, value) of a fingerprint's blocks, with the values that differ in one bit if ``near``."""
-    blocks = 64 // BLOCK_BITS
+def _block_keys(near: int) -> Column:
+    """(print, key) of a row's fingerprints' blocks, with all values within ``near`` bits of a block's; a key is of one ``k`` and ``width``."""
     mask = (1 << BLOCK_BITS) - 1
-    flips = ", ".join(["0", *(str(1 << i) for i in range(BLOCK_BITS))]) if near else "0"
-    return F.expr(
-        f"flatten(transform(sequence(0, {blocks - 1}), b -> transform(array({flips}), f -> named_struct('block', b, 'value', CAST(shiftright({fp}, b * {BLOCK_BITS}) & {mask} AS INT) ^ f))))"
-    )
+    # by the rule, once, not in each row
+    flips = f"array({', '.join(str(x) for x in range(mask + 1) if x.bit_count() <= near)})"
+    value = f"CAST(shiftrightunsigned(fp, b * {BLOCK_BITS}) & {mask} AS INT) ^ x"
+    per_block = f"transform({flips}, x -> named_struct('print', i, 'key', xxhash64(k, width, i, b, {value})))"
+    return F.expr(f"flatten(flatten(transform(fps, (fp, i) -> transform(sequence(0, {BLOCKS - 1}), b -> {per_block}))))")
 
 
-def prepare_items(spark: SparkSession, items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(item_id, width, k, shingles, fp)`` of every item with words; k is the words of its shingles."""
-    words = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
-    hashed = words.select("item_id", F.expr(r"transform(filter(split(t, '[^\\p{L}\\p{N}]+'), w -> w <> ''), w -> xxhash64(w))").alias("h")).where("size(h) > 0")
-    sized = hashed.select("item_id", F.size("h").alias("width"), F.least(F.lit(shingle), F.size("h")).alias("k"), "h")
+def prepare_items(spark: SparkSession, items: DataFrame, shingle: int = SHINGLE, prints: int = PRINTS) -> DataFrame:
+    """``(item_id, content, k, width, shingles, fps)`` of every item with words; k is the words of its shingles."""
+    words = items.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h")).where("size(h) > 0")
+    sized = words.select("item_id", F.size("h").alias("width"), F.least(F.lit(shingle), F.size("h")).alias("k"), "h")
     shingles = F.coalesce(*(F.when(F.col("k") == k, grams("h", k)) for k in range(1, shingle + 1)))
-    with_shingles = sized.select("item_id", "width", "k", shingles.alias("shingles")).distinct()
-    return materialize(spark, with_shingles.select("*", fingerprint("shingles").alias("fp")), "items")
+    known = sized.select("item_id", "width", "k", shingles.alias("shingles"))
+    known = known.select("item_id", F.xxhash64("k", "width", "shingles").alias("content"), "k", "width", "shingles").distinct()
+    contents = known.dropDuplicates(["content"]).drop("item_id")
+    printed = fingerprints(contents, prints).select(F.col("content").alias("_c"), "fps")
+    return materialize(spark, known.join(printed, F.col("content") == F.col("_c")).drop("_c"), "items")
+
 
+def window_starts(places: str, n: str, m: str, similarity: float) -> Column:
+    """Starts of windows of ``n`` shingles that can be similar enough, from the sorted places of known shingles in a text of ``m``."""
+    need = f"CAST(ceil(2 * {n} * {similarity} / (1 + {similarity}) - 1e-9) AS INT)"
+    dense = f"filter({places}, (p, i) -> p <= {m} - {n} AND get({places}, i + {need} - 1) < p + {n})"
+    last = f"greatest(0, {m} - {n})"
+    short = f"size(filter({places}, p -> p >= {last})) * (1 + {similarity}) >= ({n} + least({n}, {m})) * {similarity} - 1e-9"
+    return F.expr(f"array_distinct(concat({dense}, IF({short}, array({last}), CAST(array() AS ARRAY<INT>))))")
 
-def _windows(docs: DataFrame, places: DataFrame, sizes: list[int], small: bool, similarity: float) -> DataFrame:
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _windows(docs: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
     """``(doc_id, text_key, k, width, start)``: where windows are to be laid."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashed = narrow.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes(F.col("text")).alias("h"))
+    hashed = _narrow(docs).select("doc_id", "text_key", word_hashes(F.col("text")).alias("h"))
+    places = maybe_broadcast(known.select("k", "width", F.explode("shingles").alias("gram")).distinct())
     hits = None
     for k in sizes:
         spread = hashed.select("doc_id", "text_key", (F.size("h") - (k - 1)).alias("m"), F.posexplode(grams("h", k)).alias("place", "gram"))
-        at = places.where(F.col("k") == k)
-        met = spread.join(F.broadcast(at) if small else at, "gram")
+        met = spread.join(places.where(F.col("k") == k), "gram").select("doc_id", "text_key", "k", "width", "m", "place")
         hits = met if hits is None else hits.unionByName(met)
-    found = hits.groupBy("doc_id", "text_key", "item_id", "k", "width").agg(
-        F.collect_set("item_place").alias("met"),
-        F.max("m").alias("m"),
-        F.collect_set(F.col("place") - F.col("item_place")).alias("starts"),
-    )
-    shingles = F.col("width") - F.col("k") + 1
-    enough = F.size("met") * (1 + similarity) >= (shingles + F.least(shingles, F.col("m"))) * similarity - 1e-9
-    return found.where(enough).select("doc_id", "text_key", "k", "width", F.explode("starts").alias("start")).distinct()
+    found = hits.groupBy("doc_id", "text_key", "k", "width").agg(F.sort_array(F.collect_set("place")).alias("places"), F.max("m").alias("m"))
+    starts = window_starts("places", "(width - k + 1)", "m", similarity)
+    return found.select("doc_id", "text_key", "k", "width", F.explode(starts).alias("start"))
+
+
+def candidates(contents: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(content, item, bits)``: contents and items of which a fingerprint is within the radius; bits is the smallest distance."""
+    theirs = known.dropDuplicates(["content"]).select(F.col("content").alias("item"), F.col("fps").alias("item_fps"), F.explode(_block_keys(radius // BLOCKS)).alias("b")).select("item", "item_fps", "b.print", "b.key")
+    mine = contents.select("content", "fps", F.explode(_block_keys(0)).alias("b")).select("content", "fps", "b.print", "b.key")
+    bits = F.bit_count(F.col("fps")[F.col("print")].bitwiseXOR(F.col("item_fps")[F.col("print")]))
+    near = mine.join(maybe_broadcast(theirs), ["print", "key"]).where(bits <= radius)
+    return near.groupBy("content", "item").agg(F.min(bits).cast("int").alias("bits"))
 
 
 def find_contamination(
@@ -112,45 +151,39 @@ def find_contamination(
     similarity: float = SIMILARITY,
     radius: int = RADIUS,
     shingle: int = SHINGLE,
+    prints: int = PRINTS,
 ) -> DataFrame:
     """``(doc_id, text_key, item_id, start_word, bits, similarity)``: each contaminated text's best window for an item."""
-    if not 0 <= radius < 2 * (64 // BLOCK_BITS):
-        raise ValueError("the blocks cover radii under 32")
-    known = prepare_items(spark, items, shingle)
-    sizes = sorted(r[0] for r in known.select("k").distinct().collect())
-    places = known.select("item_id", "k", "width", F.posexplode("shingles").alias("item_place", "gram"))
-    small = is_small(places, BROADCAST_ROWS)
-    windows = materialize(spark, _windows(docs, places, sizes or [shingle], small, similarity), "windows")
-    few = is_small(windows, BROADCAST_ROWS)
-
-    # the texts that windows are laid on, once more: their own key finds them
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = narrow.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
-    texts = windows.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("k", "width", "start")).alias("laid"))
-    on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
-    hashed = keyed.join(F.broadcast(texts) if few else texts, on).select("doc_id", "text_key", "laid", word_hashes(F.col("text")).alias("h"))
-    by_size = hashed.select("doc_id", "text_key", F.explode("laid").alias("w"), "h")
-    cut = None
-    for k in sizes or [shingle]:
-        one = by_size.where(F.col("w.k") == k).select("doc_id", "text_key", F.lit(k).alias("k"), F.col("w.width").alias("width"), F.col("w.start").alias("start"), grams("h", k).alias("g"))
-        first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("g") - (F.col("width") - k + 1)))
-        one = one.select("doc_id", "text_key", "k", "width", first.alias("start"), F.slice("g", first + 1, F.col("width") - k + 1).alias("shingles"))
-        cut = one if cut is None else cut.unionByName(one)
-    cut = materialize(spark, cut.distinct().select("*", fingerprint("shingles").alias("fp")), "fingerprinted")
-
-    item_keys = known.select("item_id", "k", "width", F.col("fp").alias("item_fp"), F.explode(_block_keys("fp", True)).alias("b")).select("item_id", "k", "width", "item_fp", "b.block", "b.value")
-    window_keys = cut.select("doc_id", "text_key", "k", "width", "start", "fp", F.explode(_block_keys("fp", False)).alias("b")).select("doc_id", "text_key", "k", "width", "start", "fp", "b.block", "b.value")
-    near = window_keys.join(F.broadcast(item_keys) if is_small(item_keys, BROADCAST_ROWS) else item_keys, ["k", "width", "block", "value"])
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = near.where(bits <= radius).select(F.col("doc_id").alias("n_doc"), F.col("text_key").alias("n_key"), "k", "width", F.col("start").alias("n_start"), "item_id", bits.cast("int").alias("bits")).distinct()
-
-    on = F.col("n_doc").eqNullSafe(F.col("doc_id")) & (F.col("n_key") == F.col("text_key")) & (near["k"] == cut["k"]) & (near["width"] == cut["width"]) & (F.col("n_start") == F.col("start"))
-    pairs = near.join(cut, on).select("doc_id", "text_key", "item_id", "start", "bits", "shingles")
-    item_shingles = known.select(F.col("item_id").alias("i_id"), F.col("shingles").alias("item_shingles"))
-    pairs = pairs.join(F.broadcast(item_shingles) if small else item_shingles, F.col("item_id").eqNullSafe(F.col("i_id")))
-    scored = pairs.select("doc_id", "text_key", "item_id", "start", "bits", weighted_similarity("shingles", "item_shingles").alias("similarity"))
+    if not 0 <= radius < 16 or not 1 <= prints:
+        raise ValueError("the blocks cover radii under 16, of one fingerprint or more")
+    known = prepare_items(spark, items, shingle, prints)
+    sizes = sorted(r[0] for r in known.select("k").distinct().collect()) or [shingle]
+    windows = materialize(spark, _windows(docs, known, sizes, similarity), "windows")
+
+    # the texts that windows are laid on, once more
+    laid = windows.select("text_key", "k", "width", "start").distinct()
+    asked = laid.select(F.col("text_key").alias("own_key")).distinct()
+    again = _narrow(docs).select(F.col("text_key").alias("own_key"), "text").join(maybe_broadcast(asked), "own_key", "left_semi").dropDuplicates(["own_key"])
+    hashed = again.join(laid, F.col("own_key") == F.col("text_key")).select("text_key", "k", "width", "start", word_hashes(F.col("text")).alias("h"))
+    shingles = F.coalesce(*(F.when(F.col("k") == k, grams("slice(h, start + 1, width)", k)) for k in sizes))
+    cut = hashed.select("text_key", "k", "width", "start", shingles.alias("shingles"))
+    cut = materialize(spark, cut.select("*", F.xxhash64("k", "width", "shingles").alias("content")), "window-shingles")
+
+    contents = fingerprints(cut.dropDuplicates(["content"]).select("content", "k", "width", "shingles"), prints)
+    contents = materialize(spark, contents, "fingerprinted")
+    near = materialize(spark, candidates(contents, known, radius), "candidates")
+    pairs = near.join(contents.select(F.col("content").alias("_c"), "shingles"), F.col("content") == F.col("_c"))
+    theirs = known.dropDuplicates(["content"]).select(F.col("content").alias("_i"), F.col("shingles").alias("item_shingles"))
+    pairs = pairs.join(theirs, F.col("item") == F.col("_i"))
+    scored = pairs.select("content", "item", "bits", weighted_similarity("shingles", "item_shingles").alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
+    scored = materialize(spark, scored, "contamination")
+
+    # back to items and documents
+    named = scored.join(known.select(F.col("content").alias("_i"), "item_id"), F.col("item") == F.col("_i")).select(F.col("content").alias("_c"), "item_id", "bits", "similarity")
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"), F.col("bits"))).alias("best")
-    found = scored.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "text_key", "item_id").agg(best)
+    of_text = cut.select("text_key", "start", "content").join(named, F.col("content") == F.col("_c")).groupBy("text_key", "item_id").agg(best)
+    of_text = of_text.select(F.col("text_key").alias("_t"), "item_id", "best")
+    found = windows.select("doc_id", "text_key").distinct().join(of_text, F.col("text_key") == F.col("_t"))
     return found.select("doc_id", "text_key", "item_id", (-F.col("best.s")).alias("start_word"), F.col("best.bits").alias("bits"), F.col("best.similarity").alias("similarity"))
 
 
@@ -162,7 +195,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
     found = find_contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(spark, found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "contaminated")
+    gone_id, gone_key = free_names(docs, "_gone_id", "_gone_key")
+    gone = materialize(spark, found.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "contaminated")
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    on = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key"))
-    return docs.join(F.broadcast(gone) if is_small(gone, BROADCAST_ROWS) else gone, on, "left_anti")
+    on = docs["doc_id"].eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key))
+    return docs.join(maybe_broadcast(gone), on, "left_anti")

@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tidemill.llm import exact_dedup, simhash_neardup, substring_dedup
@@ -180,6 +182,21 @@ def test_simhash_stage_knows_a_document_by_id_and_text(spark, prose):
     assert prints == Counter([(1, a), (None, c), (7, d), (7, e), (9, b + " x"), *([] if alike else [(None, b)])])
 
 
+def test_tokens_are_those_of_the_words(prose):
+    """Equal shingles have equal hashes wherever they stand, different ones different hashes; also of long words and texts."""
+    rng = random.Random(14)
+    texts = ["", " ", "one", "a b c d e", " a  b\tc\nd e ", "a b c d e f", "\x85 x y z v w", prose(30), "x" * 40_000 + " a b c d", prose(60_000), "é ü ß æ ø", "a b c d " + "y" * 70_000]
+    texts += [" ".join(rng.choice(texts[7].split()) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    known = {}
+    for lists in (substring_dedup.token_lists(pa.array(texts)), substring_dedup.token_lists(pa.array(["no", *texts])[1:])):
+        for text, own in zip(texts, lists, strict=True):
+            words = text.encode().split()
+            assert len(own) == max(0, len(words) - 4)
+            for i, h in enumerate(own.tolist()):
+                assert known.setdefault(tuple(words[i : i + 5]), h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def test_compact_windows_hold_every_passage():
     """Each stretch of the least width or more is in exactly the window of its own smallest token."""
     rng = np.random.default_rng(6)
@@ -267,13 +284,81 @@ def test_partners_that_are_neither_first_nor_next(spark, prose):
         for _ in range(rng.choice([1, 1, 2, 2, 3])):
             words[rng.randrange(len(words))] = f"own{i}x{rng.randint(0, 999)}"
         rows.append((i, " ".join(words)))
-    cache = substring_dedup._WordHashes()
-    own = {i: substring_dedup.tokens(t.encode().split(), cache) for i, t in rows}
+    own = dict(zip([i for i, _ in rows], substring_dedup.token_lists(pa.array([t for _, t in rows])), strict=True))
     want = {k for i in own for j in own if i < j and substring_dedup.matching_passages(own[i], own[j], 46) for k in (i, j)}
     found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in found} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_versions_of_a_template_find_their_own_copies(spark, prose, partitions):
+    """Thirty versions of a passage, two documents each with 58 words in common, which share phrases with all others."""
+    rng = random.Random(77)
+    base, rows = prose(58).split(), []
+    for v in range(30):
+        words = list(base)
+        for at in rng.sample(range(58), 6):
+            words[at] = f"version{v}word{at}"
+        for k in range(2):
+            rows.append((2 * v + k, f"{prose(rng.randint(20, 60))} {' '.join(words)} {prose(rng.randint(20, 60))}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = substring_dedup.find_passages(spark, docs).collect()
+    assert {r["doc_id"] for r in found} == set(range(60))
+    pairs = {(r["doc_id"], r["other_id"]) for r in found if r["end_word"] - r["start_word"] >= 57}
+    assert {(2 * v, 2 * v + 1) for v in range(30)} <= pairs | {(b, a) for a, b in pairs}
+
+
+def test_recall_of_near_repeats(spark, prose):
+    """Passages with one to three words changed, added or left out, in other texts: what brute force matches is found."""
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        words = prose(rng.randint(55, 140)).split()
+        other = list(words)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(other))
+            how = rng.randrange(3)
+            if how == 0:
+                other[at] = f"changed{i}"
+            elif how == 1:
+                other.insert(at, f"added{i}")
+            else:
+                del other[at]
+        rows += [(2 * i, f"{prose(rng.randint(0, 50))} {' '.join(words)} {prose(rng.randint(0, 50))}"), (2 * i + 1, f"{prose(rng.randint(0, 50))} {' '.join(other)} {prose(rng.randint(0, 50))}")]
+    own = dict(zip([i for i, _ in rows], substring_dedup.token_lists(pa.array([t for _, t in rows])), strict=True))
+    want = {i for i in own if substring_dedup.matching_passages(own[i], own[i ^ 1], 46) or substring_dedup.matching_passages(own[i ^ 1], own[i], 46)}
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"] for r in found}
+    assert len(want) > 180 and len(want & got) >= 0.98 * len(want)
+    assert all(r["other_id"] == r["doc_id"] ^ 1 for r in found)
+
+
+def test_repeated_words_are_one_window(spark):
+    """A word again and again, fewer than fifty times, and lines again and again, beside other texts."""
+    rows = [(i, " ".join(["word"] * (30 + i) + [f"own{i}x{k}" for k in range(80)])) for i in range(12)]
+    rows += [(100 + i, " ".join(["the same line of nine words comes again here"] * 12 + [f"rest{i}x{k}" for k in range(40)])) for i in range(6)]
+    rows += [(200, " ".join(["solo"] * 400)), (201, " ".join(["solo"] * 500 + ["end"]))]
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == passages(rows) == {100, 101, 102, 103, 104, 105, 200, 201}
+
+
+def test_texts_without_ids_link_others(spark, prose):
+    shared = prose(80)
+    rows = [(None, shared), (1, f"{prose(30)} {shared}"), (2, f"{shared} {prose(30)}"), (None, prose(90))]
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {1, 2}
+
+
+def test_very_long_texts_are_cut_into_segments(spark, prose):
+    """Passages longer than a segment, and repeats that lie across the places where segments are cut."""
+    long = prose(3 * substring_dedup.SEGMENT)
+    words = long.split()
+    rows = [(1, long), (2, " ".join(words[:9000]) + " " + prose(300)), (3, prose(100) + " " + " ".join(words[4050:4150]) + " " + prose(50))]
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for r in found if r["doc_id"] == 2 for w in range(r["start_word"], r["end_word"] + 1)}
+    assert set(range(9000)) <= covered and {r["doc_id"] for r in found} == {1, 2, 3}
+    assert any(r["start_word"] <= 100 and r["end_word"] >= 199 for r in found if r["doc_id"] == 3)
+
+
 def test_passages_on_awkward_rows(spark, awkward, nothing):
     got = substring_dedup.find_passages(spark, awkward)
     assert {r["doc_id"] for r in got.collect()} == {5, 6}

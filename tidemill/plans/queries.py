@@ -527,17 +527,59 @@ def rust_use_expand(spark, d):
     return spark.createDataFrame(rows, "item string, full_path string, leaf string")
 
 
-@query()
+#: What a reader of the snippets writes down: (path, name, kind, first line, last line, signature, body).
+_READ = [
+    ("a.rs", "Tide", "struct", 3, 5, "pub struct Tide", "level: u8,"),
+    ("a.rs", "rise", "function", 7, 9, "pub fn rise(x: u8) -> u8", "fall(x)"),
+    ("a.rs", "fall", "function", 11, 13, "fn fall(x: u8) -> u8", "rise(x); rise(x)"),
+    ("b.py", "Gauge", "class", 4, 6, "class Gauge", "def read(self): return level(self)"),
+    ("b.py", "read", "function", 5, 6, "def read(self)", "return level(self)"),
+    ("b.py", "level", "function", 8, 9, "def level(g)", "return rise(g)"),
+    ("c.ts", "Orbit", "class", 3, 3, "export class Orbit", ""),
+    ("c.ts", "spin", "function", 4, 6, "export function spin(a)", "return turn(a);"),
+    ("d.go", "Pull", "function", 8, 10, "func Pull()", "fmt.Println(Push())"),
+    ("d.go", "Push", "function", 12, 14, "func Push() int", "return 1"),
+    ("e.java", "Harbour", "class", 1, 3, "public class Harbour", "public interface Pier {}"),
+    ("e.java", "Pier", "interface", 2, 2, "public interface Pier", ""),
+]
+
+
+@query("SELECT path || '::' || name AS id, * FROM (" + _values(_READ, "path, name, kind, start_line, end_line, signature, body") + ")")
 def parse_udtf(spark, d):
     return parse.symbols_of(parse.parse_files(_snippets(spark)))
 
 
-@query()
+@query(
+    _values(
+        [("a.rs::rise", "fall", 8), ("a.rs::fall", "rise", 12), ("b.py::read", "level", 6), ("b.py::level", "rise", 9), ("c.ts::spin", "turn", 5), ("d.go::Pull", "Println", 9), ("d.go::Pull", "Push", 9)],
+        "caller_id, callee_name, call_line",
+    )
+)
 def parse_calls(spark, d):
     return parse.calls_of(parse.parse_files(_snippets(spark)))
 
 
-@query()
+@query(
+    _values(
+        [("a.rs", "std::fmt", "fmt"), ("a.rs", "crate::one", "one"), ("a.rs", "crate::two", "two"), ("b.py", "os", "os"), ("b.py", "sea.tide", "tide"), ("c.ts", "./sky", "sky"), ("c.ts", "../sky", "sky"), ("d.go", "fmt", "fmt"), ("d.go", "sea/moon", "moon")],
+        "importer, from_module, symbol_name",
+    )
+)
+def parse_imports(spark, d):
+    return parse.imports_of(parse.parse_files(_snippets(spark)))
+
+
+#: What is left of the snippets where the insides of functions are hidden.
+_SHORT = [
+    ("a.rs", "use std::fmt;\nuse crate::{one, two};\npub struct Tide {\n    level: u8,\n}\n\npub fn rise(x: u8) -> u8 {\n    ...\n}\n\nfn fall(x: u8) -> u8 {\n    ...\n}\n"),
+    ("b.py", "import os\nfrom sea.tide import rise, fall\n\nclass Gauge:\n    def read(self):\n        ...\ndef level(g):\n    ...\n"),
+    ("c.ts", "import { moon, sun } from './sky';\nimport sky from '../sky';\nexport class Orbit {}\nexport function spin(a) {\n  ...\n}\nconst turn = 1;\n"),
+    ("d.go", 'package d\n\nimport (\n\t"fmt"\n\tm "sea/moon"\n)\n\nfunc Pull() {\n\t...\n}\n\nfunc Push() int {\n\t...\n}\n'),
+    ("e.java", "public class Harbour {\n  public interface Pier {}\n}\n"),
+]
+
+
+@query(_values(_SHORT, "path, skeleton").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '"))
 def skeletons(spark, d):
     return skeleton.skeletons(_snippets(spark)).select("path", "skeleton")
 

@@ -139,26 +139,28 @@ def test_blocks_find_the_radius_and_prune(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
-    items = [(i, 5, 50, [signed(b)]) for i, b in enumerate(base)]
-    near = [(1000 * i + n, 5, 50, [signed(flip(b, n))]) for i, b in enumerate(base) for n in range(20)]
-    far = [(900_000 + i, 5, 50, [signed(rng.getrandbits(64))]) for i in range(500)]
-    schema = "content long, k int, width int, fps array<long>"
-    known, contents = spark.createDataFrame(items, schema), spark.createDataFrame(near + far, schema)
-    got = {(r["content"], r["item"], r["bits"]) for r in decontaminate.candidates(contents, known).collect()}
-    want = {(c, i, (x ^ y).bit_count()) for c, _, _, (x,) in ((c, k, w, [v & (2**64 - 1) for v in f]) for c, k, w, f in near + far) for i, y in enumerate(base) if (x ^ y).bit_count() <= 15}
+    items = [(i, 5, 50, 0, signed(b)) for i, b in enumerate(base)]
+    near = [(1000 * i + n, 5, 50, 0, signed(flip(b, n))) for i, b in enumerate(base) for n in range(20)]
+    far = [(900_000 + i, 5, 50, 0, signed(rng.getrandbits(64))) for i in range(500)]
+    other = [(950_000, 5, 51, 0, signed(base[0])), (950_001, 5, 50, 1, signed(base[0]))]  # of another width, by another hash
+    schema = "content long, k int, width int, print int, fp long"
+    known, contents = spark.createDataFrame(items, schema), spark.createDataFrame(near + far + other, schema)
+    got = {(r["content"], r["item"], r["bits"]) for r in decontaminate.candidates(spark, contents, known).collect()}
+    want = {(c, i, ((x ^ y) & (2**64 - 1)).bit_count()) for c, *_, x in near + far for i, y in enumerate(base) if ((x ^ y) & (2**64 - 1)).bit_count() <= 15}
     assert got == want and len(want) >= 40 * 16
-    theirs = known.select(F.col("content").alias("item"), F.explode(decontaminate._block_keys(3)).alias("b")).select("item", "b.*")
-    mine = contents.where("content >= 900000").select("content", F.explode(decontaminate._block_keys(0)).alias("b")).select("content", "b.*")
-    assert mine.join(theirs, ["print", "key"]).select("content", "item").distinct().count() < 0.06 * 500 * 40
+    theirs = known.select(F.col("content").alias("item"), F.explode(decontaminate._block_keys(3)).alias("key"))
+    mine = contents.where("content >= 900000").select("content", F.explode(decontaminate._block_keys(0)).alias("key"))
+    assert mine.join(theirs, "key").select("content", "item").distinct().count() < 0.06 * 500 * 40
 
 
 def test_fingerprints_are_majorities(spark):
     rng = random.Random(12)
-    rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (1, 2, 7, 64, 333)]
-    got = {r["content"]: r["fps"] for r in decontaminate.fingerprints(spark.createDataFrame(rows, "content long, shingles array<long>"), 2).collect()}
-    for n, hashes in rows:
+    rows = [(n, 5, n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (1, 2, 7, 64, 333)]
+    got = {(r["content"], r["print"]): r["fp"] for r in decontaminate.fingerprints(spark.createDataFrame(rows, "content long, k int, width int, shingles array<long>"), 2).collect()}
+    for n, _, _, hashes in rows:
         majority = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
-        assert got[n][0] & (2**64 - 1) == majority and got[n][1] != got[n][0]
+        assert got[n, 0] & (2**64 - 1) == majority and got[n, 1] != got[n, 0]
+    assert len(got) == 2 * len(rows)
 
 
 def test_contamination_on_awkward_rows(spark, awkward, nothing):

@@ -60,23 +60,18 @@ def grams(hashes: str, k: int) -> Column:
 
 
 def fingerprints(contents: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """Adds ``fps``: the bits that are set in over half of a row's shingles, for each of ``prints`` hashes; rows are told apart by ``content``.
+    """``(content, k, width, print, fp)``: the bits that are set in over half of a row's shingles, for each of ``prints`` hashes.
 
     Counts are sums of packed lanes, two of 32 bits in a number, so an aggregation of 32 sums counts 64 bits.
     """
-    lanes = 0x0000000100000001
-    hashes = [F.col("h") if i == 0 else F.xxhash64("h", F.lit(i)) for i in range(prints)]
-    votes = contents.select("content", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
-    votes = votes.select("content", "size", *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
-    sums = [F.sum(F.shiftrightunsigned(f"h{i}", b).bitwiseAND(F.lit(lanes))).alias(f"s{i}_{b}") for i in range(prints) for b in range(32)]
-    counted = votes.groupBy("content", "size").agg(*sums)
-
-    def one(i: int) -> str:
-        bits = [f"IF(2 * (shiftrightunsigned(s{i}_{b % 32}, {b // 32 * 32}) & 4294967295L) > size, shiftleft(1L, {b}), 0L)" for b in range(64)]
-        return " | ".join(bits)
-
-    found = counted.select(F.col("content").alias("_content"), F.array(*(F.expr(one(i)) for i in range(prints))).alias("fps"))
-    return contents.join(found, F.col("content") == F.col("_content")).drop("_content")
+    votes = contents.select("content", "k", "width", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    hashes = F.expr(f"transform(sequence(0, {prints - 1}), i -> named_struct('print', i, 'g', IF(i = 0, h, xxhash64(h, i))))")
+    votes = votes.select("content", "k", "width", "size", F.explode(hashes).alias("v")).select("content", "k", "width", "size", "v.print", "v.g")
+    lanes = F.lit(0x0000000100000001)
+    sums = [F.sum(F.shiftrightunsigned("g", b).bitwiseAND(lanes)).alias(f"s{b}") for b in range(32)]
+    counted = votes.groupBy("content", "k", "width", "size", "print").agg(*sums).select("content", "k", "width", "size", "print", F.array(*(f"s{b}" for b in range(32))).alias("s"))
+    fp = F.expr("aggregate(sequence(0, 63), 0L, (fp, b) -> fp | IF(2 * (shiftrightunsigned(s[b % 32], b - b % 32) & 4294967295L) > size, shiftleft(1L, b), 0L))")
+    return counted.select("content", "k", "width", "print", fp.alias("fp"))
 
 
 def weighted_similarity(a: str, b: str) -> Column:
@@ -86,25 +81,21 @@ def weighted_similarity(a: str, b: str) -> Column:
 
 
 def _block_keys(near: int) -> Column:
-    """(print, key) of a row's fingerprints' blocks, with all values within ``near`` bits of a block's; a key is of one ``k`` and ``width``."""
+    """Keys of a fingerprint's blocks, with all values within ``near`` bits of a block's; a key is of one hash, ``k`` and ``width``."""
     mask = (1 << BLOCK_BITS) - 1
     # by the rule, once, not in each row
-    flips = f"array({', '.join(str(x) for x in range(mask + 1) if x.bit_count() <= near)})"
+    flips = ", ".join(str(x) for x in range(mask + 1) if x.bit_count() <= near)
     value = f"CAST(shiftrightunsigned(fp, b * {BLOCK_BITS}) & {mask} AS INT) ^ x"
-    per_block = f"transform({flips}, x -> named_struct('print', i, 'key', xxhash64(k, width, i, b, {value})))"
-    return F.expr(f"flatten(flatten(transform(fps, (fp, i) -> transform(sequence(0, {BLOCKS - 1}), b -> {per_block}))))")
+    return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), b -> transform(array({flips}), x -> xxhash64(k, width, print, b, {value}))))")
 
 
-def prepare_items(spark: SparkSession, items: DataFrame, shingle: int = SHINGLE, prints: int = PRINTS) -> DataFrame:
-    """``(item_id, content, k, width, shingles, fps)`` of every item with words; k is the words of its shingles."""
+def prepare_items(spark: SparkSession, items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(item_id, content, k, width, shingles)`` of every item with words; k is the words of its shingles."""
     words = items.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h")).where("size(h) > 0")
     sized = words.select("item_id", F.size("h").alias("width"), F.least(F.lit(shingle), F.size("h")).alias("k"), "h")
     shingles = F.coalesce(*(F.when(F.col("k") == k, grams("h", k)) for k in range(1, shingle + 1)))
     known = sized.select("item_id", "width", "k", shingles.alias("shingles"))
-    known = known.select("item_id", F.xxhash64("k", "width", "shingles").alias("content"), "k", "width", "shingles").distinct()
-    contents = known.dropDuplicates(["content"]).drop("item_id")
-    printed = fingerprints(contents, prints).select(F.col("content").alias("_c"), "fps")
-    return materialize(spark, known.join(printed, F.col("content") == F.col("_c")).drop("_c"), "items")
+    return materialize(spark, known.select("item_id", F.xxhash64("k", "width", "shingles").alias("content"), "k", "width", "shingles").distinct(), "items")
 
 
 def window_starts(places: str, n: str, m: str, similarity: float) -> Column:
@@ -135,12 +126,15 @@ def _windows(docs: DataFrame, known: DataFrame, sizes: list[int], similarity: fl
     return found.select("doc_id", "text_key", "k", "width", F.explode(starts).alias("start"))
 
 
-def candidates(contents: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(content, item, bits)``: contents and items of which a fingerprint is within the radius; bits is the smallest distance."""
-    theirs = known.dropDuplicates(["content"]).select(F.col("content").alias("item"), F.col("fps").alias("item_fps"), F.explode(_block_keys(radius // BLOCKS)).alias("b")).select("item", "item_fps", "b.print", "b.key")
-    mine = contents.select("content", "fps", F.explode(_block_keys(0)).alias("b")).select("content", "fps", "b.print", "b.key")
-    bits = F.bit_count(F.col("fps")[F.col("print")].bitwiseXOR(F.col("item_fps")[F.col("print")]))
-    near = mine.join(maybe_broadcast(theirs), ["print", "key"]).where(bits <= radius)
+def candidates(spark: SparkSession, printed: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(content, item, bits)``: contents and items of which a fingerprint is within the radius; bits is the smallest distance.
+
+    The items' keys are a table first, so that plans know their true size.
+    """
+    theirs = materialize(spark, items.select(F.col("content").alias("item"), F.col("fp").alias("item_fp"), F.explode(_block_keys(radius // BLOCKS)).alias("key")), "item-keys")
+    mine = printed.select("content", "fp", F.explode(_block_keys(0)).alias("key"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    near = mine.join(maybe_broadcast(theirs), "key").where(bits <= radius)
     return near.groupBy("content", "item").agg(F.min(bits).cast("int").alias("bits"))
 
 
@@ -156,7 +150,7 @@ def find_contamination(
     """``(doc_id, text_key, item_id, start_word, bits, similarity)``: each contaminated text's best window for an item."""
     if not 0 <= radius < 16 or not 1 <= prints:
         raise ValueError("the blocks cover radii under 16, of one fingerprint or more")
-    known = prepare_items(spark, items, shingle, prints)
+    known = prepare_items(spark, items, shingle)
     sizes = sorted(r[0] for r in known.select("k").distinct().collect()) or [shingle]
     windows = materialize(spark, _windows(docs, known, sizes, similarity), "windows")
 
@@ -169,9 +163,10 @@ def find_contamination(
     cut = hashed.select("text_key", "k", "width", "start", shingles.alias("shingles"))
     cut = materialize(spark, cut.select("*", F.xxhash64("k", "width", "shingles").alias("content")), "window-shingles")
 
-    contents = fingerprints(cut.dropDuplicates(["content"]).select("content", "k", "width", "shingles"), prints)
-    contents = materialize(spark, contents, "fingerprinted")
-    near = materialize(spark, candidates(contents, known, radius), "candidates")
+    contents = materialize(spark, cut.dropDuplicates(["content"]).select("content", "k", "width", "shingles"), "window-contents")
+    printed = materialize(spark, fingerprints(contents, prints), "fingerprinted")
+    items_printed = materialize(spark, fingerprints(known.dropDuplicates(["content"]), prints), "items-fingerprinted")
+    near = materialize(spark, candidates(spark, printed, items_printed, radius), "candidates")
     pairs = near.join(contents.select(F.col("content").alias("_c"), "shingles"), F.col("content") == F.col("_c"))
     theirs = known.dropDuplicates(["content"]).select(F.col("content").alias("_i"), F.col("shingles").alias("item_shingles"))
     pairs = pairs.join(theirs, F.col("item") == F.col("_i"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemill.llm import bpe_codec, decontaminate, exact_dedup, license_scan, pii, quality, simhash_neardup, substring_dedup, url_filter, warc
+from tidemill.llm import bpe_codec, decontaminate, exact_dedup, filter_audit, license_scan, pii, quality, simhash_neardup, substring_dedup, url_filter, warc
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }

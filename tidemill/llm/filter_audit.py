@@ -134,13 +134,13 @@ b AS (
   FROM s
 )
 SELECT part, filter_order, step,
-       CAST(coalesce(sum(n) FILTER (WHERE mask & (own | before) = 0), 0) AS BIGINT) AS kept,
-       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
-       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE (mask & (own | before)) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE (mask & own) <> 0 AND (mask & before) = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE (mask & own) <> 0 AND (mask & before) <> 0), 0) AS BIGINT) AS redundant,
        CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
-       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0 AND good), 0) AS BIGINT) AS good_lost,
-       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0 AND toxic), 0) AS BIGINT) AS toxic_lost,
-       CAST(coalesce(sum(n * 120 // bit_count(mask)) FILTER (WHERE mask & own <> 0), 0) AS BIGINT) AS shapley
+       CAST(coalesce(sum(n) FILTER (WHERE (mask & own) <> 0 AND (mask & before) = 0 AND good), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(n) FILTER (WHERE (mask & own) <> 0 AND (mask & before) = 0 AND toxic), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum((n * 120) // greatest(bit_count(mask), 1)) FILTER (WHERE (mask & own) <> 0), 0) AS BIGINT) AS shapley
 FROM m, b GROUP BY part, filter_order, step
 """
 )

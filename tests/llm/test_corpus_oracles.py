@@ -24,4 +24,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = registry.queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13

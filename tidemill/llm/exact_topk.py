@@ -325,9 +325,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: str, k: int = TOP,
     shards = build_shards(spark, rows, sample_rows, shard_rows, leaf_rows)
     queries = rows.where(is_query)
     # a length has MAX_CELLS cells at most, so their boxes can go to all queries; shards come in by cell
-    spread = shards.select("dims", "cell", F.posexplode(F.arrays_zip("box_lo", "box_hi")).alias("at", "b")).groupBy("dims", "cell", "at").agg(F.min("b.box_lo").alias("lo"), F.max("b.box_hi").alias("hi"))
+    spread = shards.select("dims", "cell", F.posexplode_outer(F.arrays_zip("box_lo", "box_hi")).alias("at", "b")).groupBy("dims", "cell", "at").agg(F.min("b.box_lo").alias("lo"), F.max("b.box_hi").alias("hi"))
     boxes = materialize(spark, spread.groupBy("dims", "cell").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("box")), "cell-boxes")
-    up = F.expr("aggregate(zip_with(x, box, (q, b) -> greatest(q * b.lo, q * b.hi)), 0D, (s, v) -> s + v)")
+    # without components every product is zero
+    up = F.expr("IF(dims = 0, 0D, aggregate(zip_with(x, box, (q, b) -> greatest(q * b.lo, q * b.hi)), 0D, (s, v) -> s + v))")
     reach = queries.select("rid", "dims", "x").join(maybe_broadcast(boxes, BOXES), "dims").select("rid", "dims", "cell", up.alias("up"))
     reach = materialize(spark, reach, "reach")
     parts = shards.select("dims", "cell", "shard")

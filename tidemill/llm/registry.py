@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemill.llm import bpe_codec, decontaminate, exact_dedup, exact_topk, filter_audit, license_scan, pii, quality, simhash_neardup, substring_dedup, url_filter, warc
+from tidemill.llm import bpe_codec, centroid_clusters, decontaminate, exact_dedup, exact_topk, filter_audit, license_scan, pii, quality, simhash_neardup, substring_dedup, url_filter, warc
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op10_warc": warc.op10_warc,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_exact_topk": exact_topk.op12_exact_topk,
+        "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op10_warc": warc.OP10_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
         "op12_exact_topk": exact_topk.OP12_SQL,
+        "op13_centroid_clusters": centroid_clusters.OP13_SQL,
     }

@@ -11,7 +11,8 @@ from tidemill.config import Config
 from tidemill.corpus import base, derive, with_ctes
 from tidemill.functions import rules
 from tidemill.functions import text as X
-from tidemill.operators import bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
+from tidemill.operators import ann, bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
+from tidemill.sources.scratch import scratch
 from tidemill.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,39 @@ def batch_knn(spark, d):
     return search.knn(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
+_NEAREST = (
+    with_ctes("vectors")
+    + """, s AS (SELECT q.vec_id AS query_id, v.chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 3) AS score
+         FROM vectors v CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q),
+       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s), n AS (SELECT * FROM r WHERE rank <= 5) """
+)
+RECALL = 0.9
+
+
+def _ivf(spark, d):
+    vectors = derive(spark, d, "vectors")
+    index = ann.IvfIndex.build(vectors, scratch(spark, "ivf"))
+    return index, vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_NEAREST + "SELECT query_id, chunk_id, score, rank FROM n")
+def ivf_knn_all_cells(spark, d):
+    """Every cell probed and every row on the shortlist: the index gives what exact search gives."""
+    index, vectors, queries = _ivf(spark, d)
+    return index.knn(queries, 5, len(index.quantiser.cells), vectors.count())
+
+
+@query(_NEAREST + f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, {RECALL} <= 1 AS recall_reached FROM n")
+def ivf_recall(spark, d):
+    """Exact neighbours of every twentieth row that the index finds, with as many probes as it takes to find 95 in a hundred of a few rows'."""
+    index, vectors, queries = _ivf(spark, d)
+    found = index.knn(queries, 5, index.probes_for(0.95, 5)).select("query_id", F.col("score").alias("near"), "rank")
+    exact = search.knn(vectors, queries, 5).join(found, ["query_id", "rank"], "left")
+    # of rows that score alike either is right
+    hit = F.coalesce(F.col("near") >= F.col("score"), F.lit(False))
+    return exact.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count_if(hit) >= RECALL * F.count("*")).alias("recall_reached"))
+
+
 @query("SELECT count(*) AS points, CAST(max(len(embedding)) AS INT) AS dimension FROM embeddings")
 def collection_info(spark, d):
     return search.collection_info(derive(spark, d, "vectors"))
@@ -734,8 +768,6 @@ def debounce_sessions(spark, d):
 @query(_BURSTS)
 def stream_reindex(spark, d):
     """Changes stream into bursts; the rows are those of all bursts."""
-    from tidemill.sources.scratch import scratch
-
     return watch.debounce_table(spark, derive(spark, d, "changes"), scratch(spark, "stream"), "30 minutes")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill import code_corpus
+
 _EXTENSIONS = [".rs", ".py", ".js", ".ts", ".go", ".java", ".md", ".toml", ".yaml", ".json", ".txt", ""]
 _EXT_CASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXTENSIONS)) + " END"
 
@@ -23,6 +27,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         ) AS f
         """,
     ),
+    "source_units": (("part", "lineitem"), code_corpus.UNITS_SQL),
+    "sources": (("part", "lineitem"), code_corpus.SOURCES_SQL),
     "index_state": (
         ("documents", "pages"),
         """
@@ -103,7 +109,15 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 #: Derived tables that stand for others' text.
-_NESTED = ("files", "symbols", "old_details")
+_NESTED = ("files", "symbols", "old_details", "source_units")
+
+
+#: Texts joined by line ends, in an order.
+_LINES = re.compile(r"LINES\((\w+) BY (\w+)\)")
+
+
+def duckdb_lines(text: str) -> str:
+    return _LINES.sub(r"string_agg(\1, chr(10) ORDER BY \2)", text)
 
 
 def sql(name: str, dialect: str = "duckdb") -> str:
@@ -115,6 +129,7 @@ def sql(name: str, dialect: str = "duckdb") -> str:
     for inner in _NESTED:
         text = text.replace("{" + inner + "}", DERIVED[inner][1])
     text = text.replace("BYTES(", "strlen(" if dialect == "duckdb" else "octet_length(")
+    text = duckdb_lines(text) if dialect == "duckdb" else _LINES.sub(r"listagg(\1, chr(10)) WITHIN GROUP (ORDER BY \2)", text)
     if dialect == "duckdb":
         for base in DERIVED[name][0]:
             text = text.replace("{" + base + "}", base)
@@ -126,7 +141,11 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(sql(name, "spark"), **{t: base(spark, sf_dir, t) for t in DERIVED[name][0]})
+    # braces that name no table are text
+    text = sql(name, "spark").replace("{", "{{").replace("}", "}}")
+    for t in DERIVED[name][0]:
+        text = text.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(text, **{t: base(spark, sf_dir, t) for t in DERIVED[name][0]})
 
 
 def with_ctes(*names: str) -> str:

@@ -16,6 +16,10 @@ def result_json() -> Column:
     return F.to_json(F.struct("chunk_id", "path", F.round("score", 3).alias("score"), "start_line", "end_line", "language", X.clamp(F.col("content"), SNIPPET).alias("snippet")))
 
 
+#: Chunks without a cost that a budget takes at most.
+FREE = 1_000
+
+
 def per_file_cap(chunks: DataFrame, cap: int = PER_FILE) -> DataFrame:
     """The best ``cap`` chunks of each path."""
     w = Window.partitionBy("path").orderBy(F.desc("score"), "chunk_id")
@@ -25,12 +29,14 @@ def per_file_cap(chunks: DataFrame, cap: int = PER_FILE) -> DataFrame:
 def pack(chunks: DataFrame, tokens: str, limit: int) -> DataFrame:
     """Chunks in order of score while what came before them is under the limit.
 
-    A chunk costs one token at least, so no more than ``limit`` can be packed: a top-k, of which each task
-    gives its own, comes before the one ordered window.
+    At most ``limit`` chunks that cost something can be packed, and ``FREE`` of those that cost nothing (or
+    whose cost is null) are: a top-k, of which each task gives its own, comes before the one ordered window.
     """
-    chunks = chunks.where(F.col(tokens) > 0).orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
+    cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0))
+    best = lambda rows, n: rows.orderBy(F.desc("score"), "chunk_id").limit(max(0, n))
+    chunks = best(chunks.where(cost > 0), limit).unionByName(best(chunks.where(cost <= 0), FREE))
     w = Window.orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("used_before", F.coalesce(F.sum(tokens).over(w), F.lit(0))).where(F.col("used_before") < limit)
+    return chunks.withColumn("used_before", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("used_before") < limit)
 
 
 def select_chunks(candidates: DataFrame, budget: int, cap: int = PER_FILE, share: int = 60) -> DataFrame:

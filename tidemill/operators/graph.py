@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,11 +235,35 @@ def breaking_signals(symbols: DataFrame, calls: DataFrame, names: list[str], pat
     return out.unionByName(skipped.select(F.col("name").alias("symbol"), F.format_string(SIGNALS["skipped"], "name").alias("signal")))
 
 
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by path and line, spans before the lines that they may hold: a stack of the spans that are open."""
+    path, stack = None, []
+    for rows in batches:
+        out = []
+        for own, at, span, symbol, end in zip(rows["path"], rows["at"], rows["span"], rows["id"], rows["end_line"], strict=True):
+            if own != path:
+                path, stack = own, []
+            if span:
+                stack.append((end, symbol))
+                continue
+            while stack and stack[-1][0] < at:
+                stack.pop()
+            if stack:
+                out.append((own, at, stack[-1][1]))
+        yield pd.DataFrame(out, columns=["path", "line", "id"])
+
+
 def enclosing_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``lines(path, line)`` with the id of the innermost symbol around each: the one that starts last."""
-    spans = symbols.select(F.col("path").alias("s_path"), "id", "start_line", "end_line")
-    on = (F.col("path") == F.col("s_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    return lines.join(spans, on).groupBy("path", "line").agg(F.max_by("id", F.struct("start_line", "id")).alias("id"))
+    """``lines(path, line)``, each once, with the id of the innermost symbol around it: the one that starts last.
+
+    One sweep over the lines and spans of a path in their order; a task holds the spans that are open, not a file's.
+    A span that ends above a line is dropped when the line is reached, so the last one left is the answer.
+    """
+    asked = lines.select("path", F.col("line").cast("int").alias("at")).where("path is not null and at is not null").distinct()
+    asked = asked.select("path", "at", F.lit(False).alias("span"), F.lit("").alias("id"), F.lit(0).alias("end_line"))
+    spans = symbols.where("path is not null and start_line <= end_line").select("path", F.col("start_line").cast("int").alias("at"), F.lit(True).alias("span"), "id", F.col("end_line").cast("int").alias("end_line"))
+    rows = spans.unionByName(asked).repartition("path").sortWithinPartitions("path", "at", F.desc("span"), "id")
+    return rows.mapInPandas(_sweep, "path string, line int, id string")
 
 
 def symbol_end_lines(symbols: DataFrame) -> DataFrame:

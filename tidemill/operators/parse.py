@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import rules
 from tidemill.functions import text as X
-from tidemill.operators import state
+from tidemill.operators import lex, state
 
 NAME = r"[\p{L}\p{N}_]+"
 
@@ -89,77 +89,6 @@ def prefix_calls(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 # --- scanner --------------------------------------------------------------------------------
 
-#: What a language's scanner needs to know: line comments, block comments, quotes.
-SYNTAX = {
-    "rust": ("//", True, '"'),
-    "javascript": ("//", True, "\"'`"),
-    "typescript": ("//", True, "\"'`"),
-    "go": ("//", True, "\"'`"),
-    "java": ("//", True, "\"'"),
-    "kotlin": ("//", True, "\"'"),
-    "scala": ("//", True, "\""),
-    "swift": ("//", True, '"'),
-    "c": ("//", True, "\"'"),
-    "cpp": ("//", True, "\"'"),
-    "csharp": ("//", True, "\"'"),
-    "php": ("//", True, "\"'"),
-    "ruby": ("#", False, "\"'"),
-}
-KEYWORDS = set("if else for while do switch match return catch try finally throw case in of loop fn func function def class struct enum impl trait sizeof await yield typeof instanceof using lock foreach elif unless until and or not with assert where let var const static synchronized".split())
-
-#: Declarations: language -> (pattern on blanked text, kind); group 1 is the name.
-_FN_MODS = r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*"
-_JAVA_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|partial|readonly|synchronized|native|default|inline|constexpr|explicit|friend|extern|unsigned|const|open|data|suspend)\s+)*"
-DECLARATIONS = {
-    "rust": [
-        (rf"^[ \t]*{_FN_MODS}fn\s+(\w+)", "function"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|union)\s+(\w+)", "struct"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "trait"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)", "module"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?const\s+(\w+)\s*:", "const"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?static\s+(?:mut\s+)?(\w+)", "static"),
-        (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)", "type"),
-        (r"^[ \t]*macro_rules!\s*(\w+)", "macro"),
-        (r"^[ \t]*(?:unsafe\s+)?impl(?:\s*<[^{;]*?>)?\s+(?:[\w:<>, &'\[\]]+?\s+for\s+)?(?:&\s*)?(?:[\w]+::)*(\w+)", "impl"),
-    ],
-    "javascript": [
-        (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"),
-        (r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "function"),
-        (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"),
-        (r"^[ \t]+(?:(?:static|async|get|set|public|private|protected|readonly)\s+)*(\w+)\s*\([^;{}]*\)\s*(?::\s*[^{;=]+)?\{", "method"),
-    ],
-    "go": [(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "function"), (r"^type\s+(\w+)", "type")],
-    "java": [
-        (rf"^[ \t]*{_JAVA_MODS}(?:class|record|enum)\s+(\w+)", "class"),
-        (rf"^[ \t]*{_JAVA_MODS}interface\s+(\w+)", "interface"),
-        (rf"^[ \t]+{_JAVA_MODS}(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\([^;{{}}]*\)\s*(?:throws\s+[\w, .]+)?[{{;]", "method"),
-    ],
-    "c": [
-        (r"^[ \t]*(?:typedef\s+)?(?:struct|union|enum)\s+(\w+)\s*\{", "class"),
-        (r"^(?:[\w*]+[ \t*]+)+\**(\w+)\s*\([^;{}]*\)\s*\{", "function"),
-    ],
-    "php": [
-        (r"^[ \t]*(?:abstract\s+|final\s+)*(?:class|trait)\s+(\w+)", "class"),
-        (r"^[ \t]*interface\s+(\w+)", "interface"),
-        (r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)", "function"),
-    ],
-    "ruby": [(r"^[ \t]*def\s+(?:self\.)?(\w+[?!=]?)", "method"), (r"^[ \t]*class\s+(?:\w+::)*(\w+)", "class"), (r"^[ \t]*module\s+(\w+)", "module")],
-    "kotlin": [(rf"^[ \t]*{_JAVA_MODS}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", "function"), (rf"^[ \t]*{_JAVA_MODS}(?:class|object)\s+(\w+)", "class"), (rf"^[ \t]*{_JAVA_MODS}interface\s+(\w+)", "interface")],
-    "swift": [(r"^[ \t]*(?:(?:public|private|internal|open|static|override|mutating|final)\s+)*func\s+(\w+)", "function"), (r"^[ \t]*(?:(?:public|private|internal|open|final)\s+)*class\s+(\w+)", "class"), (r"^[ \t]*(?:(?:public|private|internal)\s+)*struct\s+(\w+)", "struct")],
-}
-DECLARATIONS["typescript"] = [
-    *DECLARATIONS["javascript"],
-    (r"^[ \t]*(?:export\s+)?(?:declare\s+)?interface\s+(\w+)", "interface"),
-    (r"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+(\w+)\s*(?:<[^=]*>)?\s*=", "type"),
-    (r"^[ \t]*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(\w+)", "enum"),
-]
-DECLARATIONS["cpp"] = [(r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct|union)\s+(\w+)[^;(){}]*\{", "class"), (r"^[ \t]*(?:[\w:<>*&~]+[ \t*&]+)+\**(?:\w+::)*(~?\w+)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{", "function")]
-DECLARATIONS["csharp"] = [(rf"^[ \t]*{_JAVA_MODS}(?:class|record|struct|enum)\s+(\w+)", "class"), (rf"^[ \t]*{_JAVA_MODS}interface\s+(\w+)", "interface"), (rf"^[ \t]+{_JAVA_MODS}(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\([^;{{}}]*\)\s*(?:=>|[{{;])", "method")]
-DECLARATIONS["scala"] = [(rf"^[ \t]*{_JAVA_MODS}def\s+(\w+)", "function"), (r"^[ \t]*(?:(?:case|abstract|sealed|final)\s+)*(?:class|object)\s+(\w+)", "class"), (r"^[ \t]*(?:sealed\s+)?trait\s+(\w+)", "trait")]
-_COMPILED: dict[str, list] = {}
-
-
 @dataclass
 class Symbol:
     name: str
@@ -178,125 +107,29 @@ class Parsed:
     calls: list[tuple[int, str, int]]  # (index of the caller among symbols, callee, line)
 
 
-def blanked(text: str, language: str) -> str:
-    """``text`` with the insides of strings and comments replaced by spaces; line ends and offsets stay."""
-    line_mark, block, quotes = SYNTAX[language]
-    out, i, n = list(text), 0, len(text)
-
-    def blank(lo: int, hi: int) -> None:
-        for k in range(lo, min(hi, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        c = text[i]
-        if text.startswith(line_mark, i) or (language == "php" and c == "#" and not text.startswith("#[", i)):
-            end = text.find("\n", i)
-            end = n if end < 0 else end
-            blank(i, end)
-            i = end
-        elif block and text.startswith("/*", i):
-            end = text.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            blank(i, end)
-            i = end
-        elif language == "rust" and c == "r" and (raw := re.compile(r'r(#*)"').match(text, i)) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")):
-            end = text.find('"' + raw[1], raw.end())
-            end = n if end < 0 else end
-            blank(raw.end(), end)
-            i = end + 1 + len(raw[1])
-        elif language == "rust" and c == "'" and (char := re.compile(r"'(?:\\.[^']*|[^'\\])'").match(text, i)):
-            blank(i + 1, char.end() - 1)
-            i = char.end()
-        elif c in quotes:
-            end = i + 1
-            while end < n and text[end] != c:
-                if text[end] == "\n" and c != "`" and language not in ("rust", "php", "ruby"):
-                    break
-                end += 2 if text[end] == "\\" and c != "`" or text[end] == "\\" and language in ("javascript", "typescript") else 1
-            blank(i + 1, end)
-            i = end + 1
-        else:
-            i += 1
-    return "".join(out)
-
-
-_MARKS = re.compile(r"[{}()\[\];]")
-
-
-def _closers(clean: str) -> dict[int, int]:
-    """Each opening brace's closing one, in one pass."""
-    found, still_open = {}, []
-    for m in re.finditer(r"[{}]", clean):
-        if m[0] == "{":
-            still_open.append(m.start())
-        elif still_open:
-            found[still_open.pop()] = m.start()
-    return found
-
-
-def _body(clean: str, at: int, closers: dict[int, int]) -> tuple[int, int] | None:
-    """Offsets of the braces around a declaration's body; None where a semicolon ends it first, or nothing closes it."""
-    nest = 0
-    for m in _MARKS.finditer(clean, at):
-        c = m[0]
-        if c == "{":
-            return (m.start(), closers[m.start()]) if m.start() in closers else None
-        if c == ";" and nest <= 0:
-            return None
-        nest += (c in "([") - (c in ")]")
-    return None
-
-
-def _ruby_end(lines: list[str], at: int) -> int:
-    """The line of the ``end`` with the indent of the opening line."""
-    indent = len(lines[at]) - len(lines[at].lstrip())
-    for k in range(at + 1, len(lines)):
-        if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent:
-            return k
-    return len(lines) - 1
-
-
 def _squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def _scan_braced(text: str, language: str) -> tuple[list[Symbol], str]:
-    clean = blanked(text, language)
-    if language not in _COMPILED:
-        _COMPILED[language] = [(re.compile(p, re.MULTILINE), k) for p, k in DECLARATIONS[language]]
-    line_of = [0]
-    line_of.extend(i + 1 for i, c in enumerate(text) if c == "\n")
-    from bisect import bisect_right
-
-    number = lambda offset: bisect_right(line_of, offset)
-    lines = clean.split("\n")
-    found: dict[int, tuple[Symbol, int]] = {}
-    closers = _closers(clean)
-    for pattern, kind in _COMPILED[language]:
-        for m in pattern.finditer(clean):
-            name, at = m[1], m.start(1)
-            if at in found or name in KEYWORDS or kind in ("method", "function") and re.match(r"\s*(?:return|else|new|throw|await|case)\b", m[0]):
-                continue
-            start, span = m.start() + len(m[0]) - len(m[0].lstrip()), None
-            if language == "ruby":
-                end_line = _ruby_end(lines, number(start) - 1) + 1
-                signature, body = text[start : line_of[number(start)] if number(start) < len(line_of) else len(text)], "\n".join(text.split("\n")[number(start) : end_line - 1])
-            elif (span := _body(clean, m.end(1), closers)) and not (kind == "type" and language != "go") and kind not in ("const", "static"):
-                end_line, signature, body = number(span[1]), text[start : span[0]], text[span[0] + 1 : span[1]]
-            else:
-                stop = clean.find(";", m.end(1))
-                stop = len(text) if stop < 0 else stop
-                if language in ("go", "kotlin", "swift", "scala"):
-                    stop = clean.find("\n", m.end(1))
-                    stop = len(text) if stop < 0 else stop
-                end_line, signature, body = number(max(start, stop - 1 if stop == len(text) else stop)), text[start:stop], ""
-            found[at] = (Symbol(name, kind, number(start), end_line, _squeeze(signature), _squeeze(body), span or None), start)
-    ordered = [s for s, _ in sorted(found.values(), key=lambda x: (x[0].start_line, x[1]))]
-    return ordered, clean
-
-
-def _scan_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[tuple[int, str, int]]] | None:
+def _scan(text: str, language: str, kinds: dict[str, str]) -> tuple[list[Symbol], list[tuple[str, int]], str]:
+    """Symbols in order of their starts, calls, and the text without comments and strings, of a language with braces or ``end``."""
+    found, clean = lex.lexed(text, language)
+    made, quiet = (lex.ruby_declarations(text, kinds, found), []) if language == "ruby" else lex.declarations(text, language, kinds, found)
+    symbols = []
+    for d in made:
+        if d.braces:
+            signature, body = text[d.start : d.braces[0]], text[d.braces[0] + 1 : d.braces[1]]
+        elif language == "ruby":
+            first = text.find("\n", d.start)
+            signature, _, body = text[d.start : d.end].partition("\n") if 0 <= first < d.end else (text[d.start : d.end], "", "")
+            body = body.removesuffix("end")
+        else:
+            signature, body = text[d.start : d.end], ""
+        symbols.append(Symbol(d.name, d.kind, d.start_line, d.end_line, _squeeze(signature), _squeeze(body), d.braces))
+    return symbols, lex.calls(language, found, {d.name_at for d in made}, quiet), clean
+
+
+def _scan_python(text: str, kinds: dict[str, str]) -> tuple[list[Symbol], list[tuple[str, str]], list[tuple[int, str, int]]] | None:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -304,30 +137,31 @@ def _scan_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[t
     lines = text.splitlines()
     symbols, imports, calls = [], [], []
 
-    def visit(node, owner):
-        for child in ast.iter_child_nodes(node):
-            inner = owner
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                first = child.body[0].lineno
-                signature = _squeeze(" ".join(lines[child.lineno - 1 : max(child.lineno, first - 1)])).rstrip(":")
-                symbols.append(Symbol(child.name, "class" if isinstance(child, ast.ClassDef) else "function", child.lineno, child.end_lineno, signature, _squeeze(" ".join(lines[first - 1 : child.end_lineno]))))
-                inner = len(symbols) - 1
-            elif isinstance(child, ast.Import):
-                imports.extend((a.name, a.name.rpartition(".")[2]) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                module = "." * child.level + (child.module or "")
-                imports.append((module, module.rstrip(".").rpartition(".")[2] or module))
-            elif isinstance(child, ast.Call):
-                name = child.func.attr if isinstance(child.func, ast.Attribute) else child.func.id if isinstance(child.func, ast.Name) else None
-                if name and owner is not None:
-                    calls.append((owner, name, child.lineno))
-            visit(child, inner)
-
-    visit(tree, None)
+    # a stack, as deep expressions would end recursion
+    todo = [(child, None) for child in reversed(list(ast.iter_child_nodes(tree)))]
+    while todo:
+        node, owner = todo.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            first = node.body[0].lineno
+            signature = _squeeze(" ".join(lines[node.lineno - 1 : max(node.lineno, first - 1)])).rstrip(":")
+            kind = kinds.get("class" if isinstance(node, ast.ClassDef) else "def")
+            if kind is not None:
+                symbols.append(Symbol(node.name, kind, node.lineno, node.end_lineno, signature, _squeeze(" ".join(lines[first - 1 : node.end_lineno]))))
+                owner = len(symbols) - 1
+        elif isinstance(node, ast.Import):
+            imports.extend((a.name, a.name.rpartition(".")[2]) for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            module = "." * node.level + (node.module or "")
+            imports.append((module, module.rstrip(".").rpartition(".")[2] or module))
+        elif isinstance(node, ast.Call):
+            name = node.func.attr if isinstance(node.func, ast.Attribute) else node.func.id if isinstance(node.func, ast.Name) else None
+            if name and owner is not None:
+                calls.append((owner, name, node.lineno))
+        todo += [(child, owner) for child in reversed(list(ast.iter_child_nodes(node)))]
     return symbols, imports, calls
 
 
-def _loose_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[tuple[int, str, int]]]:
+def _loose_python(text: str, kinds: dict[str, str]) -> tuple[list[Symbol], list[tuple[str, str]], list[tuple[int, str, int]]]:
     """The same from declaration lines and indents, for a text that doesn't parse."""
     lines = text.splitlines()
     symbols, imports, calls, around = [], [], [], []
@@ -340,8 +174,8 @@ def _loose_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[
             around.pop()
         for _, i in around:
             symbols[i].end_line = number
-        if m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", bare):
-            symbols.append(Symbol(m[2], "class" if m[1] == "class" else "function", number, number, _squeeze(bare).rstrip(":"), ""))
+        if (m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", bare)) and m[1] in kinds:
+            symbols.append(Symbol(m[2], kinds[m[1]], number, number, _squeeze(bare).rstrip(":"), ""))
             around.append((width, len(symbols) - 1))
             bare = bare[m.end() :].partition(":")[2]
         elif m := re.match(r"from\s+([\w.]+)\s+import\b", bare):
@@ -350,29 +184,53 @@ def _loose_python(text: str) -> tuple[list[Symbol], list[tuple[str, str]], list[
             names = [re.sub(r"\s+as\s+\w+$", "", x.strip()) for x in m[1].split(",")]
             imports += [(x, x.rpartition(".")[2]) for x in names if re.fullmatch(r"[\w.]+", x)]
         if around:
-            calls += [(around[-1][1], name, number) for name in re.findall(r"(\w+)\s*\(", bare) if name not in KEYWORDS and not name.isdigit()]
+            calls += [(around[-1][1], name, number) for name in re.findall(r"(\w+)\s*\(", bare) if name not in lex.KEYWORDS and not name.isdigit()]
     for s in symbols:
         s.body = _squeeze(" ".join(lines[s.start_line : s.end_line]))
     return symbols, imports, calls
 
 
 def expand_use(item: str) -> list[tuple[str, str]]:
-    """A Rust use item: (full path, name bound), with one level of braces; an alias binds the original path's leaf."""
+    """A Rust use item: (full path, name bound). An alias is the name bound, and the path stays.
+
+    Braces are expanded to any depth; an alias within them binds its own part.
+    """
     item = _squeeze(item).rstrip(";").strip()
-    m = re.fullmatch(r"(.*?)(?:::)?\{(.*)\}", item)
-    out = []
-    for part in ([x.strip() for x in m[2].split(",")] if m else [item]):
+    out, todo = [], [("", item)]
+    while todo:
+        prefix, part = todo.pop()
+        part = part.strip()
         if not part:
             continue
-        part = re.sub(r"\s+as\s+\w+$", "", part)
-        if m and part == "self":
-            full = m[1]
-        else:
-            full = f"{m[1]}::{part}" if m and m[1] else part
-        out.append((full, full.rpartition("::")[2] or full))
+        if part.endswith("}") and "{" in part:
+            head, _, inner = part[:-1].partition("{")
+            head = head.strip().removesuffix("::").strip()
+            path = "::".join(x for x in (prefix, head) if x)
+            pieces, depth, last = [], 0, 0
+            for at, c in enumerate(inner):
+                depth += (c == "{") - (c == "}")
+                if c == "," and depth == 0:
+                    pieces.append(inner[last:at])
+                    last = at + 1
+            todo += [(path, x) for x in reversed([*pieces, inner[last:]])]
+            continue
+        path, _, alias = (x.strip() for x in part.partition(" as "))
+        full = prefix if path == "self" and prefix else "::".join(x for x in (prefix, path) if x)
+        out.append((full, alias or full.rpartition("::")[2] or full))
     return out
 
 
+def use_items(files: DataFrame) -> DataFrame:
+    """``(path, item, full_path, bound)``: the use items of Rust files, expanded."""
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(path, item, *x) for path, item in zip(rows["path"], rows["item"], strict=True) for x in expand_use(item)], columns=["path", "item", "full_path", "bound"])
+
+    items = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"), F.lit(1))).alias("item"))
+    return items.mapInPandas(expand, "path string, item string, full_path string, bound string")
+
+
 _IMPORTS = {
     "javascript": r"""(?:import|export)\b[^;'"\n]*?['"]([^'"\n]+)['"]|require\(\s*['"]([^'"\n]+)['"]""",
     "go": r'(?:^import\s+(?:[\w.]+\s+)?|^\s+(?:[\w.]+\s+)?)"([^"\n]+)"',
@@ -393,7 +251,7 @@ def _leaf(module: str) -> str:
 
 def _imports(text: str, clean: str, language: str) -> list[tuple[str, str]]:
     if language == "rust":
-        return [x for m in re.finditer(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", clean, re.MULTILINE) for x in expand_use(m[1])]
+        return [x for m in re.finditer(r"(?:^|(?<=[;{}]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", clean, re.MULTILINE) for x in expand_use(m[1])]
     pattern = _IMPORTS.get(language)
     if not pattern:
         return []
@@ -411,40 +269,46 @@ def _imports(text: str, clean: str, language: str) -> list[tuple[str, str]]:
     return out
 
 
-_CALL = re.compile(r"(\w+)(?:::<[^>\n]*>)?\s*(!?)\s*[(\[{]")
+def kinds_of(language: str, overrides: dict[str, dict[str, str]] | None = None) -> dict[str, str]:
+    """What declares what: a user's rows for a language take the place of its own, if they name keywords that it has."""
+    own = lex.KINDS.get(language, {})
+    mine = {k: v for k, v in (overrides or {}).get(language, {}).items() if k in own}
+    return mine or own
+
+
+def overrides_of(rules: DataFrame) -> dict[str, dict[str, str]]:
+    """``rules(language, keyword, kind)`` as ``parse_files`` takes it; a table of at most a few hundred rows."""
+    out: dict[str, dict[str, str]] = {}
+    for r in rules.select("language", "keyword", "kind").dropna().dropDuplicates(["language", "keyword"]).limit(1000).collect():
+        out.setdefault(r["language"], {})[r["keyword"]] = r["kind"]
+    return out
 
 
-def parse_text(text: str, language: str) -> Parsed:
-    """Symbols with exact spans, imports, and calls by their innermost symbol, each pair once."""
+def parse_text(text: str, language: str, overrides: dict[str, dict[str, str]] | None = None) -> Parsed:
+    """Symbols with exact spans, imports, and calls by the symbol around them that starts latest, each pair once."""
+    kinds = kinds_of(language, overrides)
     if language == "python":
-        symbols, imports, raw = _scan_python(text) or _loose_python(text)
-    elif language in SYNTAX:
-        symbols, clean = _scan_braced(text, language)
-        imports, raw = _imports(text, clean, language), []
-        heads = {(s.start_line, s.name) for s in symbols}
-        for number, line in enumerate(clean.split("\n"), 1):
-            for m in _CALL.finditer(line):
-                bracket = m[0][-1]
-                if m[1] in KEYWORDS or m[1].isdigit() or (bracket != "(" and not m[2]) or (number, m[1]) in heads or re.search(r"\b(?:fn|func|function|def|fun|class|struct)\s+$", line[: m.start()]):
-                    continue
-                owners = [i for i, s in enumerate(symbols) if s.start_line <= number <= s.end_line]
-                if owners:
-                    raw.append((max(owners, key=lambda i: (symbols[i].start_line, i)), m[1], number))
+        symbols, imports, raw = _scan_python(text, kinds) or _loose_python(text, kinds)
+    elif language in lex.LANGUAGES:
+        symbols, called, clean = _scan(text, language, kinds)
+        imports = _imports(text, clean, language)
+        owner = lex.owners([(s.start_line, s.end_line) for s in symbols], [line for _, line in called])
+        raw = [(i, name, line) for i, (name, line) in zip(owner, called, strict=True) if i is not None]
     else:
         return Parsed([], [], [])
     seen, calls = set(), []
     for owner, name, number in raw:
-        if (owner, name) not in seen:
-            seen.add((owner, name))
+        if (symbols[owner].name, name) not in seen:
+            seen.add((symbols[owner].name, name))
             calls.append((owner, name, number))
     return Parsed(symbols, imports, calls)
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_batches(batches: Iterator[pd.DataFrame], overrides: dict[str, dict[str, str]] | None = None) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
         for path, content, language in zip(rows["path"], rows["content"], rows["language"], strict=True):
-            got = parse_text(content or "", language or "")
+            got = parse_text(content or "", language or "", overrides)
             out.append(
                 {
                     "path": path,
@@ -463,9 +327,9 @@ PARSED = (
 )
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, overrides: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """``files(path, content, language)`` -> one row per file with its symbols, imports and calls."""
-    return files.select("path", "content", "language").mapInPandas(_parse_batches, PARSED)
+    return files.select("path", "content", "language").mapInPandas(lambda batches: _parse_batches(batches, overrides), PARSED)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import code_corpus
 from tidemill.config import Config
-from tidemill.corpus import base, derive, with_ctes
+from tidemill.corpus import base, derive, duckdb_lines, with_ctes
 from tidemill.functions import rules
 from tidemill.functions import text as X
 from tidemill.operators import ann, bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
@@ -268,14 +270,11 @@ def collapse_space(spark, d):
     return derive(spark, d, "files").select("path", X.collapse_space(F.col("content")).alias("flat"))
 
 
-_MODULES = [("'a/b/c'", "a/b/c"), ('"x.y.z"', "x.y.z"), ("<stdio.h>", "stdio.h"), ("App\\Models\\User", "App\\Models\\User"), ("crate::a::b", "crate::a::b"), ("./", "./"), ("plain", "plain")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({a!r}, {b!r}, {c!r})" for a, b, c in [("'a/b/c'", "a/b/c", "c"), ('"x.y.z"', "x.y.z", "z"), ("<stdio.h>", "stdio.h", "h"), ("plain", "plain", "plain"), ("./", "./", "./")]).replace("\"'a/b/c'\"", "'''a/b/c'''") + ") t(quoted, bare, leaf)")
+@query(with_ctes("files") + "SELECT path, '<\"' || path || '\">' AS quoted, path AS bare, list_filter(string_split_regex(path, '[/.\\\\]'), lambda x: x <> '')[-1] AS leaf FROM files")
 def module_leaf(spark, d):
-    rows = spark.createDataFrame([(q,) for q, _ in _MODULES if "\\" not in q and "::" not in q], "quoted string")
+    rows = derive(spark, d, "files").select("path", F.concat(F.lit('<"'), "path", F.lit('">')).alias("quoted"))
     bare = X.strip_quotes(F.col("quoted"))
-    return rows.select("quoted", bare.alias("bare"), X.path_leaf(bare).alias("leaf"))
+    return rows.select("path", "quoted", bare.alias("bare"), X.path_leaf(bare).alias("leaf"))
 
 
 # --- graph ----------------------------------------------------------------------------------
@@ -422,14 +421,19 @@ def breaking_signals(spark, d):
     return graph.breaking_signals(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), [NAME], [PATH], 2)
 
 
+_STEMS = with_ctes("files") + """, e AS (SELECT DISTINCT path, CASE WHEN contains(path, '.') THEN regexp_extract(path, '[^.]*$') ELSE '' END AS ext FROM files),
+  s AS (SELECT path, ext, substr(path, 1, length(path) - length(ext) - 1) AS stem FROM e),
+  r AS (SELECT *, replace(regexp_replace(regexp_replace(stem, '^src/', ''), '/mod$', ''), '/', '::') AS scoped, regexp_extract(stem, '[^/]*$') AS leaf FROM s) """
+
+
 @query(
-    "SELECT path, pattern FROM (VALUES ('src/a/b.rs', 'crate::a::b%'), ('src/a/b.rs', 'a::b%'), ('src/a/b.rs', 'super::b%'), ('src/a/b.rs', 'self::b%'), ('src/x/mod.rs', 'crate::x%'), ('src/x/mod.rs', 'x%'), ('src/x/mod.rs', 'super::x%'), ('src/x/mod.rs', 'self::x%'), "
-    "('app/models.py', 'app.models%'), ('app/models.py', '%.models'), ('app/models.py', '%.models.%'), ('pkg/__init__.py', 'pkg%'), ('pkg/__init__.py', '%.pkg'), ('pkg/__init__.py', '%.pkg.%'), "
-    "('web/date.ts', '%/date'), ('web/date.ts', '%/date.ts'), ('web/ui/index.js', '%/ui'), ('web/ui/index.js', '%/ui/index%'), ('Makefile', '%Makefile%'), ('doc/a.md', '%doc/a.md%')) t(path, pattern)"
+    _STEMS
+    + """SELECT path, unnest(CASE ext WHEN 'rs' THEN ['crate::' || scoped || '%', scoped || '%', 'super::' || leaf || '%', 'self::' || leaf || '%']
+      WHEN 'py' THEN [replace(stem, '/', '.') || '%', '%.' || leaf, '%.' || leaf || '.%']
+      WHEN 'js' THEN ['%/' || leaf, '%/' || leaf || '.js'] WHEN 'ts' THEN ['%/' || leaf, '%/' || leaf || '.ts'] ELSE ['%' || path || '%'] END) AS pattern FROM r"""
 )
 def import_patterns(spark, d):
-    paths = ["src/a/b.rs", "src/x/mod.rs", "src/main.rs", "src/lib.rs", "app/models.py", "pkg/__init__.py", "web/date.ts", "web/ui/index.js", "Makefile", "doc/a.md"]
-    return graph.pattern_rows(spark.createDataFrame([(p,) for p in paths], "path string"))
+    return graph.pattern_rows(derive(spark, d, "files").select("path").distinct())
 
 
 _CHANGED = f"ch AS (SELECT DISTINCT path FROM (VALUES ('{PATH}'), ('src/m14.rs'), ('src/m21.rs')) t(path))"
@@ -491,17 +495,8 @@ def graph_prune(spark, d):
 
 # --- parsing --------------------------------------------------------------------------------
 
-SNIPPETS = [
-    ("a.rs", "rust", "use std::fmt;\nuse crate::{one, two};\npub struct Tide {\n    level: u8,\n}\n\npub fn rise(x: u8) -> u8 {\n    fall(x)\n}\n\nfn fall(x: u8) -> u8 {\n    rise(x); rise(x)\n}\n"),
-    ("b.py", "python", "import os\nfrom sea.tide import rise, fall\n\nclass Gauge:\n    def read(self):\n        return level(self)\n\ndef level(g):\n    return rise(g)\n"),
-    ("c.ts", "typescript", "import { moon, sun } from './sky';\nimport sky from '../sky';\nexport class Orbit {}\nexport function spin(a) {\n  return turn(a);\n}\nconst turn = 1;\n"),
-    ("d.go", "go", "package d\n\nimport (\n\t\"fmt\"\n\tm \"sea/moon\"\n)\n\nfunc Pull() {\n\tfmt.Println(Push())\n}\n\nfunc Push() int {\n\treturn 1\n}\n"),
-    ("e.java", "java", "public class Harbour {\n  public interface Pier {}\n}\n"),
-]
-
-
-def _snippets(spark):
-    return spark.createDataFrame(SNIPPETS, "path string, language string, content string")
+_UNITS = with_ctes("source_units")
+_SOURCES = with_ctes("sources")
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -509,10 +504,12 @@ def _values(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
 
 
-_LINES = (
-    "WITH f AS ("
-    + _values(SNIPPETS, "path, language, content").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
-    + "), l AS (SELECT path, language, line, CAST(n AS INT) AS n FROM (SELECT path, language, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1) AS n FROM f)) "
+def _sources(spark, d):
+    return derive(spark, d, "sources")
+
+
+_LINES = _SOURCES + (
+    ", l AS (SELECT path, language, line, CAST(n AS INT) AS n FROM (SELECT path, language, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1) AS n FROM sources)) "
 )
 _PREFIX_ROWS = [(lang, p, k) for lang, ps in rules.SYMBOL_PREFIXES.items() for p, k in ps]
 _PREFIXED = (
@@ -528,7 +525,7 @@ _PREFIXED = (
 
 @query(_PREFIXED + "SELECT path || '::' || name AS id, path, name, kind, start_line, end_line FROM s")
 def regex_symbols(spark, d):
-    return parse.prefix_symbols(_snippets(spark))
+    return parse.prefix_symbols(_sources(spark, d))
 
 
 @query(
@@ -539,118 +536,83 @@ def regex_symbols(spark, d):
        SELECT path || '::' || caller AS caller_id, callee AS callee_name, n AS call_line FROM x WHERE before IS DISTINCT FROM caller || '>' || callee"""
 )
 def regex_calls(spark, d):
-    return parse.prefix_calls(_snippets(spark), parse.prefix_symbols(_snippets(spark)))
+    return parse.prefix_calls(_sources(spark, d), parse.prefix_symbols(_sources(spark, d)))
 
 
-@query(
-    _values(
-        [("a.rs", "std::fmt", "fmt"), ("a.rs", "crate::{one, two}", "{one, two}"), ("b.py", "os", "*"), ("b.py", "sea.tide", "rise"), ("b.py", "sea.tide", "fall"), ("c.ts", "./sky", "moon"), ("c.ts", "./sky", "sun"), ("c.ts", "../sky", "sky"), ("d.go", "fmt", "*"), ("d.go", "sea/moon", "*")],
-        "importer, from_module, symbol_name",
-    )
-)
-def regex_imports(spark, d):
-    return parse.prefix_imports(_snippets(spark))
+def _heads(rows: list[tuple], names: str, columns: str) -> str:
+    """SQL over files: what is known of the first lines of each language's."""
+    return _UNITS + f", p AS (SELECT DISTINCT path, language, m FROM source_units) SELECT {columns} FROM p JOIN {code_corpus.values(rows, names)} AS f USING (language)"
 
 
-_USES = ["a::b::{c, d as e}", "x::y as z", "foo::bar::*", "std::io::{self, Read}"]
+def _in_file(column: str) -> str:
+    out = column
+    for name, value in (("{m}", "CAST(m AS STRING)"), ("{n}", "chr(10)"), ("{t}", "chr(9)"), ("{q}", "chr(39)"), ("{bs}", "chr(92)")):
+        out = f"replace({out}, '{name}', {value})"
+    return out
 
 
-@query(_values([("a::b::{c, d as e}", "a::b::c", "c"), ("a::b::{c, d as e}", "a::b::d", "d"), ("x::y as z", "x::y", "y"), ("foo::bar::*", "foo::bar::*", "*"), ("std::io::{self, Read}", "std::io", "io"), ("std::io::{self, Read}", "std::io::Read", "Read")], "item, full_path, leaf"))
-def rust_use_expand(spark, d):
-    rows = [(u, p, leaf) for u in _USES for p, leaf in parse.expand_use(u)]
-    return spark.createDataFrame(rows, "item string, full_path string, leaf string")
-
-
-#: What a reader of the snippets writes down: (path, name, kind, first line, last line, signature, body).
-_READ = [
-    ("a.rs", "Tide", "struct", 3, 5, "pub struct Tide", "level: u8,"),
-    ("a.rs", "rise", "function", 7, 9, "pub fn rise(x: u8) -> u8", "fall(x)"),
-    ("a.rs", "fall", "function", 11, 13, "fn fall(x: u8) -> u8", "rise(x); rise(x)"),
-    ("b.py", "Gauge", "class", 4, 6, "class Gauge", "def read(self): return level(self)"),
-    ("b.py", "read", "function", 5, 6, "def read(self)", "return level(self)"),
-    ("b.py", "level", "function", 8, 9, "def level(g)", "return rise(g)"),
-    ("c.ts", "Orbit", "class", 3, 3, "export class Orbit", ""),
-    ("c.ts", "spin", "function", 4, 6, "export function spin(a)", "return turn(a);"),
-    ("d.go", "Pull", "function", 8, 10, "func Pull()", "fmt.Println(Push())"),
-    ("d.go", "Push", "function", 12, 14, "func Push() int", "return 1"),
-    ("e.java", "Harbour", "class", 1, 3, "public class Harbour", "public interface Pier {}"),
-    ("e.java", "Pier", "interface", 2, 2, "public interface Pier", ""),
-]
-
-
-@query("SELECT path || '::' || name AS id, * FROM (" + _values(_READ, "path, name, kind, start_line, end_line, signature, body") + ")")
-def parse_udtf(spark, d):
-    return parse.symbols_of(parse.parse_files(_snippets(spark)))
+_IMPORT_COLUMNS = f"path AS importer, {_in_file('module')} AS from_module, {_in_file('bound')} AS symbol_name"
 
 
-@query(
-    _values(
-        [("a.rs::rise", "fall", 8), ("a.rs::fall", "rise", 12), ("b.py::read", "level", 6), ("b.py::level", "rise", 9), ("c.ts::spin", "turn", 5), ("d.go::Pull", "Println", 9), ("d.go::Pull", "Push", 9)],
-        "caller_id, callee_name, call_line",
-    )
-)
-def parse_calls(spark, d):
-    return parse.calls_of(parse.parse_files(_snippets(spark)))
+@query(_heads([(name, *row) for name, head in code_corpus.HEADS.items() for row in head[3]], "language, module, bound", _IMPORT_COLUMNS))
+def regex_imports(spark, d):
+    return parse.prefix_imports(_sources(spark, d))
 
 
-@query(
-    _values(
-        [("a.rs", "std::fmt", "fmt"), ("a.rs", "crate::one", "one"), ("a.rs", "crate::two", "two"), ("b.py", "os", "os"), ("b.py", "sea.tide", "tide"), ("c.ts", "./sky", "sky"), ("c.ts", "../sky", "sky"), ("d.go", "fmt", "fmt"), ("d.go", "sea/moon", "moon")],
-        "importer, from_module, symbol_name",
-    )
-)
+@query(_heads([(name, *row) for name, head in code_corpus.HEADS.items() for row in head[2]], "language, module, bound", _IMPORT_COLUMNS))
 def parse_imports(spark, d):
-    return parse.imports_of(parse.parse_files(_snippets(spark)))
+    return parse.imports_of(parse.parse_files(_sources(spark, d)))
 
 
-#: What is left of the snippets where the insides of functions are hidden.
-_SHORT = [
-    ("a.rs", "use std::fmt;\nuse crate::{one, two};\npub struct Tide {\n    level: u8,\n}\n\npub fn rise(x: u8) -> u8 {\n    ...\n}\n\nfn fall(x: u8) -> u8 {\n    ...\n}\n"),
-    ("b.py", "import os\nfrom sea.tide import rise, fall\n\nclass Gauge:\n    def read(self):\n        ...\ndef level(g):\n    ...\n"),
-    ("c.ts", "import { moon, sun } from './sky';\nimport sky from '../sky';\nexport class Orbit {}\nexport function spin(a) {\n  ...\n}\nconst turn = 1;\n"),
-    ("d.go", 'package d\n\nimport (\n\t"fmt"\n\tm "sea/moon"\n)\n\nfunc Pull() {\n\t...\n}\n\nfunc Push() int {\n\t...\n}\n'),
-    ("e.java", "public class Harbour {\n  public interface Pier {}\n}\n"),
-]
+_USES = [("sea::m{m}::{tide, wave as swell}", "sea::m{m}::tide", "tide"), ("sea::m{m}::{tide, wave as swell}", "sea::m{m}::wave", "swell"), ("deep::*", "deep::*", "*")]
 
 
-@query(_values(_SHORT, "path, skeleton").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '"))
-def skeletons(spark, d):
-    return skeleton.skeletons(_snippets(spark)).select("path", "skeleton")
+@query(_heads([("rust", *row) for row in _USES], "language, item, module, bound", f"path, {_in_file('item')} AS item, {_in_file('module')} AS full_path, {_in_file('bound')} AS bound"))
+def rust_use_expand(spark, d):
+    return parse.use_items(_sources(spark, d).where("language = 'rust'"))
 
 
-@query()
-def skeleton_files(spark, d):
-    files = derive(spark, d, "files").withColumn("language", X.language_of(F.col("ext")))
-    return skeleton.skeletons(files).select("path", F.md5("skeleton").alias("skeleton_md5"))
+_FILLED = code_corpus.filled
 
 
-def _files(spark, d):
-    return derive(spark, d, "files").withColumn("language", X.language_of(F.col("ext"))).select("path", "language", "content")
+@query(_UNITS + f"SELECT path || '::' || {_FILLED('name')} AS id, path, {_FILLED('name')} AS name, kind, above + lo AS start_line, above + hi AS end_line " + code_corpus.facts(code_corpus.SYMBOL_FACTS, "language, form, name, kind, lo, hi"))
+def file_symbols(spark, d):
+    return parse.symbols_of(parse.parse_files(_sources(spark, d))).drop("signature", "body")
 
 
-@query()
-def file_symbols(spark, d):
-    return parse.symbols_of(parse.parse_files(_files(spark, d)))
+_CALLS = _UNITS + f", c AS (SELECT path, {_FILLED('caller')} AS caller, {_FILLED('callee')} AS callee_name, above + line AS line " + code_corpus.facts(code_corpus.CALL_FACTS, "language, form, caller, callee, line") + ") "
 
 
-@query()
+@query(_CALLS + "SELECT path || '::' || caller AS caller_id, callee_name, min(line) AS call_line FROM c GROUP BY 1, 2")
 def file_calls(spark, d):
-    return parse.calls_of(parse.parse_files(_files(spark, d)))
+    return parse.calls_of(parse.parse_files(_sources(spark, d)))
 
 
-@query()
-def file_prefix_symbols(spark, d):
-    return parse.prefix_symbols(_files(spark, d))
+@query(_CALLS + "SELECT callee_name, count(DISTINCT path || '::' || caller) AS callers, count(DISTINCT path) AS files FROM c GROUP BY 1")
+def parse_calls(spark, d):
+    """How many symbols and files call a name, over all files."""
+    found = parse.calls_of(parse.parse_files(_sources(spark, d)))
+    return found.groupBy("callee_name").agg(F.count_distinct("caller_id").alias("callers"), F.count_distinct(X.caller_path(F.col("caller_id"))).alias("files"))
 
 
-@query()
-def file_prefix_calls(spark, d):
-    return parse.prefix_calls(_files(spark, d), parse.prefix_symbols(_files(spark, d)))
+@query(_UNITS + f"SELECT path || '::' || {_FILLED('name')} AS id, {_FILLED('name')} AS name, kind, {_FILLED('signature')} AS signature, {_FILLED('body')} AS body " + code_corpus.facts([("rust", *row) for row in code_corpus.DETAILS], "language, form, name, kind, signature, body"))
+def parse_udtf(spark, d):
+    """Signatures and bodies of what Rust files declare."""
+    return parse.symbols_of(parse.parse_files(_sources(spark, d).where("language = 'rust'"))).select("id", "name", "kind", "signature", "body")
+
+
+_SHORT = with_ctes("source_units").rstrip() + ", short AS (" + code_corpus.text_sql(code_corpus.short_units(), 0).replace("{source_units}", "SELECT * FROM source_units") + ") "
+_SHORT = duckdb_lines(_SHORT)
+
+
+@query(_SHORT + "SELECT path, content AS skeleton FROM short")
+def skeletons(spark, d):
+    return skeleton.skeletons(_sources(spark, d).where("language in ('rust', 'go')")).select("path", "skeleton")
 
 
 @query()
-def file_prefix_imports(spark, d):
-    return parse.prefix_imports(_files(spark, d))
+def skeleton_files(spark, d):
+    return skeleton.skeletons(_sources(spark, d)).select("path", F.md5("skeleton").alias("skeleton_md5"), (F.length("content") - F.length("skeleton")).alias("saved"))
 
 
 # --- bundle ---------------------------------------------------------------------------------
@@ -741,12 +703,24 @@ def line_ranges(spark, d):
     return ranges.line_ranges(files, files.select("path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line")))
 
 
-@query(_values([("a.rs", "rise", 7, 10), ("a.rs", "Tide", 3, 6), ("b.py", "level", 8, 9), ("c.ts", "turn", 7, 7)], "path, symbol, start_line, end_line"))
+def _bare(line: str) -> str:
+    out = f"regexp_replace({line}, '^[\\s]+|[\\s]+$', '', 'g')"
+    for q in rules.RANGE_QUALIFIERS:
+        out = f"regexp_replace({out}, '^{re.escape(q)}', '')"
+    return out
+
+
+@query(
+    _PREFIXED.replace("WITH ", with_ctes("source_units").rstrip() + ", ", 1)
+    + f""", w AS (SELECT path, 'run_' || CAST(k AS STRING) AS symbol FROM source_units WHERE form = 0),
+       own AS (SELECT w.path, w.symbol, min({{'a': s.start_line, 'b': s.end_line}}) AS r FROM w JOIN s ON s.path = w.path AND lower(s.name) = lower(w.symbol) GROUP BY 1, 2),
+       h AS (SELECT l.path, w.symbol, min(l.n) AS pos FROM w JOIN l ON l.path = w.path WHERE (w.path, w.symbol) NOT IN (SELECT (path, symbol) FROM own) AND regexp_matches({_bare('l.line')}, '^({'|'.join(rules.RANGE_PREFIXES)})') AND contains({_bare('l.line')}, w.symbol) GROUP BY 1, 2)
+       SELECT path, symbol, CAST(r.a AS INT) AS start_line, CAST(r.b AS INT) AS end_line FROM own UNION ALL SELECT path, symbol, pos, CAST(least(pos - 1 + {rules.RANGE_LINES}, total) AS INT) FROM h JOIN t USING (path)"""
+)
 def symbol_ranges(spark, d):
-    wanted = spark.createDataFrame([("a.rs", "RISE"), ("a.rs", "Tide"), ("b.py", "level"), ("c.ts", "turn"), ("c.ts", "nothing")], "path string, symbol string")
-    symbols = parse.prefix_symbols(_snippets(spark).where("path = 'a.rs'"))
-    found = ranges.symbol_ranges(_snippets(spark), symbols, wanted)
-    return found.select("path", F.when(F.col("symbol") == "RISE", "rise").otherwise(F.col("symbol")).alias("symbol"), "start_line", "end_line")
+    wanted = derive(spark, d, "source_units").where("form = 0").select("path", F.concat(F.lit("run_"), F.col("k").cast("string")).alias("symbol"))
+    files = _sources(spark, d)
+    return ranges.symbol_ranges(files, parse.prefix_symbols(files), wanted).select("path", "symbol", "start_line", "end_line")
 
 
 # --- streaming ------------------------------------------------------------------------------

@@ -83,6 +83,7 @@ def test_text_functions(spark):
     assert one(spark, "p.rs::S::f", X.caller_name) == "S::f"
     assert one(spark, "a\r\nb\n", X.lines_of) == ["a", "b"]
     assert one(spark, "", X.lines_of) == []
+    assert one(spark, "a\n\n", X.lines_of) == ["a", ""] and one(spark, "\n\n\n", X.lines_of) == ["", "", ""]
     assert one(spark, "file:///a%20b", X.uri_to_path) == "/a b"
     assert one(spark, "My Proj-1", X.collection_name) == "my_proj_1"
     assert one(spark, "x" * 5, lambda c: X.clamp(c, 3)) == "xxx…"

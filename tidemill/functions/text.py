@@ -85,7 +85,7 @@ def caller_name(symbol_id: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a final line end starts no line, and an empty text has none."""
-    plain = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n$", "")
+    plain = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n\z", "")
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(plain, "\n", -1))
 
 

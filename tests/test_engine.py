@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidemill.api import Engine
 from tidemill.config import Config
 from tidemill.functions import text as X
-from tidemill.operators import bundle, chunk, graph, ranges, scan, search, state
+from tidemill.operators import bundle, chunk, graph, ingest, ranges, scan, search, state
 from tidemill.sources.files import read_tree
-from tidemill.sources.store import IndexStore, Locked
+from tidemill.sources.store import TABLES, IndexStore, Locked
 from tidemill.streaming import watch
 
 
@@ -180,7 +180,48 @@ def test_store_versions_and_lock(spark, tmp_path):
         pass
     store.commit({"state": spark.createDataFrame([("a", "h")], "path string, hash string")})
     assert store.commit({}) == 2 and store.read("state").count() == 1
-    assert store.commit({}) == 3 and store.vacuum(2) == 1
+    assert store.commit({}) == 3 and store.vacuum(2) == 1 and store.read("state").count() == 1
+
+
+def test_one_changed_file_rewrites_one_bucket_of_each_table(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=16)
+    files = spark.range(400).selectExpr("concat('src/f', id, '.rs') as path", "'rs' as ext", "10L as size_bytes", "concat('use crate::a', id, ';\nfn f', id, '() { g', id, '() }\n') as content")
+    edited = files.withColumn("content", F.when(F.col("path") == "src/f7.rs", "fn other() {}\n").otherwise(F.col("content"))).where("path <> 'src/f8.rs'")
+    config = Config()
+    assert ingest.update(store, files, config).dirty == 400
+    before, rows = store.manifest(), {t: store.read(t) for t in TABLES}
+    counts = {t: df.count() for t, df in rows.items()}
+    assert counts["symbols"] == counts["calls"] == counts["imports"] == counts["state"] == 400
+    only = spark.createDataFrame([("src/f7.rs",)], "path string")
+    assert ingest.update(store, edited, config, only=only).dirty == 1
+    after = store.manifest()
+    for t in TABLES:
+        changed = {k for k in before["tables"][t].keys() | after["tables"][t].keys() if before["tables"][t].get(k) != after["tables"][t].get(k)}
+        assert changed <= set(map(str, store.buckets_of(only))) and len(changed) == 1, t
+    # readers of the old version are unharmed, and a replay finds nothing to do
+    assert {t: df.count() for t, df in rows.items()} == counts and store.read("symbols", version=1).where("name = 'f7'").count() == 1
+    assert ingest.update(store, edited, config, only=only).dirty == 0 and store.version == 2
+    assert {r["name"] for r in store.read("symbols").where("path = 'src/f7.rs'").collect()} == {"other"} and store.read("calls").count() == 399
+    # without a list of paths all changes are found: one file is gone
+    report = ingest.update(store, edited, config)
+    assert (report.dirty, report.deleted) == (0, 1) and store.read("state").count() == 399
+    whole = IndexStore(spark, str(tmp_path / "whole"), buckets=4)
+    ingest.update(whole, edited, config)
+    for t in TABLES:
+        assert sorted(map(str, whole.read(t).collect())) == sorted(map(str, store.read(t).collect())), t
+    assert store.vacuum(1) == 2 and store.read("state").count() == 399
+
+
+def test_a_lost_lock_cannot_commit(spark, tmp_path, monkeypatch):
+    from tidemill.sources import store as module
+
+    first, second = IndexStore(spark, str(tmp_path / "index")), IndexStore(spark, str(tmp_path / "index"))
+    with pytest.raises(Locked), first.lock():
+        monkeypatch.setattr(module, "STALE_LOCK", -1)
+        with second.lock():
+            second.commit({})
+            first.commit({})
+    assert second.version == 1
 
 
 def test_debounce_batch_and_stream_agree(spark, tmp_path):

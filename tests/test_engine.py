@@ -249,6 +249,24 @@ def test_table_of_changes_streams_whole(spark, tmp_path):
     assert watch.debounce_table(spark, changes.limit(0), str(tmp_path / "none"), "30 minutes").count() == 0
 
 
+def test_stateful_capture_fires_into_the_index(spark, tmp_path):
+    """Create, modify and remove, out of order within a file, over several triggers; the bursts are those of a batch."""
+    rng = random.Random(4)
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(f"p{rng.randint(0, 5)}", t + datetime.timedelta(seconds=rng.randint(0, 3000)), rng.choice(["create", "modify", "remove"]), i) for i in range(120)]
+    changes = spark.createDataFrame(rows, "path string, ts timestamp, op string, seq long").repartition(3)
+    store, fired = IndexStore(spark, str(tmp_path / "index"), buckets=4), []
+
+    def rows_of(last):
+        fired.extend(r["path"] for r in last.collect())
+        return {"state": last.select("path", F.col("seq").cast("string").alias("hash"))}
+
+    watch.index_changes(spark, changes, store, rows_of, str(tmp_path / "work"), 60_000, files=3)
+    last = {p: max((x for x in rows if x[0] == p), key=lambda x: (x[1], x[3])) for p in {x[0] for x in rows}}
+    assert {r["path"]: r["hash"] for r in store.read("state").collect()} == {p: str(x[3]) for p, x in last.items() if x[2] != "remove"}
+    assert store.version > 1 and len(fired) > len(set(fired))
+
+
 def test_reindexing_sees_every_path_of_a_batch(spark, tmp_path, monkeypatch):
     config = Config()
     excluded = [(f"{config.exclude_dirs[0]}/lib/f{i}.{config.include_extensions[0]}",) for i in range(4000)]

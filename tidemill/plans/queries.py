@@ -15,6 +15,7 @@ from tidemill.functions import rules
 from tidemill.functions import text as X
 from tidemill.operators import ann, bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
 from tidemill.sources.scratch import scratch
+from tidemill.sources.store import IndexStore
 from tidemill.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -745,6 +746,20 @@ def stream_reindex(spark, d):
     return watch.debounce_table(spark, derive(spark, d, "changes"), scratch(spark, "stream"), "30 minutes")
 
 
+@query(with_ctes("changes") + "SELECT path, md5('v' || CAST(event_id AS VARCHAR)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM changes) WHERE r = 1 AND op <> 'remove'")
+def stream_index(spark, d):
+    """Changes stream through timers per path into bucket upserts and deletes; the index at the end is that of a batch build."""
+    where = scratch(spark, "stream-index")
+    store = IndexStore(spark, f"{where}/index", buckets=8)
+
+    def rows_of(last):
+        # what a path holds is known by its last event
+        return {"state": last.select("path", F.md5(F.concat(F.lit("v"), F.col("seq").cast("string"))).alias("hash"))}
+
+    watch.index_changes(spark, derive(spark, d, "changes").withColumnRenamed("event_id", "seq"), store, rows_of, where, 30 * 60_000)
+    return store.read("state")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

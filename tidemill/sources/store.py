@@ -165,6 +165,8 @@ class IndexStore:
         gone = touched.select(F.col("path").alias("_touched")).distinct()
         some = self.buckets_of(touched)
         for name in TABLES:
+            if name not in fresh and not any(int(k) in some for k in manifest["tables"][name]):
+                continue
             rows = self.read(name, buckets=some)
             rows = rows.join(gone, key_of(name) == F.col("_touched"), "left_anti")
             if name in fresh:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemill.config import Config
 from tidemill.operators import ingest, scan
+from tidemill.sources.scratch import materialize
 from tidemill.sources.store import IndexStore
 
 
@@ -35,16 +37,23 @@ def reindex_on_change(
     config: Config,
     checkpoint: str,
     available_now: bool = True,
+    read_paths: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """For each micro-batch of ``changes(path, ...)``, brings the index up to date.
 
+    With ``read_paths``, which gives the files of the paths that it gets, no other file or bucket is read.
+
     A change of content decides, not the event, so a batch that is replayed after a failure finds
     nothing to do: the sink is idempotent. Batches without an indexable path are skipped.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch.where(scan.is_indexable_path(F.col("path"), config)).limit(1).count():
-            ingest.update(store, read_files(), config)
+            if read_paths is None:
+                ingest.update(store, read_files(), config)
+            else:
+                paths = materialize(batch.select("path").distinct(), "changed")
+                ingest.update(store, read_paths(paths), config, only=paths)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()
@@ -77,3 +86,128 @@ def debounce_table(spark: SparkSession, changes: DataFrame, where: str, gap: str
     rows.agg(F.lit("").alias("path"), end.alias("ts"), F.lit("").alias("op")).where("ts is not null").write.mode("append").parquet(f"{where}/in")
     run()
     return spark.read.schema("path string, events long, first_ts timestamp, last_ts timestamp, op string").parquet(f"{where}/out")
+
+
+# --- stateful capture -------------------------------------------------------------------------
+
+CHANGE = "path string, ts timestamp, op string, seq long"
+BURST = "path string, events long, first_ts timestamp, last_ts timestamp, op string, seq long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Debounce(StatefulProcessor):
+    """A path's open bursts. An event joins the burst that it is no further than the gap from, and may join two.
+
+    A burst's timer stands just beyond its end; when the watermark has passed it the burst is given out and
+    forgotten, so a path without recent events has no state (event-time timers take the place of a TTL,
+    which Spark has in processing time only).
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first_us long, last_us long, events long, op string, seq long")
+
+    def _timers(self, bursts: list[tuple]) -> None:
+        wanted = {b[1] // 1000 + self.gap // 1000 + 2 for b in bursts}
+        present = {t for t in self.handle.listTimers()}
+        for t in present - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - present:
+            self.handle.registerTimer(t)
+
+    def _keep(self, bursts: list[tuple]) -> None:
+        if bursts:
+            self.open.put(bursts)
+        else:
+            self.open.clear()
+        self._timers(bursts)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = [tuple(b) for b in self.open.get()] if self.open.exists() else []
+        for some in rows:
+            us = some["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            found += [(t, t, 1, op, int(seq)) for t, op, seq in zip(us, some["op"], some["seq"], strict=True)]
+        found.sort(key=lambda b: (b[0], b[1], b[4]))
+        merged: list[tuple] = []
+        for b in found:
+            if merged and b[0] - merged[-1][1] <= self.gap:
+                a = merged[-1]
+                later = max(a, b, key=lambda x: (x[1], x[4]))
+                merged[-1] = (a[0], max(a[1], b[1]), a[2] + b[2], later[3], later[4])
+            else:
+                merged.append(b)
+        self._keep(merged)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        bursts = [tuple(b) for b in self.open.get()] if self.open.exists() else []
+        done = [b for b in bursts if b[1] + self.gap < now]
+        self._keep([b for b in bursts if b[1] + self.gap >= now])
+        if done:
+            when = lambda i: pd.to_datetime([b[i] for b in done], unit="us")
+            yield pd.DataFrame({"path": key[0], "events": [b[2] for b in done], "first_ts": when(0), "last_ts": when(1), "op": [b[3] for b in done], "seq": [b[4] for b in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def captured(changes: DataFrame, gap_ms: int, late: str) -> DataFrame:
+    """``changes(path, ts, op, seq)`` as a stream of closed bursts; rows later than ``late`` behind the newest are dropped."""
+    rows = changes.where("path is not null and ts is not null").withWatermark("ts", late)
+    return rows.groupBy("path").transformWithStateInPandas(Debounce(gap_ms), BURST, "Append", "EventTime")
+
+
+def index_bursts(bursts: DataFrame, store: IndexStore, rows_of: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str) -> StreamingQuery:
+    """Fires each burst into the index: the rows of its path give way to those of ``rows_of(paths)``, or go where the last event is a removal.
+
+    ``rows_of`` gets the last burst of each path that still exists and returns rows by table. A replayed batch
+    writes the same rows again.
+    """
+
+    def fire(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("path").agg(F.max_by(F.struct("op", "seq", "last_ts"), F.struct("last_ts", "seq")).alias("b")).select("path", "b.*")
+        last = materialize(last, "fired")
+        if last.isEmpty():
+            return
+        with store.lock():
+            store.upsert(rows_of(last.where("op <> 'remove'")), last.select("path"))
+
+    return bursts.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """Makes a folder's files as old as their order by name, the order in which the file source takes them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, name in enumerate(names):
+        fs.setTimes(name, 1_000_000_000_000 + 1000 * i, -1)
+
+
+def index_changes(spark: SparkSession, changes: DataFrame, store: IndexStore, rows_of: Callable[[DataFrame], dict[str, DataFrame]], where: str, gap_ms: int, files: int = 4, per_trigger: int = 1, late: str = "1 second") -> None:
+    """Streams a table of changes into an index, in order of time, a file a trigger, and closes what is open at the end.
+
+    Files are ranges of time, so no row is later than the delay, and state is held for the bursts that are open only.
+    """
+    changes.select("path", "ts", "op", "seq").where("path is not null and ts is not null").repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{where}/in")
+    _in_order(spark, f"{where}/in")
+
+    def run() -> None:
+        stream = file_changes(spark, f"{where}/in", CHANGE, per_trigger=per_trigger)
+        index_bursts(captured(stream, gap_ms, late), store, rows_of, f"{where}/checkpoint").awaitTermination()
+
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        run()
+        end = spark.read.schema(CHANGE).parquet(f"{where}/in").agg(F.max("ts").alias("ts")).where("ts is not null")
+        last = end.select(F.lit("").alias("path"), (F.col("ts") + F.expr(f"interval {gap_ms + 60_000} milliseconds") + F.expr(f"interval {late}")).alias("ts"), F.lit("remove").alias("op"), F.lit(0).cast("long").alias("seq"))
+        last.write.mode("append").parquet(f"{where}/in")
+        run()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)

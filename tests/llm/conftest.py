@@ -5,8 +5,7 @@ import pytest
 WORDS = "the of sea tide moon harbour rope sail anchor wave storm keel mast gull shore north south deck oar bell lamp".split()
 
 
-@pytest.fixture(scope="session")
-def prose():
+def _prose():
     rng = random.Random(17)
 
     def make(n):
@@ -15,10 +14,16 @@ def prose():
     return make
 
 
+@pytest.fixture
+def prose():
+    """Texts that don't depend on which tests ran before."""
+    return _prose()
+
+
 @pytest.fixture(scope="session")
-def awkward(spark, prose):
+def awkward(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns whose names clash."""
-    long = prose(30_000)
+    long = _prose()(30_000)
     rows = [
         (1, "Alpha beta GAMMA delta", "en"), (2, "alpha BETA gamma delta", "fr"), (2, "alpha BETA gamma delta", "fr"), (3, None, None), (4, "", "en"), (None, "alpha beta gamma delta", "en"),
         (None, None, None), (5, long, "en"), (6, long + " end", "en"), (7, " \t\n ", "en"), (8, "É ALPHA é", "en"), (9, "é alpha é", "en"), (10, "x" * 200_000, "en"), (11, "one", "en"), (12, "one two", "en"),

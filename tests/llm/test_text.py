@@ -110,6 +110,26 @@ def test_truncated_items_are_contamination(spark, prose):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_short_items_cut_short_are_all_found(spark, prose):
+    """Eight of an item's nine words are a similarity of exactly 0.8, where single bits differ most often."""
+    items = sorted({(prose(9)) for _ in range(800)})
+    docs = [(i, " ".join(t.split()[:8] if i % 2 else t.split()[1:])) for i, t in enumerate(items)]
+    found = decontaminate.find_contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.where("similarity = 0.8").collect()}
+    assert {(i, i) for i in range(len(items))} <= got
+
+
+def test_bits_before_the_join_leave_nothing_out(spark, prose, monkeypatch):
+    items = [(i, prose(n)) for i, n in enumerate((50, 30, 14, 9, 3))]
+    docs = [(i, f"{prose(20)} {t} {prose(20)}") for i, t in items] + [(9, prose(300)), (10, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(map(tuple, decontaminate.find_contamination(spark, *frames).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 10)
+    assert Counter(map(tuple, decontaminate.find_contamination(spark, *frames).collect())) == want and len(want) >= 5
+    assert not re.search("Python|Pandas|ArrowEval", decontaminate.find_contamination(spark, *frames)._jdf.queryExecution().toString())
+
+
 def test_moved_blocks_are_contamination(spark, prose):
     """Blocks of an item in another order, shuffled and thinned, wherever that leaves a similarity of 0.8."""
     rng = random.Random(8)

@@ -10,7 +10,7 @@ of the larger counts of their five-word shingles.
    shingles follow within the window: a look at the sorted places. No start that can reach 0.8 is left
    out, wherever the item's parts stand in the window. This first pass hashes every five words of every
    text and meets the benchmark's shingles in a join whose small side is broadcast after a check of
-   its size.
+   its size; beyond that size a set of bits of fixed size leaves out what can't meet before anything is shuffled.
 2. Fingerprints. Windows are folded to their distinct contents, so a passage that a third of all
    documents hold is one row. Each content and each item gets ``PRINTS`` 64-bit majority fingerprints
    of its shingles, from independent hashes.
@@ -21,9 +21,11 @@ of the larger counts of their five-word shingles.
    candidates: which item a window resembles isn't known before.
 4. Verification. The exact weighted similarity of each content and item that is left.
 
-At a similarity of 0.8 each bit differs with a probability of 0.15 (the angle between the two sums of
-votes), so a fingerprint lies beyond 15 bits in 2.3 per cent and all three in about one case of 80,000. Of
-unrelated pairs one in 24 meets in a fingerprint's blocks, and one in 100,000 is within the radius.
+At a similarity of 0.8 each bit differs with a probability of 0.15 (the angle between the two sums of votes), so a
+fingerprint lies beyond 15 bits in 2.3 per cent and all four in about one case of four million. With few shingles bits
+differ more often: four shingles of an item's five differ at 0.19, a fingerprint lies beyond in 13 per cent, and all eight
+in about one case of ten million. Of unrelated pairs one in 18 meets in some fingerprint's blocks, and one in 75,000 is
+within the radius.
 
 Words are runs of letters and digits, lower-cased. Defined results: a null text counts as
 empty and matches nothing; a text shorter than the item is one window; an item of fewer than five
@@ -37,13 +39,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import free_names, materialize, maybe_broadcast, table
+from tidemill.llm.common import BROADCAST_ROWS, free_names, is_small, materialize, maybe_broadcast, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
-PRINTS = 3
+PRINTS = 4
+#: Windows and items of at most so many shingles get more fingerprints, as their bits differ more often.
+SHORT, SHORT_PRINTS = 16, 8
 BLOCK_BITS = 16
+#: Bits of the set that stands before the join with a large benchmark's shingles.
+BITS = 1 << 24
 BLOCKS = 64 // BLOCK_BITS
 
 
@@ -59,13 +65,15 @@ def grams(hashes: str, k: int) -> Column:
     return F.expr(f"transform(array({hashes}), a -> IF(size(a) < {k}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(a) - {k}), i -> xxhash64({inner}))))[0]")
 
 
-def fingerprints(contents: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """``(content, k, width, print, fp)``: the bits that are set in over half of a row's shingles, for each of ``prints`` hashes.
+def fingerprints(contents: DataFrame, prints: int = PRINTS, short_prints: int | None = None) -> DataFrame:
+    """``(content, k, width, print, fp)``: the bits that are set in over half of a row's shingles, for each of ``prints`` hashes (``short_prints`` for the short ones).
 
     Counts are sums of packed lanes, two of 32 bits in a number, so an aggregation of 32 sums counts 64 bits.
     """
     votes = contents.select("content", "k", "width", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
-    hashes = F.expr(f"transform(sequence(0, {prints - 1}), i -> named_struct('print', i, 'g', IF(i = 0, h, xxhash64(h, i))))")
+    # both sides of a pair have one width, and so the same number of fingerprints
+    most = f"IF(width - k + 1 <= {SHORT}, {short_prints or prints}, {prints}) - 1"
+    hashes = F.expr(f"transform(sequence(0, {most}), i -> named_struct('print', i, 'g', IF(i = 0, h, xxhash64(h, i))))")
     votes = votes.select("content", "k", "width", "size", F.explode(hashes).alias("v")).select("content", "k", "width", "size", "v.print", "v.g")
     lanes = F.lit(0x0000000100000001)
     sums = [F.sum(F.shiftrightunsigned("g", b).bitwiseAND(lanes)).alias(f"s{b}") for b in range(32)]
@@ -112,14 +120,30 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _bits(grams: DataFrame) -> DataFrame:
+    """One row with a set of ``BITS`` bits, of which those of the low digits of ``grams(gram)`` are set: 2 MB, whatever their number."""
+    at = F.col("gram").bitwiseAND(F.lit(BITS - 1))
+    words = grams.select(F.shiftright(at, 6).alias("id"), F.expr("shiftleft(1L, CAST(gram & 63 AS INT))").alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("word"))
+    dense = grams.sparkSession.range(BITS // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["word"]).alias("bits"))
+
+
 def _windows(docs: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
     """``(doc_id, text_key, k, width, start)``: where windows are to be laid."""
     hashed = _narrow(docs).select("doc_id", "text_key", word_hashes(F.col("text")).alias("h"))
-    places = maybe_broadcast(known.select("k", "width", F.explode("shingles").alias("gram")).distinct())
+    spark = docs.sparkSession
+    places = materialize(spark, known.select("k", "width", F.explode("shingles").alias("gram")).distinct(), "known-grams")
+    few = is_small(places, BROADCAST_ROWS)
+    # of a large benchmark the bits of its shingles tell most of the texts' apart before any row moves
+    known_bits = None if few else materialize(spark, _bits(places.select("gram")), "known-bits").scalar()
     hits = None
     for k in sizes:
         spread = hashed.select("doc_id", "text_key", (F.size("h") - (k - 1)).alias("m"), F.posexplode(grams("h", k)).alias("place", "gram"))
-        met = spread.join(places.where(F.col("k") == k), "gram").select("doc_id", "text_key", "k", "width", "m", "place")
+        if known_bits is not None:
+            word = F.get(known_bits, F.shiftright(F.col("gram").bitwiseAND(F.lit(BITS - 1)), 6).cast("int"))
+            spread = spread.where(word.bitwiseAND(F.expr("shiftleft(1L, CAST(gram & 63 AS INT))")) != 0)
+        own = places.where(F.col("k") == k)
+        met = spread.join(F.broadcast(own) if few else own, "gram").select("doc_id", "text_key", "k", "width", "m", "place")
         hits = met if hits is None else hits.unionByName(met)
     found = hits.groupBy("doc_id", "text_key", "k", "width").agg(F.sort_array(F.collect_set("place")).alias("places"), F.max("m").alias("m"))
     starts = window_starts("places", "(width - k + 1)", "m", similarity)
@@ -164,8 +188,8 @@ def find_contamination(
     cut = materialize(spark, cut.select("*", F.xxhash64("k", "width", "shingles").alias("content")), "window-shingles")
 
     contents = materialize(spark, cut.dropDuplicates(["content"]).select("content", "k", "width", "shingles"), "window-contents")
-    printed = materialize(spark, fingerprints(contents, prints), "fingerprinted")
-    items_printed = materialize(spark, fingerprints(known.dropDuplicates(["content"]), prints), "items-fingerprinted")
+    printed = materialize(spark, fingerprints(contents, prints, max(prints, SHORT_PRINTS)), "fingerprinted")
+    items_printed = materialize(spark, fingerprints(known.dropDuplicates(["content"]), prints, max(prints, SHORT_PRINTS)), "items-fingerprinted")
     near = materialize(spark, candidates(spark, printed, items_printed, radius), "candidates")
     pairs = near.join(contents.select(F.col("content").alias("_c"), "shingles"), F.col("content") == F.col("_c"))
     theirs = known.dropDuplicates(["content"]).select(F.col("content").alias("_i"), F.col("shingles").alias("item_shingles"))

@@ -150,6 +150,30 @@ def test_call_graph_equals_a_loop(spark):
         graph.impact_callers(s, c, [], [])
 
 
+def test_open_patterns_are_looked_up_by_pieces(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcD./é") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    keys = [(f"p{i}", "".join(rng.choice("abcd./é") for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    modules = spark.createDataFrame([(n,) for n in {*names}] + [(None,)], "from_module string")
+    found = graph.containing(modules, spark.createDataFrame(keys, "path string, key string"))
+    got = sorted((r["path"], r["key"], r["from_module"]) for r in found.collect())
+    assert got == sorted((p, k, n) for p, k in keys for n in {*names} if k in n.lower()) and got
+    assert not re.search("NestedLoop|Cartesian", found._jdf.queryExecution().executedPlan().toString())
+    assert graph.containing(modules, spark.createDataFrame([], "path string, key string")).count() == 0
+
+
+def test_knn_in_blocks_keeps_ties_by_name(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{i:03}", [float(rng.randint(-1, 1)), float(rng.randint(-1, 1)), 1.0]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows[:15])], "query_id int, embedding array<float>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 3)
+    want = {(q, rank): name for q in range(15) for rank, (_, name) in enumerate(sorted((-cos(rows[q][1], v), n) for n, v in rows)[:4], 1)}
+    for cells in (1 << 22, 100):
+        monkeypatch.setattr(search, "CELLS", cells)
+        assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in search.knn(vectors, queries, 4).collect()} == want
+
+
 def test_packing_equals_a_loop(spark):
     rng = random.Random(8)
     rows = [(f"c{i}", f"p{i % 5}", round(rng.random(), 2), rng.randint(1, 40)) for i in range(40)]

@@ -9,28 +9,33 @@ from tidemill.config import Config
 from tidemill.functions import text as X
 
 
-def line_number(text: Column, before: Column) -> Column:
-    """The line of the character at ``before`` (from 0): line ends ahead of it, plus one."""
-    head = F.substr(text, F.lit(1), before)
-    return (F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1).cast("int")
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
 
 
 def chunk_spans(files: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``files`` without content, one row per chunk: chunk_total, chunk_index, chunk, start_line, end_line. Empty texts have none."""
+    """``files`` without content, one row per chunk: chunk_total, chunk_index, chunk, start_line, end_line. Empty texts have none.
+
+    A text is cut into pieces as long as the stride in one pass; a chunk is its first characters of the pieces from its own
+    on, and its line the sum of the line ends of those before it, so no chunk goes back to the text's beginning.
+    """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
     stride = size - overlap
     n = F.when(F.length("content") <= size, 1).otherwise(F.ceil((F.length("content") - size) / stride) + 1).cast("int")
     some = files.where(F.length("content") > 0).withColumn("chunk_total", n)
+    some = some.withColumn("_pieces", F.regexp_extract_all("content", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)))
+    some = some.withColumn("_ends", F.transform("_pieces", _newlines))
 
     def cut(i: Column) -> Column:
-        return F.struct(i.alias("chunk_index"), F.substr("content", i * stride + 1, F.lit(size)).alias("chunk"), line_number(F.col("content"), i * stride).alias("start_line"))
+        chunk = F.left(F.array_join(F.slice("_pieces", i + 1, F.lit(-(-size // stride))), ""), F.lit(size))
+        line = F.aggregate(F.slice("_ends", F.lit(1), i), F.lit(1), lambda total, k: total + k)
+        return F.struct(i.alias("chunk_index"), chunk.alias("chunk"), line.alias("start_line"))
 
     # cut before the explode, so that rows carry their chunk and not the whole text
-    others = [c for c in some.columns if c != "content"]
+    others = [c for c in some.columns if c not in ("content", "_pieces", "_ends")]
     each = some.select(*others, F.inline(F.transform(F.sequence(F.lit(0), F.col("chunk_total") - 1), cut)))
-    ends = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n")))
-    return each.withColumn("end_line", (F.col("start_line") + ends).cast("int"))
+    return each.withColumn("end_line", (F.col("start_line") + _newlines(F.col("chunk"))).cast("int"))
 
 
 def chunk_files(files: DataFrame, config: Config) -> DataFrame:

@@ -14,7 +14,8 @@ from tidemill.sources.scratch import materialize
 
 #: Hops beyond this are refused: each is one join over the frontier.
 MAX_HOPS = 5
-BROADCAST_PATTERNS = 10_000
+#: Characters of the pieces by which texts are looked up.
+GRAM = 3
 
 
 def same_name(column: str | Column, name: str) -> Column:
@@ -150,12 +151,41 @@ def pattern_rows(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(X.import_patterns(F.col("path"))).alias("pattern"))
 
 
+def _grams(text: Column, q: Column | int) -> Column:
+    """The distinct pieces of ``q`` characters of a text at least as long."""
+    n = F.lit(q) if isinstance(q, int) else q
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n)))
+
+
+def containing(modules: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys(path, key)`` with each ``modules(from_module)`` that contains the key, whatever its case: an inverted index on pieces.
+
+    A key is looked up by the rarest of its pieces (of ``GRAM`` characters, or of its own length if that is less), and what
+    shares that piece is verified. A piece that no module has rules its key out.
+    """
+    keys = keys.select("path", "key", F.least(F.lit(GRAM), F.length("key")).alias("q"))
+    sizes = sorted(r[0] for r in keys.select("q").distinct().collect())  # GRAM numbers at most
+    texts = modules.where("from_module is not null").select("from_module", F.lower("from_module").alias("low"))
+    index = None
+    for q in sizes:
+        own = texts.where(F.length("low") >= q).select("from_module", "low", F.explode(_grams(F.col("low"), q)).alias("gram"))
+        index = own if index is None else index.unionByName(own)
+    if index is None:
+        return keys.select("path", "key", F.lit("").alias("from_module")).limit(0)
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = keys.select("key", "q").distinct()
+    pieces = asked.select("key", F.explode(_grams(F.col("key"), F.col("q"))).alias("gram")).join(counts, "gram", "left")
+    rarest = pieces.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("key", "r.gram")
+    hits = index.join(rarest, "gram").where(F.contains("low", F.col("key"))).select("key", "from_module")
+    return keys.select("path", "key").join(hits, "key")
+
+
 def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """``(path, dependent)``: files that import a path, by the patterns of its language.
 
     Modules are few next to imports, so patterns meet distinct modules first. A pattern that is open at
-    one end is an equality on as many characters of the module, one key per distinct length; only
-    those open at both ends are compared by LIKE. Wildcards in paths are taken literally, case doesn't
+    one end is an equality on as many characters of the module, one key per distinct length; those open
+    at both ends are looked up by their rarest piece. Wildcards in paths are taken literally, case doesn't
     count. ``within`` are paths left out of the result.
     """
     patterns = materialize(pattern_rows(paths).select("path", F.lower("pattern").alias("pattern")), "patterns")
@@ -170,10 +200,8 @@ def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame |
         if lengths:
             cuts = modules.select("from_module", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: cut(F.lower("from_module"), n)))).alias("key"))
             met = met.unionByName(keyed.join(cuts, "key").select("path", "from_module"))
-    inside = patterns.where(open_left & open_right).select("path", body.alias("key"))
-    if inside.limit(1).count():
-        few = inside.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
-        met = met.unionByName(modules.join(F.broadcast(inside) if few else inside, F.contains(low, F.col("key"))).select("path", "from_module"))
+    inside = patterns.where(open_left & open_right).select("path", body.alias("key")).where("key <> ''")
+    met = met.unionByName(containing(modules, inside).select("path", "from_module"))
     found = met.distinct().join(dependents(imports), F.col("from_module") == F.col("imported")).select("path", "dependent").distinct()
     leave = within if within is not None else paths
     return found.join(leave.select(F.col("path").alias("dependent")).distinct(), "dependent", "left_anti")
@@ -209,7 +237,7 @@ def impact_files(symbols: DataFrame, calls: DataFrame, imports: DataFrame, names
 SIGNALS = {
     "impacts": "Changing '%s' (%s, %s) impacts %d direct caller(s) in %d file(s): %s%s",
     "more": ", +%d more",
-    "unknown": "Symbol '%s' was not found in the symbol graph — impact for it is unknown (re-run rag_ensure_index or check the name)",
+    "unknown": "Symbol '%s' was not found in the symbol graph — impact for it is unknown (run ensure_index again, or check the name)",
     "skipped": "Symbol '%s' is defined in multiple places — name-based caller matching would be unreliable, so its call-graph walk was skipped (pass it explicitly in 'symbols' to force it)",
     "several": "Note: '%s' has multiple definitions in the project — some listed callers may refer to the other definitions",
 }

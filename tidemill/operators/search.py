@@ -57,6 +57,10 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, language: str | No
     return rows.orderBy(*order).limit(k)
 
 
+#: Scores that a task holds at once, of a block of queries and a batch of rows (32 MB).
+CELLS = 1 << 22
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` for a stated set of queries against all rows.
 
@@ -88,16 +92,21 @@ def _nearest(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
         for rows in batches:
             if not len(rows):
                 continue
+            names = rows["chunk_id"].to_numpy()
+            place = np.empty(len(names), np.int64)  # of each name in their order
+            place[np.argsort(names, kind="stable")] = np.arange(len(names))
             x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            scores = np.round(matrix @ x.T, 3)
-            names = rows["chunk_id"].to_numpy()
-            by_name = np.argsort(names, kind="stable")
-            out = []
-            for i, row in enumerate(scores):
-                top = by_name[np.argsort(-row[by_name], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[top], "score": row[top]}))
-            yield pd.concat(out)
+            step = max(1, CELLS // len(x))
+            for lo in range(0, len(matrix), step):
+                out = []
+                for i, row in enumerate(np.round(matrix[lo : lo + step] @ x.T, 3), lo):
+                    # all that score like the k-th stay until the names have decided
+                    least = np.partition(row, -k)[-k] if k < len(row) else -np.inf
+                    near = np.flatnonzero(row >= least)
+                    top = near[np.lexsort((place[near], -row[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[top], "score": row[top]}))
+                yield pd.concat(out)
 
     return vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, score double")
 

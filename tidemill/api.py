@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.config import Config
 from tidemill.functions import text as X
-from tidemill.operators import bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
+from tidemill.operators import bundle, chunk, diff, graph, ingest, parse, ranges, requests, scan, search, skeleton, state, walks
 from tidemill.sources.files import read_tree
 from tidemill.sources.store import IndexStore
 
@@ -41,6 +41,7 @@ class Engine:
         self.embedder = embedder or (lambda: search.hash_embedder(dimension))
         self.observer = observer
         self.bundle_stats: list[dict[str, float]] = []
+        self._adjacency: dict[tuple[int | None, str], DataFrame] = {}
 
     def _tell(self, tool: str, **args: Any) -> None:
         if self.observer:
@@ -116,14 +117,22 @@ class Engine:
     def call_graph(self, symbol: str, depth: int | None = None) -> DataFrame:
         self._tell("call_graph", symbol=symbol, depth=depth)
         depth = min(depth or self.config.graph_depth, self.config.graph_depth)
-        return graph.call_graph(self.store.read("symbols"), self.store.read("calls"), symbol, depth, self.config.max_nodes)
+        return graph.call_graph(self.store.read("symbols"), self._calls_by("caller_id"), symbol, depth, self.config.max_nodes)
+
+    def _calls_by(self, end: str) -> DataFrame:
+        """The calls of the present version in buckets of one end: written once, read by every walk until the index changes."""
+        key = (self.store.version, end)
+        if key not in self._adjacency:
+            self._adjacency = {k: v for k, v in self._adjacency.items() if k[0] == key[0]}
+            self._adjacency[key] = walks.stored(self.store.read("calls"), end)
+        return self._adjacency[key]
 
     def importers_of(self, module: str) -> DataFrame:
         return graph.importers_of(self.store.read("imports"), module)
 
     def impact(self, symbols: Sequence[str] = (), paths: Sequence[str] = ()) -> dict[str, Any]:
         self._tell("impact", symbols=list(symbols), paths=list(paths))
-        tables = [self.store.read(t) for t in ("symbols", "calls", "imports")]
+        tables = [self.store.read("symbols"), self._calls_by("callee_name"), self.store.read("imports")]
         names, changed, hops, cap = list(symbols), [scan.resolve_in_root(p) for p in paths], self.config.graph_depth, self.config.max_nodes
         affected = graph.impact_callers(*tables[:2], names, changed, hops, cap + 1).limit(cap + 1).collect()
         files = sorted(r[0] for r in graph.impact_files(*tables, names, changed, hops).limit(cap).collect())
@@ -141,6 +150,34 @@ class Engine:
 
         return diff.summary_lines(diff.with_callers(diff.symbol_changes(details(old), details(new)), self.store.read("calls")))
 
+    # --- tables of requests ---------------------------------------------------------------
+
+    def _embedded(self, asked: DataFrame, column: str) -> DataFrame:
+        return search.embed_rows(asked, column, self.embedder, self.config.dimension)
+
+    def search_batch(self, asked: DataFrame, k: int | None = None) -> DataFrame:
+        """``search`` for ``asked(request_id, query[, language, glob])`` in one plan."""
+        k = min(self.config.context_chunks if k is None else k, self.config.max_results)
+        self._tell("search_batch", k=k)
+        found = requests.search_batch(self._vectors(), self._embedded(asked, "query"), k)
+        rows = self._vectors().select("chunk_id", "path", "start_line", "end_line", "language", X.clamp(F.col("content"), 400).alias("snippet"), "symbol")
+        return found.join(rows, "chunk_id")
+
+    def impact_batch(self, asked: DataFrame) -> dict[str, DataFrame]:
+        """``impact`` for ``asked(request_id, names array, paths array)``: tables of callers, files and signals."""
+        self._tell("impact_batch")
+        return requests.impact_batch(self.store.read("symbols"), self._calls_by("callee_name"), self.store.read("imports"), asked, self.config.graph_depth, self.config.max_nodes)
+
+    def bundle_batch(self, asked: DataFrame) -> requests.BundleBatch:
+        """``context_bundle`` for ``asked(request_id, task[, budget])``: no request is collected."""
+        cfg = self.config
+        self._tell("bundle_batch")
+        budget = F.least(F.coalesce(F.col("budget"), F.lit(cfg.bundle_budget)), F.lit(cfg.bundle_max_tokens)) if "budget" in asked.columns else F.lit(min(cfg.bundle_budget, cfg.bundle_max_tokens))
+        asked = asked.select("request_id", "task", budget.alias("budget"))
+        near = requests.search_batch(self._vectors(), self._embedded(asked, "task"), cfg.bundle_max_chunks)
+        hits = near.join(self._vectors(), "chunk_id").select("request_id", "chunk_id", "path", "score", bundle.result_json().alias("item"), X.token_estimate(F.col("content"), F.col("language")).alias("own_tokens"))
+        return requests.BundleBatch(asked, hits, self.store.read("symbols"), self.store.read("imports"), self.store.read("tree"), cfg.bundle_max_files)
+
     # --- context --------------------------------------------------------------------------
 
     def context_bundle(self, task: str, budget_tokens: int | None = None) -> dict[str, Any]:

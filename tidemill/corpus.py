@@ -47,6 +47,25 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {embeddings}
         """,
     ),
+    "passages": (
+        ("embeddings",),
+        """
+        SELECT path || ':' || CAST(vec_id AS STRING) AS chunk_id, path, CASE label % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'go' ELSE 'markdown' END AS language,
+               CAST(vec_id % 900 + 1 AS INT) AS start_line, CAST(vec_id % 900 + 20 AS INT) AS end_line,
+               repeat('fn of passage ' || CAST(vec_id AS STRING) || ' ', CAST(vec_id % 40 + 1 AS INT)) AS content, embedding, vec_id
+        FROM (SELECT 'src/m' || CAST(vec_id % 200 AS STRING) || '.rs' AS path, * FROM {embeddings}) AS e
+        """,
+    ),
+    "requests": (
+        ("embeddings",),
+        """
+        SELECT vec_id AS request_id, embedding, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 'rs' ELSE 'python' END AS language,
+               CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'src/m1*.rs' ELSE 'SRC/*7*.rs' END AS glob,
+               'fn_' || CAST(vec_id + 1 AS STRING) AS name, 'src/m' || CAST(vec_id % 200 AS STRING) || '.rs' AS path,
+               CASE k % 8 WHEN 0 THEN '' WHEN 1 THEN 'src/' ELSE 'lib' END AS folder, CAST(200 + k * 137 % 1500 AS BIGINT) AS budget
+        FROM (SELECT *, CAST(floor(vec_id / 50) AS INT) AS k FROM {embeddings} WHERE vec_id % 50 = 0) AS e
+        """,
+    ),
     "symbols": (
         ("part",),
         """

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
+from tidemill.operators import walks
+from tidemill.operators.walks import MAX_HOPS, ambiguous_names, first_definitions  # noqa: F401
 from tidemill.sources.scratch import materialize
 
-#: Hops beyond this are refused: each is one join over the frontier.
-MAX_HOPS = 5
 #: Characters of the pieces by which texts are looked up.
 GRAM = 3
 
@@ -27,13 +26,6 @@ def resolve(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.where(same_name("name", name))
 
 
-def first_definitions(symbols: DataFrame) -> DataFrame:
-    """One definition for each lower-cased name: the first by path, line and id."""
-    low = symbols.withColumn("low_name", F.lower("name"))
-    first = F.min(F.struct("path", "start_line", "id", "name", "kind")).alias("d")
-    return low.groupBy("low_name").agg(first).select("low_name", "d.*")
-
-
 def callees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Outgoing calls of each symbol."""
     return symbols.select("id", "name", "path").join(calls, F.col("id") == F.col("caller_id")).select("id", "callee_name", "call_line")
@@ -76,71 +68,31 @@ def top_files(symbols: DataFrame, n: int) -> DataFrame:
     return symbols.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(n)
 
 
-def ambiguous_names(symbols: DataFrame) -> DataFrame:
-    return symbols.groupBy(F.lower("name").alias("low_name")).agg(F.count("*").alias("definitions")).where("definitions > 1")
-
-
 def subtree(tree: DataFrame, prefix: str, max_depth: int = 99) -> DataFrame:
     return tree.where(F.col("path").startswith(prefix) & (F.col("depth") <= max_depth)).orderBy("path")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _request(symbols: DataFrame, **columns: str | list[str]) -> DataFrame:
+    """One request for a walk."""
+    as_column = lambda v: F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)).cast("array<string>")
+    return symbols.sparkSession.range(1).select(F.col("id").alias("request_id"), *(as_column(v).alias(k) for k, v in columns.items()))
 
 
 def call_graph(symbols: DataFrame, calls: DataFrame, name: str, depth: int = 2, max_nodes: int = 200) -> DataFrame:
-    """``(symbol, hop, path, line, call_line)`` of what a symbol calls, directly or not.
-
-    A callee is listed at its first hop, and the walk goes on through its first definition. Nodes are
-    taken by hop and name; beyond ``max_nodes`` they are cut. One join per hop over the whole frontier.
-    """
-    depth = max(1, min(depth, MAX_HOPS))
-    firsts = materialize(first_definitions(symbols), "definitions").select("low_name", F.col("path").alias("d_path"), F.col("start_line").alias("d_line"), F.col("id").alias("d_id"))
-    root = resolve(symbols, name).orderBy("path", "start_line", "id").limit(1)
-    frontier = root.select(F.col("id").alias("from_id"))
-    hops: list[DataFrame] = []
-    for hop in range(1, depth + 1):
-        met = frontier.join(calls, F.col("from_id") == F.col("caller_id")).groupBy(F.col("callee_name").alias("symbol")).agg(F.min("call_line").alias("call_line"))
-        if hops:
-            met = met.join(_union([h.select("symbol") for h in hops]), "symbol", "left_anti")
-        found = met.join(firsts, F.lower("symbol") == F.col("low_name"), "left").select("symbol", F.lit(hop).alias("hop"), F.coalesce("d_path", F.lit("")).alias("path"), F.coalesce("d_line", F.lit(0)).alias("line"), "call_line", "d_id")
-        found = materialize(found, "hop")
-        hops.append(found)
-        frontier = found.where("d_id is not null").select(F.col("d_id").alias("from_id")).distinct()
-    return _union(hops).drop("d_id").orderBy("hop", "symbol").limit(max_nodes)
-
-
-def impact_seeds(symbols: DataFrame, names: list[str], paths: list[str]) -> DataFrame:
-    low = [n.lower() for n in names]
-    return symbols.where(F.lower("name").isin(*low) | F.col("path").isin(*paths)).dropDuplicates(["id"])
+    """``(symbol, hop, path, line, call_line)`` of what a symbol calls, directly or not: ``walks.outgoing`` for one name."""
+    return walks.outgoing(symbols, calls, _request(symbols, name=name), depth, max_nodes).drop("request_id").orderBy("hop", "symbol")
 
 
-def impact_callers(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2, max_nodes: int | None = None) -> DataFrame:
-    """``(caller_id, name, path, line, distance, via)``: who calls the seeds, directly or not.
-
-    Names with several definitions are walked through only where asked for by name. A caller is
-    listed at its first distance, through the smallest name that led to it.
-    """
+def _incoming(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int) -> walks.Incoming:
     if not names and not paths:
         raise ValueError("give symbols or paths")
-    hops = max(1, min(hops, MAX_HOPS))
-    seeds = impact_seeds(symbols, names, paths)
-    doubtful = materialize(ambiguous_names(symbols).select("low_name"), "ambiguous")
-    unclear = seeds.join(doubtful, F.lower("name") == F.col("low_name"), "left_semi").where(~F.col("name").isin(*names) if names else F.lit(True))
-    frontier = seeds.select("name").distinct().join(unclear.select("name"), "name", "left_anti").withColumnRenamed("name", "via")
-    seen = seeds.select(F.col("id").alias("caller_id"))
-    found: list[DataFrame] = []
-    for hop in range(1, hops + 1):
-        met = frontier.join(calls, F.col("via") == F.col("callee_name")).groupBy("caller_id").agg(F.min(F.struct("via", "call_line")).alias("first"))
-        new = met.join(seen, "caller_id", "left_anti").select(
-            "caller_id", X.caller_name(F.col("caller_id")).alias("name"), X.caller_path(F.col("caller_id")).alias("path"), F.col("first.call_line").alias("line"), F.lit(hop).alias("distance"), F.col("first.via").alias("via")
-        )
-        new = materialize(new, "callers")
-        found.append(new)
-        seen = seen.unionByName(new.select("caller_id"))
-        frontier = new.join(doubtful, F.lower("name") == F.col("low_name"), "left_anti").select(F.col("name").alias("via")).distinct()
-    out = _union(found)
-    return out.orderBy("distance", "via", "caller_id").limit(max_nodes) if max_nodes else out
+    return walks.Incoming(symbols, calls, _request(symbols, names=names, paths=paths), hops)
+
+
+def impact_callers(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2, max_nodes: int | None = None) -> DataFrame:
+    """``(caller_id, name, path, line, distance, via)``: who calls the seeds, directly or not; ``walks.Incoming`` for one request."""
+    out = _incoming(symbols, calls, names, paths, hops).callers(max_nodes).drop("request_id")
+    return out.orderBy("distance", "via", "caller_id") if max_nodes else out
 
 
 def dependents(imports: DataFrame) -> DataFrame:
@@ -180,13 +132,12 @@ def containing(modules: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("path", "key").join(hits, "key")
 
 
-def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """``(path, dependent)``: files that import a path, by the patterns of its language.
+def import_pairs(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(path, dependent)``: files that import a path, itself included, by the patterns of its language.
 
     Modules are few next to imports, so patterns meet distinct modules first. A pattern that is open at
     one end is an equality on as many characters of the module, one key per distinct length; those open
-    at both ends are looked up by their rarest piece. Wildcards in paths are taken literally, case doesn't
-    count. ``within`` are paths left out of the result.
+    at both ends are looked up by their rarest piece. Wildcards in paths are taken literally, case doesn't count.
     """
     patterns = materialize(pattern_rows(paths).select("path", F.lower("pattern").alias("pattern")), "patterns")
     low = F.lower("from_module")
@@ -202,20 +153,34 @@ def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame |
             met = met.unionByName(keyed.join(cuts, "key").select("path", "from_module"))
     inside = patterns.where(open_left & open_right).select("path", body.alias("key")).where("key <> ''")
     met = met.unionByName(containing(modules, inside).select("path", "from_module"))
-    found = met.distinct().join(dependents(imports), F.col("from_module") == F.col("imported")).select("path", "dependent").distinct()
+    return met.distinct().join(dependents(imports), F.col("from_module") == F.col("imported")).select("path", "dependent").distinct()
+
+
+def import_dependents(imports: DataFrame, paths: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """``(path, dependent)``: files that import a path; ``within`` (the paths themselves, if not given) are left out."""
     leave = within if within is not None else paths
-    return found.join(leave.select(F.col("path").alias("dependent")).distinct(), "dependent", "left_anti")
+    return import_pairs(imports, paths).join(leave.select(F.col("path").alias("dependent")).distinct(), "dependent", "left_anti")
 
 
-def import_dependents_transitive(imports: DataFrame, paths: DataFrame, hops: int) -> DataFrame:
-    """``(dependent, hop)`` of the files that import the paths, directly or not."""
-    seen, frontier, found = paths.select("path").distinct(), paths.select("path").distinct(), []
+def dependents_of(imports: DataFrame, changed: DataFrame, hops: int) -> DataFrame:
+    """``(request_id, path, hop)`` of the files that import those of ``changed(request_id, path)``, directly or not.
+
+    Each hop looks up the paths of all requests' frontiers once; requests meet the pairs by equality.
+    """
+    seen = changed.select("request_id", "path").distinct()
+    frontier, found = seen, []
     for hop in range(1, max(1, min(hops, MAX_HOPS)) + 1):
-        new = materialize(import_dependents(imports, frontier, seen).select("dependent").distinct(), "dependents")
-        found.append(new.withColumn("hop", F.lit(hop)))
-        frontier = new.select(F.col("dependent").alias("path"))
+        pairs = import_pairs(imports, frontier.select("path").distinct())
+        new = frontier.join(pairs, "path").select("request_id", F.col("dependent").alias("path")).distinct().join(seen, ["request_id", "path"], "left_anti")
+        frontier = materialize(new, "dependents")
+        found.append(frontier.withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
-    return _union(found)
+    return walks.union(found)
+
+
+def import_dependents_transitive(imports: DataFrame, paths: DataFrame, hops: int) -> DataFrame:
+    """``(dependent, hop)`` of the files that import the paths, directly or not."""
+    return dependents_of(imports, paths.select(F.lit(0).alias("request_id"), "path"), hops).select(F.col("path").alias("dependent"), "hop")
 
 
 def importers_of(imports: DataFrame, module: str) -> DataFrame:
@@ -224,13 +189,8 @@ def importers_of(imports: DataFrame, module: str) -> DataFrame:
 
 def impact_files(symbols: DataFrame, calls: DataFrame, imports: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
     """``(path)`` of the files that a change reaches, by calls or imports, without the changed ones."""
-    changed = impact_seeds(symbols, names, paths).select("path")
-    if paths:
-        changed = changed.unionByName(symbols.sparkSession.createDataFrame([(p,) for p in paths], "path string"))
-    changed = changed.distinct()
-    by_calls = impact_callers(symbols, calls, names, paths, hops).select("path")
-    by_imports = import_dependents_transitive(imports, changed, hops).select(F.col("dependent").alias("path"))
-    return by_calls.unionByName(by_imports).distinct().join(changed, "path", "left_anti")
+    walk = _incoming(symbols, calls, names, paths, hops)
+    return walk.files(dependents_of(imports, walk.changed(), hops)).select("path")
 
 
 #: The sentences of an impact report.
@@ -245,22 +205,7 @@ SIGNALS = {
 
 def breaking_signals(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
     """``(symbol, signal)``: a sentence for each seed with direct callers, and notes on unclear or unknown names."""
-    spark = symbols.sparkSession
-    seeds = impact_seeds(symbols, names, paths)
-    direct = impact_callers(symbols, calls, names, paths, 1).groupBy("via").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.array_sort(F.collect_set("name")).alias("who"))
-    more = F.when(F.size("who") > 3, F.format_string(SIGNALS["more"], F.size("who") - 3)).otherwise("")
-    text = F.format_string(SIGNALS["impacts"], "name", "kind", "path", "n", "files", F.array_join(F.slice("who", 1, 3), ", "), more)
-    out = seeds.join(direct, F.col("name") == F.col("via")).select(F.col("name").alias("symbol"), text.alias("signal"))
-    doubtful = ambiguous_names(symbols)
-    if names:
-        asked = spark.createDataFrame([(n,) for n in names], "symbol string")
-        known = symbols.select(F.lower("name").alias("low_name")).distinct()
-        unknown = asked.join(known, F.lower("symbol") == F.col("low_name"), "left_anti")
-        out = out.unionByName(unknown.select("symbol", F.format_string(SIGNALS["unknown"], "symbol").alias("signal")))
-        several = asked.join(doubtful, F.lower("symbol") == F.col("low_name"), "left_semi")
-        out = out.unionByName(several.select("symbol", F.format_string(SIGNALS["several"], "symbol").alias("signal")))
-    skipped = seeds.select("name").distinct().join(doubtful, F.lower("name") == F.col("low_name"), "left_semi").where(~F.col("name").isin(*names) if names else F.lit(True))
-    return out.unionByName(skipped.select(F.col("name").alias("symbol"), F.format_string(SIGNALS["skipped"], "name").alias("signal")))
+    return _incoming(symbols, calls, names, paths, 1).signals(SIGNALS).drop("request_id")
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

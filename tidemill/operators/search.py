@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
@@ -59,6 +60,8 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, language: str | No
 
 #: Scores that a task holds at once, of a block of queries and a batch of rows (32 MB).
 CELLS = 1 << 22
+#: Filters that a query may have, and the column of the rows that each looks at.
+FILTERS = {"language": "language", "glob": "path"}
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
@@ -67,10 +70,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_00
     The queries go to the tasks in blocks of at most ``max_queries``; every row of ``vectors`` is
     scored against a block in a streaming pass that keeps k per query and batch, so at most k rows
     per query and batch are shuffled for the final ranking. With several blocks each one's rows are
-    a table, so the driver holds one block.
+    a table, so the driver holds one block. Where queries have a ``language`` or a ``glob``, rows that
+    don't fit it are left out before the cut; null fits everything.
     """
     kind = dict(queries.dtypes)["query_id"]
-    near, rows = None, queries.select("query_id", "embedding").toLocalIterator()
+    filters = [c for c in FILTERS if c in queries.columns]
+    near, rows = None, queries.select("query_id", "embedding", *filters).toLocalIterator()
     while block := list(islice(rows, max_queries)):
         found = _nearest(vectors, block, k, kind)
         if near is not None or len(block) == max_queries:
@@ -84,8 +89,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_00
 
 def _nearest(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
     ids = [r[0] for r in block]
-    q = block
-    matrix = np.array([r[1] for r in q], dtype=np.float64)
+    filters = [c for c in FILTERS if c in block[0].__fields__]
+    wanted = [tuple(r[c] for c in filters) for r in block]
+    columns = {c: FILTERS[c] for c in filters}
+    matrix = np.array([r[1] for r in block], dtype=np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,18 +104,33 @@ def _nearest(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
             place[np.argsort(names, kind="stable")] = np.arange(len(names))
             x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            fits = {w: _fits(rows, columns, w) for w in set(wanted)} if columns else {}
             step = max(1, CELLS // len(x))
             for lo in range(0, len(matrix), step):
                 out = []
                 for i, row in enumerate(np.round(matrix[lo : lo + step] @ x.T, 3), lo):
+                    of = fits.get(wanted[i], slice(None))
+                    some = row[of]
                     # all that score like the k-th stay until the names have decided
-                    least = np.partition(row, -k)[-k] if k < len(row) else -np.inf
-                    near = np.flatnonzero(row >= least)
+                    least = np.partition(some, -k)[-k] if k < len(some) else -np.inf
+                    near = np.arange(len(row))[of][some >= least]
                     top = near[np.lexsort((place[near], -row[near]))[:k]]
                     out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[top], "score": row[top]}))
                 yield pd.concat(out)
 
-    return vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, score double")
+    return vectors.select("chunk_id", "embedding", *columns.values()).mapInPandas(best, f"query_id {kind}, chunk_id string, score double")
+
+
+def _fits(rows: pd.DataFrame, columns: dict[str, str], wanted: tuple) -> np.ndarray:
+    """Which rows of a batch a query's filters let through."""
+    out = np.ones(len(rows), bool)
+    for (name, column), value in zip(columns.items(), wanted, strict=True):
+        if value is not None and name == "language":
+            out &= (rows[column] == X.language_filter(value)).to_numpy()
+        elif value is not None:
+            match = re.compile(X.glob_to_regex(value)).match
+            out &= np.fromiter((p is not None and match(p) is not None for p in rows[column]), bool, len(rows))
+    return out
 
 
 def collection_info(vectors: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemill.config import Config
 from tidemill.corpus import base, derive, duckdb_lines, with_ctes
 from tidemill.functions import rules
 from tidemill.functions import text as X
-from tidemill.operators import ann, bundle, chunk, diff, graph, ingest, parse, ranges, scan, search, skeleton, state
+from tidemill.operators import ann, bundle, chunk, diff, graph, ingest, parse, ranges, requests, scan, search, skeleton, state, walks
 from tidemill.sources.scratch import scratch
 from tidemill.sources.store import IndexStore
 from tidemill.streaming import watch
@@ -356,14 +356,19 @@ _BFS = (
 )
 
 
+def _calls_by(spark, d, end):
+    """The calls as a walk reads them: stored once, in buckets of the end that it starts from."""
+    return walks.stored(derive(spark, d, "symbol_calls"), end)
+
+
 @query(_BFS)
 def call_graph_bfs(spark, d):
-    return graph.call_graph(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), NAME, 3, 1 << 30)
+    return graph.call_graph(derive(spark, d, "symbols"), _calls_by(spark, d, "caller_id"), NAME, 3, 1 << 30)
 
 
 @query(_BFS + " ORDER BY hop, symbol LIMIT 200")
 def call_graph_capped(spark, d):
-    return graph.call_graph(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), NAME, 3, 200)
+    return graph.call_graph(derive(spark, d, "symbols"), _calls_by(spark, d, "caller_id"), NAME, 3, 200)
 
 
 def _impact_sql(hops: int = 2) -> str:
@@ -385,7 +390,7 @@ _IMPACT = _impact_sql().replace("min((via, call_line)) AS first", "min({'v': via
 
 @query(_IMPACT + "SELECT caller_id, name, path, line, distance, via FROM hit")
 def impact_callers(spark, d):
-    return graph.impact_callers(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), [NAME], [PATH], 2)
+    return graph.impact_callers(derive(spark, d, "symbols"), _calls_by(spark, d, "callee_name"), [NAME], [PATH], 2)
 
 
 _DEPENDENT = "regexp_replace(regexp_replace({0}, '^src/', ''), '\\.rs$', '')"
@@ -408,7 +413,7 @@ def _imports_hop(source: str, target: str, seen: str) -> str:
     + " SELECT DISTINCT path FROM (SELECT path FROM hit UNION ALL SELECT path FROM i1 UNION ALL SELECT path FROM i2) WHERE path NOT IN (SELECT path FROM ch)"
 )
 def impact_files(spark, d):
-    return graph.impact_files(*(derive(spark, d, t) for t in ("symbols", "symbol_calls", "symbol_imports")), [NAME], [PATH], 2)
+    return graph.impact_files(derive(spark, d, "symbols"), _calls_by(spark, d, "callee_name"), derive(spark, d, "symbol_imports"), [NAME], [PATH], 2)
 
 
 @query(
@@ -419,7 +424,7 @@ def impact_files(spark, d):
     UNION ALL SELECT DISTINCT name, 'Symbol ''' || name || ''' is defined in multiple places — name-based caller matching would be unreliable, so its call-graph walk was skipped (pass it explicitly in ''symbols'' to force it)' FROM seeds WHERE lower(name) IN (SELECT low_name FROM amb)"""
 )
 def breaking_signals(spark, d):
-    return graph.breaking_signals(derive(spark, d, "symbols"), derive(spark, d, "symbol_calls"), [NAME], [PATH], 2)
+    return graph.breaking_signals(derive(spark, d, "symbols"), _calls_by(spark, d, "callee_name"), [NAME], [PATH], 2)
 
 
 _STEMS = with_ctes("files") + """, e AS (SELECT DISTINCT path, CASE WHEN contains(path, '.') THEN regexp_extract(path, '[^.]*$') ELSE '' END AS ext FROM files),
@@ -695,6 +700,169 @@ def diff_summary(spark, d):
     return diff.summary_lines(diff.with_callers(changes, derive(spark, d, "symbol_calls")))
 
 
+# --- requests -------------------------------------------------------------------------------
+
+
+def _tokens_sql(text: str, ratio: str = "4.0") -> str:
+    return f"CAST(ceil(length({text}) / CASE WHEN regexp_matches(lower({text}), '{rules.TURKISH}') THEN 3.0 ELSE {ratio} END) AS BIGINT)"
+
+
+def _requests(spark, d, *columns):
+    return derive(spark, d, "requests").select("request_id", *columns)
+
+
+_SEARCHED = with_ctes("passages", "requests") + (
+    ", s AS (SELECT r.request_id, r.budget, p.* EXCLUDE (embedding), round(list_cosine_similarity(p.embedding::DOUBLE[], r.embedding::DOUBLE[]), 3) AS score FROM passages p JOIN requests r ON {on}), "
+    "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s) "
+)
+_FITS = "(r.language IS NULL OR p.language = CASE r.language WHEN 'rs' THEN 'rust' ELSE r.language END) AND (r.glob IS NULL OR lower(p.path) LIKE replace(lower(r.glob), '*', '%'))"
+
+
+@query(_SEARCHED.replace("{on}", _FITS) + "SELECT request_id, chunk_id, score, rank FROM k WHERE rank <= 6")
+def search_batch(spark, d):
+    return requests.search_batch(derive(spark, d, "passages"), _requests(spark, d, "embedding", "language", "glob"), 6)
+
+
+_PAIRS = """mods AS (SELECT DISTINCT importer, regexp_extract(from_module, '^crate::m([0-9]+)::', 1) AS k FROM symbol_imports),
+    pairs AS (SELECT DISTINCT 'src/m' || k[1:n] || '.rs' AS path, importer AS dependent FROM mods, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS n))"""
+
+
+def _callers_hop(frontier: str, target: str, seen: str) -> str:
+    return f"""{target} AS (SELECT request_id, caller_id, min({{'v': via, 'l': call_line}}) AS first FROM {frontier} JOIN symbol_calls ON callee_name = via
+        WHERE (request_id, caller_id) NOT IN ({seen}) GROUP BY 1, 2)"""
+
+
+_IMPACTS = (
+    with_ctes("symbols", "symbol_calls", "symbol_imports", "requests")
+    + f""", seeds AS (SELECT r.request_id, s.id, min(s.name) AS name, min(s.kind) AS kind, min(s.path) AS path FROM symbols s JOIN requests r ON lower(s.name) = lower(r.name) OR s.path = r.path GROUP BY 1, 2),
+    amb AS (SELECT lower(name) AS low_name FROM symbols GROUP BY 1 HAVING count(*) > 1),
+    f0 AS (SELECT DISTINCT s.request_id, s.name AS via FROM seeds s JOIN requests r USING (request_id) WHERE lower(s.name) NOT IN (SELECT low_name FROM amb) OR s.name = r.name),
+    {_callers_hop('f0', 'm1', 'SELECT (request_id, id) FROM seeds')},
+    f1 AS (SELECT DISTINCT request_id, split_part(caller_id, '::', 2) AS via FROM m1 WHERE lower(split_part(caller_id, '::', 2)) NOT IN (SELECT low_name FROM amb)),
+    {_callers_hop('f1', 'm2', 'SELECT (request_id, id) FROM seeds UNION ALL SELECT (request_id, caller_id) FROM m1')},
+    hit AS (SELECT request_id, caller_id, split_part(caller_id, '::', 2) AS name, split_part(caller_id, '::', 1) AS path, first.l AS line, distance, first.v AS via
+            FROM (SELECT 1 AS distance, * FROM m1 UNION ALL SELECT 2, * FROM m2)),
+    ch AS (SELECT request_id, path FROM seeds UNION SELECT request_id, path FROM requests), {_PAIRS},
+    i1 AS (SELECT DISTINCT c.request_id, p.dependent AS path FROM ch c JOIN pairs p USING (path) WHERE (c.request_id, p.dependent) NOT IN (SELECT (request_id, path) FROM ch)),
+    i2 AS (SELECT DISTINCT c.request_id, p.dependent AS path FROM i1 c JOIN pairs p USING (path) WHERE (c.request_id, p.dependent) NOT IN (SELECT (request_id, path) FROM ch UNION ALL SELECT (request_id, path) FROM i1)) """
+)
+
+
+def _impacts(spark, d):
+    asked = _requests(spark, d, F.array("name").alias("names"), F.array("path").alias("paths"))
+    return requests.impact_batch(derive(spark, d, "symbols"), _calls_by(spark, d, "callee_name"), derive(spark, d, "symbol_imports"), asked, 2, 50)
+
+
+@query(_IMPACTS + "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, via, caller_id) AS place FROM hit) WHERE place <= 50")
+def impact_batch(spark, d):
+    return _impacts(spark, d)["callers"]
+
+
+@query(_IMPACTS + "SELECT DISTINCT request_id, path FROM (SELECT request_id, path FROM hit UNION ALL FROM i1 UNION ALL FROM i2) WHERE (request_id, path) NOT IN (SELECT (request_id, path) FROM ch)")
+def impact_batch_files(spark, d):
+    return _impacts(spark, d)["files"]
+
+
+@query(
+    _IMPACTS
+    + """, dir AS (SELECT request_id, via, count(*) AS n, count(DISTINCT path) AS files, list_sort(list(DISTINCT name)) AS who FROM hit WHERE distance = 1 GROUP BY 1, 2)
+    SELECT s.request_id, name AS symbol, 'Changing ''' || name || ''' (' || kind || ', ' || path || ') impacts ' || n || ' direct caller(s) in ' || files || ' file(s): ' || array_to_string(who[1:3], ', ')
+      || CASE WHEN len(who) > 3 THEN ', +' || (len(who) - 3) || ' more' ELSE '' END AS signal FROM seeds s JOIN dir d ON s.request_id = d.request_id AND name = via
+    UNION ALL SELECT request_id, name, 'Symbol ''' || name || ''' was not found in the symbol graph — impact for it is unknown (run ensure_index again, or check the name)' FROM requests WHERE lower(name) NOT IN (SELECT lower(name) FROM symbols)
+    UNION ALL SELECT request_id, name, 'Note: ''' || name || ''' has multiple definitions in the project — some listed callers may refer to the other definitions' FROM requests WHERE lower(name) IN (SELECT low_name FROM amb)
+    UNION ALL SELECT DISTINCT s.request_id, s.name, 'Symbol ''' || s.name || ''' is defined in multiple places — name-based caller matching would be unreliable, so its call-graph walk was skipped (pass it explicitly in ''symbols'' to force it)'
+      FROM seeds s JOIN requests r USING (request_id) WHERE lower(s.name) IN (SELECT low_name FROM amb) AND s.name <> r.name"""
+)
+def impact_batch_signals(spark, d):
+    return _impacts(spark, d)["signals"]
+
+
+@query(
+    ORACLES["diff_summary"].replace("WITH ", with_ctes("requests", "symbol_imports").rstrip() + ", ", 1).replace("SELECT path, symbol, change, CASE change", f", {_PAIRS}, o AS (SELECT path, symbol, change, CASE change")
+    + """), few AS (SELECT path, array_to_string(list_sort(list(dependent))[1:25], ' ') AS affected FROM pairs WHERE dependent <> path GROUP BY path)
+    SELECT r.request_id, o.path, symbol, change, line, CASE WHEN change = 'added' THEN '' ELSE coalesce(affected, '') END AS affected
+    FROM o LEFT JOIN few USING (path) JOIN requests r ON r.folder = '' OR starts_with(o.path, r.folder || CASE WHEN r.folder LIKE '%/' THEN '' ELSE '/' END)"""
+)
+def review_batch(spark, d):
+    out = requests.review_batch(derive(spark, d, "old_details"), derive(spark, d, "new_details"), derive(spark, d, "symbol_calls"), derive(spark, d, "symbol_imports"), _requests(spark, d, "folder"))
+    return out.withColumn("affected", F.array_join("affected_files", " ")).drop("affected_files")
+
+
+_OWN = "CASE WHEN language IN ('markdown', 'text') THEN 4.0 ELSE 3.5 END"
+
+
+def _stage(name: str, rows: str, used: str, percent: int) -> str:
+    """A stage's rows (request_id, grp, pos, item, tokens), those that are taken, and what is used after it."""
+    return f""", {name} AS ({rows}),
+    {name}_g AS (SELECT g.request_id, grp, used + coalesce(sum(cost) OVER (PARTITION BY g.request_id ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, budget
+                 FROM (SELECT request_id, grp, sum(tokens) AS cost FROM {name} GROUP BY 1, 2) g JOIN {used} u ON u.request_id = g.request_id),
+    {name}_t AS (SELECT t.request_id, t.grp, t.pos, t.item, t.tokens FROM {name} t JOIN {name}_g g ON g.request_id = t.request_id AND g.grp = t.grp WHERE before < floor(budget * {percent} / 100)),
+    {name}_u AS (SELECT u.request_id, budget, CAST(used + coalesce(spent, 0) AS BIGINT) AS used FROM {used} u LEFT JOIN (SELECT request_id, sum(tokens) AS spent FROM {name}_t GROUP BY 1) USING (request_id))"""
+
+
+_BUNDLES = (
+    _SEARCHED.replace("{on}", "TRUE").replace("WITH ", with_ctes("symbols", "symbol_imports").rstrip() + ", ", 1)
+    + f""", {_PAIRS}, hits AS (SELECT *, {_tokens_sql('content', _OWN)} AS own_tokens,
+      '{{"chunk_id":"' || chunk_id || '","path":"' || path || '","score":' || score || ',"start_line":' || start_line || ',"end_line":' || end_line || ',"language":"' || language || '","snippet":"'
+      || CASE WHEN length(content) > 400 THEN substr(content, 1, 400) || '…' ELSE content END || '"}}' AS item FROM k WHERE rank <= 20),
+    matched AS (SELECT DISTINCT request_id, path FROM hits WHERE rank <= 8), u0 AS (SELECT request_id, budget, 0 AS used FROM requests),
+    cand AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS grp, 1 AS pos, item, {_tokens_sql('item')} AS tokens, own_tokens
+             FROM (SELECT *, row_number() OVER (PARTITION BY request_id, path ORDER BY rank) AS own FROM hits) WHERE own <= 3)"""
+    + _stage("c", "SELECT request_id, grp, pos, item, tokens FROM cand", "u0", 60)
+    + ", sym AS (SELECT request_id, m.path AS grp, row_number() OVER (PARTITION BY request_id, m.path ORDER BY start_line, name, kind, id) AS pos, "
+    + """'{"symbol":"' || name || '","kind":"' || kind || '","path":"' || m.path || '","line":' || start_line || '}' AS item FROM matched m JOIN symbols s ON s.path = m.path)"""
+    + _stage("y", f"SELECT *, {_tokens_sql('item')} AS tokens FROM sym", "c_u", 80)
+    + """, dep AS (SELECT DISTINCT m.request_id, dependent FROM matched m JOIN pairs USING (path) WHERE (m.request_id, dependent) NOT IN (SELECT (request_id, path) FROM matched)),
+    said AS (SELECT request_id, count(*) || ' file(s) depend on the matched code: ' || array_to_string(list_sort(list(dependent))[1:5], ', ') AS text FROM dep GROUP BY 1),
+    line AS (SELECT request_id, 1 AS grp, 1 AS pos, coalesce(text, 'No downstream dependents detected.') AS item FROM requests LEFT JOIN said USING (request_id))"""
+    + _stage("i", f"SELECT *, {_tokens_sql('item')} AS tokens FROM line", "y_u", 90)
+    + """, node AS (SELECT DISTINCT path FROM passages),
+    dirs AS (SELECT request_id, dir, row_number() OVER (PARTITION BY request_id ORDER BY dir) AS n FROM (SELECT DISTINCT request_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM matched)),
+    tree AS (SELECT request_id, dir AS grp, row_number() OVER (PARTITION BY request_id, dir ORDER BY node.path) AS pos, node.path AS item FROM dirs JOIN node ON starts_with(node.path, dir || '/') WHERE n <= 3)"""
+    + _stage("t", "SELECT *, CAST(floor(strlen(item) / 4) AS BIGINT) + 1 AS tokens FROM tree WHERE pos <= 20", "i_u", 100)
+    + " "
+)
+
+
+def _bundles(spark, d):
+    passages = derive(spark, d, "passages")
+    asked = _requests(spark, d, "embedding", "budget")
+    near = requests.search_batch(passages, asked.drop("budget"), Config().bundle_max_chunks)
+    hits = near.join(passages, "chunk_id").select("request_id", "chunk_id", "path", "score", bundle.result_json().alias("item"), X.token_estimate(F.col("content"), F.col("language")).alias("own_tokens"))
+    tree = passages.select("path").distinct().withColumn("depth", X.depth(F.col("path")))
+    return requests.BundleBatch(asked, hits, derive(spark, d, "symbols"), derive(spark, d, "symbol_imports"), tree)
+
+
+_TAKEN = [("chunk", "c", "lpad(grp::VARCHAR, 4, '0')"), ("symbol", "y", "grp"), ("impact", "i", "''"), ("tree", "t", "grp")]
+
+
+@query(
+    _BUNDLES
+    + "SELECT request_id, stage, CAST(row_number() OVER (PARTITION BY request_id, stage ORDER BY g, pos) AS INT) AS pos, item, CAST(tokens AS BIGINT) AS tokens FROM ("
+    + " UNION ALL ".join(f"SELECT request_id, '{stage}' AS stage, {grp} AS g, pos, item, tokens FROM {name}_t" for stage, name, grp in _TAKEN)
+    + ")"
+)
+def bundle_batch(spark, d):
+    """Context within a budget for every request: chunks, symbols, a sentence on dependents, folders."""
+    return _bundles(spark, d).items()
+
+
+@query(
+    _BUNDLES
+    + """, size AS (SELECT path, CAST(sum(length(id)) * 10 AS BIGINT) AS tokens FROM symbols GROUP BY path),
+    w AS (SELECT request_id, CAST(sum(own_tokens) AS BIGINT) AS candidate FROM hits GROUP BY 1),
+    x AS (SELECT cand.request_id, CAST(sum(own_tokens) AS BIGINT) AS selected FROM cand JOIN c_t ON cand.request_id = c_t.request_id AND cand.grp = c_t.grp GROUP BY 1),
+    b AS (SELECT request_id, CAST(sum(tokens) AS BIGINT) AS baseline FROM matched JOIN size USING (path) GROUP BY 1),
+    m AS (SELECT request_id, used, coalesce(candidate, 0) AS candidate, coalesce(selected, 0) AS selected, coalesce(baseline, 0) AS baseline
+          FROM t_u LEFT JOIN w USING (request_id) LEFT JOIN x USING (request_id) LEFT JOIN b USING (request_id))
+    SELECT *, greatest(baseline - used, 0) AS saved_tokens, coalesce(round(greatest(baseline - used, 0) * 100.0::DOUBLE / nullif(baseline, 0), 2), 0) AS saved_percent,
+      coalesce(round(baseline::DOUBLE / nullif(used, 0), 2), 0) AS saving_ratio, coalesce(round(greatest(candidate - selected, 0) * 100.0::DOUBLE / nullif(candidate, 0), 2), 0) AS trim_percent FROM m"""
+)
+def bundle_batch_metrics(spark, d):
+    sizes = derive(spark, d, "symbols").groupBy("path").agg((F.sum(F.length("id")) * 10).alias("tokens"))
+    return _bundles(spark, d).metrics(sizes)
+
+
 # --- ranges ---------------------------------------------------------------------------------
 
 

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from tidemill.config import Config
 from tidemill.functions import text as X
 from tidemill.operators import bundle, chunk, diff, graph, ingest, parse, ranges, requests, scan, search, skeleton, state, walks
-from tidemill.sources.files import read_tree
 from tidemill.sources.store import IndexStore
+from tidemill.sources.tree import read_pruned
 
 
 class Engine:
     """Search, structure and impact over an indexed tree of files.
 
     ``files`` is a callable that gives the present ``files(path, ext, size_bytes, content)``;
-    by default the tree below ``root`` is read. ``observer`` is told of every call.
+    by default the tree below ``root`` is read, without what the configuration excludes. ``observer`` is told of every call.
     """
 
     def __init__(
@@ -36,7 +36,7 @@ class Engine:
         self.spark, self.root = spark, root
         self.config = config or Config()
         self.store = IndexStore(spark, store or f"{root.rstrip('/')}/.tidemill")
-        self.files = files or (lambda: read_tree(spark, root, self.config.max_file_kb * 1024 + 1024))
+        self.files = files or (lambda: read_pruned(spark, root, self.config))
         dimension = self.config.dimension
         self.embedder = embedder or (lambda: search.hash_embedder(dimension))
         self.observer = observer

@@ -71,12 +71,23 @@ def test_a_hop_moves_the_frontier_and_no_edges(spark, project):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = frontier.join(edges, frontier["via"] == edges["callee_name"])._jdf.queryExecution().executedPlan().toString()
+        plan = walks.meet(frontier, "via", edges, "callee_name")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 1 and "Bucketed: true" in plan
 
 
+def test_hot_keys_are_dealt_over_all_buckets(spark):
+    rows = [(f"p::c{i}", "new" if i % 3 else f"f{i}", i) for i in range(600)] + [("p::c0", None, 1)]
+    edges = walks.stored(spark.createDataFrame(rows, CALLS), "callee_name", 8)
+    assert [r[0] for r in edges.hot.collect()] == ["new"] and edges.table.where("callee_name = 'new'").select("_salt").distinct().count() == 8
+    frontier = spark.createDataFrame([(1, "new"), (2, "f3"), (2, "new"), (3, "none"), (3, None)], "request_id int, via string")
+    got = sorted((r["request_id"], r["caller_id"], r["call_line"]) for r in walks.meet(frontier, "via", edges, "callee_name").collect())
+    assert got == sorted((q, c, n) for q, v in ((1, "new"), (2, "f3"), (2, "new")) for c, name, n in rows if name == v)
+    with pytest.raises(ValueError):
+        walks.meet(frontier, "via", edges, "caller_id")
+
+
 def loop_bundle(budget, hits, symbols, dependents, tree):
     used, per_file, out = 0, {}, []
     cost = lambda text: -(-len(text) // 4)

@@ -41,7 +41,7 @@ class Engine:
         self.embedder = embedder or (lambda: search.hash_embedder(dimension))
         self.observer = observer
         self.bundle_stats: list[dict[str, float]] = []
-        self._adjacency: dict[tuple[int | None, str], DataFrame] = {}
+        self._adjacency: dict[tuple[int | None, str], walks.Edges] = {}
 
     def _tell(self, tool: str, **args: Any) -> None:
         if self.observer:
@@ -119,7 +119,7 @@ class Engine:
         depth = min(depth or self.config.graph_depth, self.config.graph_depth)
         return graph.call_graph(self.store.read("symbols"), self._calls_by("caller_id"), symbol, depth, self.config.max_nodes)
 
-    def _calls_by(self, end: str) -> DataFrame:
+    def _calls_by(self, end: str) -> walks.Edges:
         """The calls of the present version in buckets of one end: written once, read by every walk until the index changes."""
         key = (self.store.version, end)
         if key not in self._adjacency:

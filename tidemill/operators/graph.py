@@ -78,18 +78,18 @@ def _request(symbols: DataFrame, **columns: str | list[str]) -> DataFrame:
     return symbols.sparkSession.range(1).select(F.col("id").alias("request_id"), *(as_column(v).alias(k) for k, v in columns.items()))
 
 
-def call_graph(symbols: DataFrame, calls: DataFrame, name: str, depth: int = 2, max_nodes: int = 200) -> DataFrame:
+def call_graph(symbols: DataFrame, calls: DataFrame | walks.Edges, name: str, depth: int = 2, max_nodes: int = 200) -> DataFrame:
     """``(symbol, hop, path, line, call_line)`` of what a symbol calls, directly or not: ``walks.outgoing`` for one name."""
     return walks.outgoing(symbols, calls, _request(symbols, name=name), depth, max_nodes).drop("request_id").orderBy("hop", "symbol")
 
 
-def _incoming(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int) -> walks.Incoming:
+def _incoming(symbols: DataFrame, calls: DataFrame | walks.Edges, names: list[str], paths: list[str], hops: int) -> walks.Incoming:
     if not names and not paths:
         raise ValueError("give symbols or paths")
     return walks.Incoming(symbols, calls, _request(symbols, names=names, paths=paths), hops)
 
 
-def impact_callers(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2, max_nodes: int | None = None) -> DataFrame:
+def impact_callers(symbols: DataFrame, calls: DataFrame | walks.Edges, names: list[str], paths: list[str], hops: int = 2, max_nodes: int | None = None) -> DataFrame:
     """``(caller_id, name, path, line, distance, via)``: who calls the seeds, directly or not; ``walks.Incoming`` for one request."""
     out = _incoming(symbols, calls, names, paths, hops).callers(max_nodes).drop("request_id")
     return out.orderBy("distance", "via", "caller_id") if max_nodes else out
@@ -187,7 +187,7 @@ def importers_of(imports: DataFrame, module: str) -> DataFrame:
     return imports.where(F.lower("from_module").contains(module.lower())).select("importer").distinct()
 
 
-def impact_files(symbols: DataFrame, calls: DataFrame, imports: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
+def impact_files(symbols: DataFrame, calls: DataFrame | walks.Edges, imports: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
     """``(path)`` of the files that a change reaches, by calls or imports, without the changed ones."""
     walk = _incoming(symbols, calls, names, paths, hops)
     return walk.files(dependents_of(imports, walk.changed(), hops)).select("path")
@@ -203,7 +203,7 @@ SIGNALS = {
 }
 
 
-def breaking_signals(symbols: DataFrame, calls: DataFrame, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
+def breaking_signals(symbols: DataFrame, calls: DataFrame | walks.Edges, names: list[str], paths: list[str], hops: int = 2) -> DataFrame:
     """``(symbol, signal)``: a sentence for each seed with direct callers, and notes on unclear or unknown names."""
     return _incoming(symbols, calls, names, paths, 1).signals(SIGNALS).drop("request_id")
 

@@ -9,6 +9,7 @@ as many joins as one.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,13 +22,43 @@ from tidemill.sources.scratch import materialize, scratch
 MAX_HOPS = 5
 
 
-def stored(edges: DataFrame, by: str, buckets: int | None = None) -> DataFrame:
-    """``edges`` as a table in buckets of ``by``, sorted within; as many buckets as shuffles have partitions."""
+@dataclass
+class Edges:
+    """Edges in buckets of the end ``by`` and of a salt, and the keys that have more than one salt (fewer than there are buckets)."""
+
+    table: DataFrame
+    by: str
+    hot: DataFrame
+    salts: int
+
+
+def stored(edges: DataFrame, by: str, buckets: int | None = None) -> Edges:
+    """``edges`` as a table in buckets of ``by``, sorted within; as many buckets as shuffles have partitions.
+
+    A key with more than a bucket's share of all edges is dealt over all buckets by a salt of its edges. Edges whose key is
+    null can't be met and are left out.
+    """
     spark = edges.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemill_adjacency_{uuid.uuid4().hex}"
-    edges.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", scratch(spark, "adjacency")).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    edges = materialize(edges.where(F.col(by).isNotNull()), "edges")
+    share = edges.count() // n
+    hot = materialize(edges.groupBy(F.col(by).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > share).select("hot"), "hot")
+    salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(c for c in edges.columns if c != by)), F.lit(n))).cast("int")
+    dealt = edges.join(F.broadcast(hot), F.col(by) == F.col("hot"), "left").withColumn("_salt", salt).drop("hot")
+    dealt.repartition(n, by, "_salt").write.bucketBy(n, by, "_salt").sortBy(by).option("path", scratch(spark, "adjacency")).format("parquet").saveAsTable(name)
+    return Edges(spark.table(name), by, hot, n)
+
+
+def meet(frontier: DataFrame, column: str, edges: DataFrame | Edges, by: str) -> DataFrame:
+    """The frontier's rows with the edges at their ``column``; rows at a hot key go to each of its salts."""
+    if isinstance(edges, DataFrame):
+        return frontier.join(edges, F.col(column) == F.col(by))
+    if edges.by != by:
+        raise ValueError(f"these edges are stored by {edges.by}, not by {by}")
+    salts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(edges.salts - 1)))
+    salted = frontier.join(F.broadcast(edges.hot), F.col(column) == F.col("hot"), "left").withColumn("_at", F.explode(salts)).drop("hot")
+    return salted.join(edges.table, (F.col(column) == F.col(by)) & (F.col("_at") == F.col("_salt"))).drop("_at", "_salt")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -53,7 +84,7 @@ def capped(rows: DataFrame, max_nodes: int | None, *order: str | Column) -> Data
     return rows.withColumn("_place", place).where(F.col("_place") <= max_nodes).drop("_place")
 
 
-def outgoing(symbols: DataFrame, calls: DataFrame, requests: DataFrame, depth: int, max_nodes: int | None) -> DataFrame:
+def outgoing(symbols: DataFrame, calls: DataFrame | Edges, requests: DataFrame, depth: int, max_nodes: int | None) -> DataFrame:
     """``(request_id, symbol, hop, path, line, call_line)`` of what the symbol of each of ``requests(request_id, name)`` calls, directly or not.
 
     A callee is listed at its first hop, and the walk goes on through its first definition. Beyond ``max_nodes`` rows of a
@@ -65,7 +96,7 @@ def outgoing(symbols: DataFrame, calls: DataFrame, requests: DataFrame, depth: i
     frontier = asked.join(firsts, "low_name").select("request_id", F.col("d_id").alias("from_id"))
     hops: list[DataFrame] = []
     for hop in range(1, depth + 1):
-        met = frontier.join(calls, F.col("from_id") == F.col("caller_id")).groupBy("request_id", F.col("callee_name").alias("symbol")).agg(F.min("call_line").alias("call_line"))
+        met = meet(frontier, "from_id", calls, "caller_id").groupBy("request_id", F.col("callee_name").alias("symbol")).agg(F.min("call_line").alias("call_line"))
         if hops:
             met = met.join(union([h.select("request_id", "symbol") for h in hops]), ["request_id", "symbol"], "left_anti")
         found = met.join(firsts, F.lower("symbol") == F.col("low_name"), "left").select(
@@ -84,7 +115,7 @@ class Incoming:
     smallest name that led to it.
     """
 
-    def __init__(self, symbols: DataFrame, calls: DataFrame, requests: DataFrame, hops: int = 2):
+    def __init__(self, symbols: DataFrame, calls: DataFrame | Edges, requests: DataFrame, hops: int = 2):
         self.symbols, self.requests = symbols, requests
         self.asked = requests.select("request_id", F.explode("names").alias("name")).where("name is not null").distinct()
         self.paths = requests.select("request_id", F.explode("paths").alias("path")).where("path is not null").distinct()
@@ -101,11 +132,11 @@ class Incoming:
         unclear = self.seeds.select("request_id", "name").distinct().join(self.doubtful, F.lower("name") == F.col("low_name"), "left_semi")
         return unclear.join(self.asked, ["request_id", "name"], "left_anti")
 
-    def _walk(self, calls: DataFrame, hops: int) -> DataFrame:
+    def _walk(self, calls: DataFrame | Edges, hops: int) -> DataFrame:
         frontier = self.seeds.select("request_id", "name").distinct().join(self.skipped(), ["request_id", "name"], "left_anti").withColumnRenamed("name", "via")
         seen, found = self.seeds.select("request_id", F.col("id").alias("caller_id")), []
         for hop in range(1, hops + 1):
-            met = frontier.join(calls, F.col("via") == F.col("callee_name")).groupBy("request_id", "caller_id").agg(F.min(F.struct("via", "call_line")).alias("first"))
+            met = meet(frontier, "via", calls, "callee_name").groupBy("request_id", "caller_id").agg(F.min(F.struct("via", "call_line")).alias("first"))
             new = met.join(seen, ["request_id", "caller_id"], "left_anti").select(
                 "request_id", "caller_id", X.caller_name(F.col("caller_id")).alias("name"), X.caller_path(F.col("caller_id")).alias("path"), F.col("first.call_line").alias("line"), F.lit(hop).alias("distance"), F.col("first.via").alias("via")
             )

@@ -175,3 +175,30 @@ def test_engine_answers_tables_of_requests(spark, tmp_path):
     assert [r["item"] for r in items if r["stage"] == "impact"] == [single["impact_summary"]]
     engine.call_graph("sail").count()
     assert len(engine._adjacency) == 2
+
+
+def test_callees_are_right_for_ids_defined_many_times(spark):
+    symbols = spark.createDataFrame([("a::f", "a", "f", "function", i, i) for i in range(30)] + [("b::g", "b", "g", "function", 1, 1), (None, "b", "h", "function", 1, 1)], SYMBOLS)
+    calls = spark.createDataFrame([("a::f", f"n{i}", i) for i in range(20)] + [("b::g", "f", 3), ("b::g", None, None), (None, "f", 1)], CALLS)
+    got = graph.callees(symbols, calls)
+    assert got.count() == 30 * 20 + 2 and got.columns == ["id", "callee_name", "call_line"]
+    assert {r["count"] for r in got.where("id = 'a::f'").groupBy("callee_name").count().collect()} == {30}
+    # definitions are folded before they meet the calls, so no task holds an id's product
+    assert "REPARTITION" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_over_imports_are_done_once_for_equal_starts(spark, monkeypatch):
+    imports = spark.createDataFrame([(f"src/p{i}.rs", f"crate::p{j}::x", "x") for i, j in ((1, 0), (2, 1), (3, 2), (4, 0), (5, 9))], IMPORTS)
+    changed = spark.createDataFrame([(r, f"src/p{r % 2}.rs") for r in range(40)] + [(99, "src/none.rs")], "request_id int, path string")
+    got = {}
+    for r in graph.dependents_of(imports, changed, 3).collect():
+        got.setdefault(r["request_id"], set()).add((r["path"], r["hop"]))
+    even, odd = {("src/p1.rs", 1), ("src/p4.rs", 1), ("src/p2.rs", 2), ("src/p3.rs", 3)}, {("src/p2.rs", 1), ("src/p3.rs", 2)}
+    assert got == {r: odd if r % 2 else even for r in range(40)}
+    assert graph.same_start(changed).select("start").distinct().count() == 3
+    # callers and signals walk no imports
+    symbols, calls = spark.createDataFrame([("a::f", "a", "f", "function", 1, 1)], SYMBOLS), spark.createDataFrame([("b::g", "f", 3)], CALLS)
+    monkeypatch.setattr(graph, "dependents_of", lambda *_: pytest.fail("imports are walked"))
+    asked = spark.createDataFrame([(1, ["f"], [])], "request_id int, names array<string>, paths array<string>")
+    out = requests.impact_batch(symbols, calls, imports, asked, 2, wanted=["callers", "signals"])
+    assert [r["caller_id"] for r in out["callers"].collect()] == ["b::g"] and out["signals"].count() == 1

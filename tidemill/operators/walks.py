@@ -121,7 +121,9 @@ class Incoming:
         self.paths = requests.select("request_id", F.explode("paths").alias("path")).where("path is not null").distinct()
         columns = ["request_id", "id", F.struct("start_line", "name", "kind", "path").alias("s")]
         by_name = self.asked.select("request_id", F.lower("name").alias("low")).distinct().join(symbols, F.lower(symbols["name"]) == F.col("low")).select(columns)
-        by_path = symbols.join(self.paths, "path").select(columns)
+        # a path's definitions of one id are folded before every request at the path meets them
+        ids = symbols.where("path is not null").groupBy("path", "id").agg(F.min(F.struct("start_line", "name", "kind", "path")).alias("s"))
+        by_path = ids.join(self.paths, "path").select("request_id", "id", "s")
         # of definitions with one id the first stands for all
         self.seeds = materialize(by_name.unionByName(by_path).groupBy("request_id", "id").agg(F.min("s").alias("s")).select("request_id", "id", "s.name", "s.kind", "s.path"), "seeds")
         self.doubtful = materialize(ambiguous_names(symbols).select("low_name"), "ambiguous")

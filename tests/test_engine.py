@@ -340,3 +340,25 @@ def test_engine_end_to_end(spark, tmp_path):
     new = spark.createDataFrame([("a.rs", "fn f(x: u16) { g() }\nfn k() {}\n")], "path string, content string")
     assert {(r["symbol"], r["change"]) for r in engine.review_diff(old, new).collect()} == {("f", "signature_changed"), ("h", "removed"), ("k", "added")}
     assert "search" in told and "impact" in told
+
+
+def test_bursts_of_many_paths_are_merged_at_once():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    events = [(f"p{rng.randrange(9)}", rng.randrange(3000), rng.choice("abc"), i) for i in range(400)]
+    want = []
+    for path in sorted({e[0] for e in events}):
+        own = sorted((t, seq, op) for p, t, op, seq in events if p == path)
+        runs = [[own[0]]]
+        for e in own[1:]:
+            runs.append([e]) if e[0] - runs[-1][-1][0] > 20 else runs[-1].append(e)
+        want += [(path, r[0][0], r[-1][0], len(r), r[-1][2], r[-1][1]) for r in runs]
+    rng.shuffle(events)
+    found = None
+    for lo in range(0, 400, 90):  # in parts, as bursts that are open meet new events
+        part = pd.DataFrame([(p, t, t, 1, op, seq) for p, t, op, seq in events[lo : lo + 90]], columns=["path", "first_us", "last_us", "events", "op", "seq"])
+        found = watch.merged(part if found is None else pd.concat([found, part]), 20)
+    assert sorted(found.itertuples(index=False, name=None)) == want

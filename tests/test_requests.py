@@ -202,3 +202,24 @@ def test_walks_over_imports_are_done_once_for_equal_starts(spark, monkeypatch):
     asked = spark.createDataFrame([(1, ["f"], [])], "request_id int, names array<string>, paths array<string>")
     out = requests.impact_batch(symbols, calls, imports, asked, 2, wanted=["callers", "signals"])
     assert [r["caller_id"] for r in out["callers"].collect()] == ["b::g"] and out["signals"].count() == 1
+
+
+def test_a_files_symbols_are_costed_once_for_all_requests(spark, monkeypatch):
+    sizes, keep = {}, requests.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(requests, "materialize", counted)
+    n = 30
+    asked = spark.createDataFrame([(r, 10 * r) for r in range(n)], "request_id int, budget long")
+    hits = spark.createDataFrame([(r, f"{p}:0", p, 0.5, "item", 3) for r in range(n) for p in ("src/a.rs", "src/b.rs")], "request_id int, chunk_id string, path string, score double, item string, own_tokens long")
+    symbols = spark.createDataFrame([(f"{p}::f{i}", p, f"f{i}", "function", i, i) for p in ("src/a.rs", "src/b.rs") for i in range(20)], SYMBOLS)
+    tree = spark.createDataFrame([("src/a.rs", 2)], "path string, depth int")
+    bundle = requests.BundleBatch(asked, hits, symbols, spark.createDataFrame([], IMPORTS), tree)
+    rows = [r for r in bundle.items().collect() if r["stage"] == "symbol"]
+    own = {r: sorted(x["pos"] for x in rows if x["request_id"] == r) for r in range(n)}
+    assert own[0] == [] and own[29] == list(range(1, 21))  # the first file overshoots the share
+    assert max(size for name, size in sizes.items() if "symbol" in name) <= 40

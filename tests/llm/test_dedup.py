@@ -332,6 +332,23 @@ def test_recall_of_near_repeats(spark, prose):
     assert all(r["other_id"] == r["doc_id"] ^ 1 for r in found)
 
 
+def test_near_repeats_of_passages_that_exact_repeats_hold(spark, prose):
+    """Each version of a passage stands in two texts as it is, so all its windows are held; versions still match each other."""
+    rows, versions = [], []
+    for p in range(6):
+        words = prose(60).split()
+        edited = list(words)
+        edited[30] = f"edited{p}"
+        versions.append((words, edited))
+        for v, some in enumerate((words, edited)):
+            rows += [(4 * p + 2 * v + k, f"{prose(40)} {' '.join(some)} {prose(40)}") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.with_classes(spark, substring_dedup.find_passages(spark, docs)).collect()
+    near = {frozenset((r["doc_id"] // 2, r["other_id"] // 2)) for r in found if r["doc_id"] // 2 != r["other_id"] // 2}
+    assert near == {frozenset((2 * p, 2 * p + 1)) for p in range(6)}
+    assert {(r["doc_id"], r["class_id"]) for r in found} == {(4 * p + k, 4 * p) for p in range(6) for k in range(4)}
+
+
 def test_repeated_words_are_one_window(spark):
     """A word again and again, fewer than fifty times, and lines again and again, beside other texts."""
     rows = [(i, " ".join(["word"] * (30 + i) + [f"own{i}x{k}" for k in range(80)])) for i in range(12)]

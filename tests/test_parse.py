@@ -166,3 +166,15 @@ def test_chunks_that_cost_nothing_are_packed(spark):
     rows = [("a", 0.9, 0), ("b", 0.8, 5), ("c", 0.7, None), ("d", 0.6, 5), ("e", 0.5, 0), ("f", 0.4, 1)]
     got = bundle.pack(spark.createDataFrame(rows, "chunk_id string, score double, tokens int"), "tokens", 10)
     assert [(r["chunk_id"], r["used_before"]) for r in got.orderBy("chunk_id").collect()] == [("a", 0), ("b", 0), ("c", 5), ("d", 5)]
+
+
+def test_files_are_given_on_in_small_parts():
+    """A batch of many files isn't held as parsed rows: each part of it is given on before the next is parsed."""
+    import pandas as pd
+
+    unit = "fn run() { dep(1); }\n" * 1000
+    rows = pd.DataFrame({"path": [f"a{i}.rs" for i in range(200)], "content": [unit] * 198 + [None, "x" * (2 * parse.SLICE_CHARS)], "language": ["rust"] * 200})
+    parts = list(parse._parse_batches(iter([rows])))
+    assert [p for part in parts for p in part["path"]] == list(rows["path"])
+    assert max(len(part) for part in parts) <= parse.SLICE_CHARS // len(unit) + 1
+    assert list(parse._parse_batches(iter([rows[:0]]))) == []

@@ -304,20 +304,36 @@ def parse_text(text: str, language: str, overrides: dict[str, dict[str, str]] |
     return Parsed(symbols, imports, calls)
 
 
+#: Characters of the files that are parsed, and given on, at once, and bytes of an Arrow batch: a worker holds no more than these and their rows.
+SLICE_CHARS, BATCH_BYTES = 1 << 18, 4 << 20
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows ``[lo, hi)`` of up to ``SLICE_CHARS`` together, or one that is longer."""
+    lo = total = 0
+    for at, size in enumerate(sizes):
+        if at > lo and total + size > SLICE_CHARS:
+            yield lo, at
+            lo, total = at, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame], overrides: dict[str, dict[str, str]] | None = None) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = []
-        for path, content, language in zip(rows["path"], rows["content"], rows["language"], strict=True):
-            got = parse_text(content or "", language or "", overrides)
-            out.append(
-                {
-                    "path": path,
-                    "symbols": [{"id": f"{path}::{s.name}", "path": path, "name": s.name, "kind": s.kind, "start_line": s.start_line, "end_line": s.end_line, "signature": s.signature, "body": s.body} for s in got.symbols],
-                    "imports": [{"importer": path, "from_module": m, "symbol_name": n} for m, n in got.imports],
-                    "calls": [{"caller_id": f"{path}::{got.symbols[i].name}", "callee_name": c, "call_line": line} for i, c, line in got.calls],
-                }
-            )
-        if out:
+        for lo, hi in _slices([len(text or "") for text in rows["content"]]):
+            out = []
+            for path, content, language in zip(*(rows[c][lo:hi] for c in ("path", "content", "language")), strict=True):
+                got = parse_text(content or "", language or "", overrides)
+                out.append(
+                    {
+                        "path": path,
+                        "symbols": [{"id": f"{path}::{s.name}", "path": path, "name": s.name, "kind": s.kind, "start_line": s.start_line, "end_line": s.end_line, "signature": s.signature, "body": s.body} for s in got.symbols],
+                        "imports": [{"importer": path, "from_module": m, "symbol_name": n} for m, n in got.imports],
+                        "calls": [{"caller_id": f"{path}::{got.symbols[i].name}", "callee_name": c, "call_line": line} for i, c, line in got.calls],
+                    }
+                )
             yield pd.DataFrame(out)
 
 
@@ -329,6 +345,11 @@ PARSED = (
 
 def parse_files(files: DataFrame, overrides: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """``files(path, content, language)`` -> one row per file with its symbols, imports and calls."""
+    # only ever lowered, and it stays so, as plans are run later
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", files.sparkSession.conf
+    now = re.fullmatch(r"(\d+)b?", conf.get(key, "64m"))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return files.select("path", "content", "language").mapInPandas(lambda batches: _parse_batches(batches, overrides), PARSED)
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.api import Engine
 from tidemill.operators import graph, requests, walks
@@ -223,3 +224,14 @@ def test_a_files_symbols_are_costed_once_for_all_requests(spark, monkeypatch):
     own = {r: sorted(x["pos"] for x in rows if x["request_id"] == r) for r in range(n)}
     assert own[0] == [] and own[29] == list(range(1, 21))  # the first file overshoots the share
     assert max(size for name, size in sizes.items() if "symbol" in name) <= 40
+
+
+def test_changes_of_one_folder_are_written_out_by_all_tasks(spark):
+    """Changes in one part, all below the folders that are asked for: each task gets a share of them."""
+    changes = spark.range(4000, numPartitions=1).selectExpr("concat('src/m', id, '.rs') AS path", "concat('fn_', id) AS symbol", "'added' AS change")
+    asked = spark.createDataFrame([(1, ""), (2, "src/"), (3, None), (4, "lib"), (5, "src/m7.rs")], "request_id long, folder string")
+    got = requests.below_folders(changes, asked)
+    rows = got.select("request_id", F.spark_partition_id().alias("part")).groupBy("request_id", "part").count().collect()
+    total = {i: sum(r["count"] for r in rows if r["request_id"] == i) for i in range(1, 6)}
+    assert total == {1: 4000, 2: 4000, 3: 4000, 4: 0, 5: 0}
+    assert len({r["part"] for r in rows}) > 1

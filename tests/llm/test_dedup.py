@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pytest
 import xxhash
 
 from tidemill.llm import exact_dedup, simhash_neardup, substring_dedup
-from tidemill.llm.common import connected_components
+from tidemill.llm.common import connected_components, materialize, shared_root
 
 
 def lower(text):
@@ -290,6 +292,38 @@ def test_partners_that_are_neither_first_nor_next(spark, prose):
     assert {r["doc_id"] for r in found} == want and len(want) > 20
 
 
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_with_the_table_that_they_made(spark):
+    before = shuffle_files(spark)
+    out = materialize(spark, spark.range(5_000, numPartitions=4).repartition(3, "id"), "dealt")
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 5_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_tables_that_nothing_reads_any_more_are_gone(spark, prose):
+    """Near copies among exact ones, so that all steps are taken; the rows are there all the same."""
+    base = prose(300).split()
+    rows = [(i, " ".join([*(f"own{i}x{j}" for j in range(40)), *base[: 80 + i], *(f"tail{i}x{j}" for j in range(40))])) for i in range(6)]
+    for i in range(6, 30):
+        words = base[200:254]
+        words[10 + i] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    folder = Path(shared_root(spark).removeprefix("file://")) / "tidemill"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    kinds = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert {r["doc_id"] for r in found.collect()} >= set(range(6))
+    assert "passages-exact" in kinds and not kinds & {"passage-texts", "passage-segments", "passage-near", "passage-tokens", "passage-sketches", "passage-roots"}
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_versions_of_a_template_find_their_own_copies(spark, prose, partitions):
     """Thirty versions of a passage, two documents each with 58 words in common, which share phrases with all others."""

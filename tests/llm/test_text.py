@@ -41,6 +41,20 @@ def test_every_code_point_encodes_as_in_the_library(library):
     assert wrong == []
 
 
+def test_words_that_come_again_are_not_cut_again(library, monkeypatch):
+    """Also where a text has more different words than a small cache holds, and where a word is a piece of others."""
+    cut, plain = [], bpe_codec.Codec._chunk
+    monkeypatch.setattr(bpe_codec.Codec, "_chunk", lambda self, chunk: (cut.append(chunk), plain(self, chunk))[1])
+    own = bpe_codec.Codec(bpe_codec.default_vocabulary())
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(90_000)]
+    first, again = own.encode(" ".join(words)), own.encode(" ".join(words))
+    assert first == again and len(cut) == len(words)
+    text = "tide's! É7é'll tide 's ! É 7 é 'll"
+    ids, _ = own.encode(text)
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids
+    assert len(cut) == len(words) + len(set(cut[len(words) :]))
+
+
 def test_bpe_rows(spark, awkward, nothing, library):
     got = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"], r["n_tokens"]) for r in bpe_codec.encode_digests(awkward).collect()}
     want = set()

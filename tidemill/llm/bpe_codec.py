@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import bounded_batches, lean, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of each generation of the per-worker caches: white-space separated chunks, and pieces of them; tested pairs of tokens.
-CACHE_CHUNKS = 40_000
-CACHE_PIECES = 100_000
+#: Entries of each generation of the per-worker caches: white-space separated chunks and their pieces; tested pairs of tokens.
+CACHE_CHUNKS = 100_000
 CACHE_PAIRS = 200_000
 #: Longer ones are not cached.
 CACHE_CHARS = 64
@@ -172,7 +171,7 @@ class PrefixBpe:
         return out[::-1]
 
     def encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        raw = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
         return self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])) if self.end else raw)
 
 
@@ -236,18 +235,27 @@ _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 class Codec:
     def __init__(self, path: str):
         self.bpe = PrefixBpe(path)
-        self.pieces = _Aging(CACHE_PIECES, self._piece)
         self.chunks = _Aging(CACHE_CHUNKS, self._chunk)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.bpe.encode_piece(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        ids, token_of = self.bpe.encode_piece(piece), self.bpe.token_of
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([token_of[i] for i in ids])
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids as bytes, and the decoded text, of a white-space separated part of a normalised text."""
-        ids = b"".join(map(self.pieces.__getitem__, (ASCII_PIECE if chunk.isascii() else PIECE).findall(chunk)))
-        token_of = self.bpe.token_of
-        return ids, " ".join([token_of[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+        """Ids as bytes, and the decoded text, of a white-space separated part of a normalised text.
+
+        A piece of a chunk is cut into itself, so both share one cache.
+        """
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._piece(chunk)
+            found = ASCII_PIECE.findall(chunk)
+        else:
+            found = PIECE.findall(chunk)
+        if len(found) == 1:
+            return self._piece(found[0])
+        got = list(map(self.chunks.__getitem__, found))
+        return b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         text = normalise(text)

@@ -292,6 +292,43 @@ def test_partners_that_are_neither_first_nor_next(spark, prose):
     assert {r["doc_id"] for r in found} == want and len(want) > 20
 
 
+def test_pairs_match_around_a_window_that_waits():
+    """In the last round a pair is looked at only if what it shares is where a window of either text waits for a match."""
+    rng = np.random.default_rng(5)
+    p, *rest = (rng.integers(1, 1 << 60, 60 if i == 0 else 100).astype(np.uint64) for i in range(3))
+    x, y = np.r_[rest[0], p], np.r_[p, rest[1]]
+
+    def rows(*waiting):
+        columns = [[1], [1000], [2], [3000], [x.tobytes()], [y.tobytes()], *([w] for w in waiting)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if i > 5 else None) for i, c in enumerate(columns)], names=[f"c{i}" for i in range(len(columns))])
+        return [tuple(r.values()) for b in substring_dedup._verify(5, 46, 0.8)([batch]) for r in b.to_pylist()]
+
+    want = [(1, 2, 1100, 1163, 3000, 3063, 1.0)]
+    assert rows() == want
+    assert rows([1010, 1130], []) == rows([], [3010]) == rows([1010], [3059]) == want
+    assert rows([1010], [3140]) == rows([], []) == rows([1090], [3070]) == []
+
+
+def test_windows_with_the_same_tokens_around_them():
+    rng = np.random.default_rng(6)
+    same, *rest = (rng.integers(1, 1 << 60, 117 if i == 0 else 90).astype(np.uint64) for i in range(3))
+    key = lambda own, at: substring_dedup._contents(own, np.array([at]), 58)[0]
+    a, b = np.r_[rest[0], same, rest[1]], np.r_[rest[1][:7], same, rest[0]]
+    assert key(a, 90 + 58) == key(b, 7 + 58)
+    assert len({key(a, 90 + 58), key(a, 90 + 57), key(b, 7 + 59), key(same[1:], 57), key(same[:-1], 58)}) == 5
+
+
+def test_edited_copies_beside_their_source(spark, prose):
+    """A text holds a passage and an edited copy of it; other texts hold the passage too, so the copy matches these."""
+    base, rows = prose(54).split(), []
+    for i in range(12):
+        words = list(base)
+        words[20 + i] = f"edit{i}"
+        rows.append((i, f"{prose(30)} {' '.join(base)} {prose(80)} {' '.join(words)} {prose(30)}"))
+    found = substring_dedup.find_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found if r["start_word"] <= 170 and r["end_word"] >= 200} == set(range(12))
+
+
 def shuffle_files(spark):
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     return {p for folder in folders for p in Path(folder).rglob("shuffle_*.data")}

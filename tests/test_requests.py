@@ -188,6 +188,16 @@ def test_callees_are_right_for_ids_defined_many_times(spark):
     assert "REPARTITION" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_callees_meet_calls_in_one_pass(spark):
+    symbols = spark.createDataFrame([("a::f", "a", "f", "function", i, i) for i in range(3)] + [("b::g", "b", "g", "function", 1, 1)], SYMBOLS)
+    calls = spark.createDataFrame([("a::f", "x", 1), ("b::g", "f", 3)], CALLS)
+    got = graph.callees(symbols, calls)
+    # calls may be costly to derive: ids that are defined once and those that are defined often aren't two branches
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
+    assert sorted(map(tuple, got.collect())) == [("a::f", "x", 1)] * 3 + [("b::g", "f", 3)]
+
+
 def test_walks_over_imports_are_done_once_for_equal_starts(spark, monkeypatch):
     imports = spark.createDataFrame([(f"src/p{i}.rs", f"crate::p{j}::x", "x") for i, j in ((1, 0), (2, 1), (3, 2), (4, 0), (5, 9))], IMPORTS)
     changed = spark.createDataFrame([(r, f"src/p{r % 2}.rs") for r in range(40)] + [(99, "src/none.rs")], "request_id int, path string")

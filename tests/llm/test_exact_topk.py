@@ -71,3 +71,17 @@ def test_boxes_are_tight_and_prune():
     want = sorted(((int(s), i) for i, s in enumerate(x @ x[0]) if i), key=lambda s: (-s[0], s[1]))[:5]
     assert sorted(got, key=lambda s: (-s[0], s[1])) == want and sum(looked) < 250
     assert not exact_topk.search(packed, x[0], up, 0, 5, up[0] + 1)
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_only_counted_tables_are_broadcast(spark, monkeypatch, bound):
+    # the estimates of Spark go by compressed files: the shards that queries ask for, or their trees, would be held by the driver
+    for name in ("BROADCAST_ROWS", "QUERY_COMPONENTS"):
+        monkeypatch.setattr(exact_topk, name, bound)
+    rng = random.Random(9)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(4)]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_topk.top_k(spark, frame, "vec_id % 5 = 0", shard_rows=16)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and all(("strategy=broadcast" if bound else "strategy=merge") in line for line in joins)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 5, exact_topk.TOP)

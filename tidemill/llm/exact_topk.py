@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, lean, materialize, maybe_broadcast, table
+from tidemill.llm.common import BROADCAST_ROWS, bounded_batches, is_small, lean, materialize, maybe_broadcast, table
 
 SCALE = 256
 TOP = 5
@@ -45,6 +45,8 @@ LEAF_ROWS = 32
 BLOCK_QUERIES = 512
 #: Boxes of a few kilobytes each that may be broadcast: those of two lengths.
 BOXES = 2 * MAX_CELLS
+#: Components of all queries together that may be broadcast (8 MB).
+QUERY_COMPONENTS = 1 << 20
 #: Whole numbers up to this are exact doubles.
 EXACT = 1 << 53
 LAST_ID = (1 << 63) - 1
@@ -271,6 +273,16 @@ def build_shards(spark: SparkSession, vectors: DataFrame, sample_rows: int = SAM
     return materialize(spark, grown.mapInArrow(lean(_grow(leaf_rows)), _SHARD), "kd-trees")
 
 
+def _beside(small: DataFrame, may_broadcast: bool | None = None) -> DataFrame:
+    """``small`` as the side of a join that is broadcast if a count allows it; else both sides are shuffled.
+
+    Without a hint Spark goes by the size of compressed files. Millions of queries' shards are a few megabytes there, and hundreds on the driver.
+    """
+    if may_broadcast is None:
+        may_broadcast = is_small(small, BROADCAST_ROWS)
+    return F.broadcast(small) if may_broadcast else small.hint("merge")
+
+
 _ASKED = "shard long, block int, rid long, query_id long, least double"
 
 
@@ -306,13 +318,16 @@ def _answer(k: int):
     return run
 
 
-def _searched(shards: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _searched(spark: SparkSession, shards: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``asked(rid, shard, least)`` answered: ``(rid, query_id, vec_id, score)``."""
     tree = ["lo", "hi", "left", "right", "span", "rids", "ids", "x"]
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    sizes = asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    sizes = materialize(spark, asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks")), "blocks")
+    sizes = _beside(sizes)
+    held = queries.agg(F.sum(F.col("dims").cast("long") + 8)).first()[0] or 0
+    asking = _beside(queries.select("rid", F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "dims"), held <= QUERY_COMPONENTS)
     left = shards.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "dims", *tree, F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("array<double>").alias("q"))
-    right = asked.join(sizes, "shard").join(queries.select("rid", F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "dims"), "rid")
+    right = asked.join(sizes, "shard").join(asking, "rid")
     right = right.select("shard", block.alias("block"), F.lit(1).alias("kind"), "dims", *(F.lit(None).cast("binary").alias(c) for c in tree), "rid", "query_id", "least", "q")
     both = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
     return both.mapInArrow(lean(_answer(k)), "rid long, query_id long, vec_id long, score long")
@@ -331,17 +346,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: str, k: int = TOP,
     up = F.expr("IF(dims = 0, 0D, aggregate(zip_with(x, box, (q, b) -> greatest(q * b.lo, q * b.hi)), 0D, (s, v) -> s + v))")
     reach = queries.select("rid", "dims", "x").join(maybe_broadcast(boxes, BOXES), "dims").select("rid", "dims", "cell", up.alias("up"))
     reach = materialize(spark, reach, "reach")
-    parts = shards.select("dims", "cell", "shard")
+    parts = materialize(spark, shards.select("dims", "cell", "shard"), "shard-cells")
     best = reach.groupBy("rid", "dims").agg(F.max_by("cell", F.struct("up", "cell")).alias("cell"))
-    first = materialize(spark, best.join(parts.groupBy("dims", "cell").agg(F.min("shard").alias("shard")), ["dims", "cell"]).select("rid", "shard", F.lit(None).cast("double").alias("least")), "first-asked")
-    found = materialize(spark, _searched(shards, first, queries, k), "first-shards")
+    first = materialize(spark, best.join(_beside(parts.groupBy("dims", "cell").agg(F.min("shard").alias("shard"))), ["dims", "cell"]).select("rid", "shard", F.lit(None).cast("double").alias("least")), "first-asked")
+    found = materialize(spark, _searched(spark, shards, first, queries, k), "first-shards")
     kth = found.groupBy("rid").agg(F.count("*").alias("found"), F.min("score").alias("kth")).select("rid", F.when(F.col("found") >= k, F.col("kth").cast("double")).alias("least"))
     # sums of products beyond 2^53 are rounded, and a score may be held at the largest long
     slack = lambda c: F.when(F.abs(c) < float(EXACT), 0.0).otherwise(F.abs(c) * 1e-9)
-    rest = reach.join(kth, "rid", "left").withColumn("least", F.col("least") - slack("least")).where(F.col("least").isNull() | (F.col("up") + slack("up") >= F.col("least")))
-    rest = rest.join(parts, ["dims", "cell"]).select("rid", "shard", "least").join(first.select("rid", "shard"), ["rid", "shard"], "left_anti")
+    rest = reach.join(_beside(kth), "rid", "left").withColumn("least", F.col("least") - slack("least")).where(F.col("least").isNull() | (F.col("up") + slack("up") >= F.col("least")))
+    rest = rest.join(_beside(parts), ["dims", "cell"]).select("rid", "shard", "least").join(_beside(first.select("rid", "shard")), ["rid", "shard"], "left_anti")
     rest = materialize(spark, rest, "other-shards")
-    found = found.unionByName(_searched(shards, rest, queries, k))
+    found = found.unionByName(_searched(spark, shards, rest, queries, k))
     by = Window.partitionBy("rid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

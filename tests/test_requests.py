@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.api import Engine
-from tidemill.operators import graph, requests, walks
+from tidemill.operators import diff, graph, requests, walks
 
 SYMBOLS = "id string, path string, name string, kind string, start_line int, end_line int"
 CALLS = "caller_id string, callee_name string, call_line int"
@@ -155,6 +155,14 @@ def test_reviews_by_folder(spark, project):
     assert got == {1: src, 2: src | {"g": ("modified", []), "h": ("removed", [])}, 3: got[2], 5: {"g": ("modified", [])}}
 
 
+def test_only_calls_of_what_changed_are_sorted(spark):
+    changes = spark.createDataFrame([("a", "f", "function", "modified", None, None), ("a", "g", "function", "added", None, "g()")], "path string, symbol string, kind string, change string, before string, after string")
+    calls = spark.createDataFrame([("b::x", "f", 1), ("b::x", "f", 2), ("a::f", "f", 3), ("b::y", "g", 4), ("b::z", "other", 5)], CALLS)
+    got = diff.with_callers(changes, calls)
+    assert {r["symbol"]: r["callers"] for r in got.collect()} == {"f": ["b::x"], "g": []}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_engine_answers_tables_of_requests(spark, tmp_path):
     root = tmp_path / "project"
     (root / "src").mkdir(parents=True)

@@ -451,3 +451,16 @@ def test_passages_on_awkward_rows(spark, awkward, nothing):
     got = substring_dedup.find_passages(spark, awkward)
     assert {r["doc_id"] for r in got.collect()} == {5, 6}
     assert substring_dedup.find_passages(spark, nothing).count() == 0
+
+
+def test_pairs_are_sifted_without_sorting_all_their_tokens(monkeypatch):
+    rng = np.random.default_rng(4)
+    xs = [rng.integers(0, 1 << 62, 120).astype(np.uint64) for _ in range(40)]
+    ys = [x.copy() if i % 8 == 0 else rng.integers(0, 1 << 62, 120).astype(np.uint64) for i, x in enumerate(xs)]
+    columns = [pa.array(range(40), pa.int64()), pa.array([0] * 40, pa.int64()), pa.array(range(100, 140), pa.int64()), pa.array([5] * 40, pa.int64()), pa.array([x.tobytes() for x in xs]), pa.array([y.tobytes() for y in ys])]
+    sizes, isin = [], np.isin
+    monkeypatch.setattr(np, "isin", lambda a, b, **more: sizes.append(len(a)) or isin(a, b, **more))
+    rows = [r for out in substring_dedup._verify(5, 46, 0.8)([pa.RecordBatch.from_arrays(columns, names=list("abcdef"))]) for r in out.to_pylist()]
+    assert [(r["a"], r["b"], r["a_start"], r["a_end"], r["b_start"], r["b_end"], r["similarity"]) for r in rows] == [(i, 100 + i, 0, 123, 5, 128, 1.0) for i in range(0, 40, 8)]
+    # all pairs of a batch are looked up in a hash table; only those that are left are compared one by one
+    assert max(sizes) == 120
